@@ -6,7 +6,7 @@ and is cut inside its own row, so no line of text is ever shuffled on its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -187,15 +187,17 @@ def chunk_files(
     prefixes: DataFrame | None = None,
     max_tokens: int = MAX_TOKENS,
     overlap: float = OVERLAP,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Chunks of every file: content_id, content, line range and symbol.
 
-    ``files`` needs content_id and content. Symbol and gap ranges are collected per
+    ``files`` needs content_id and content; columns to ``keep`` are repeated on every
+    chunk. Symbol and gap ranges are collected per
     content without any text; a group is one file, whose size the index bounds.
     """
     if not 0 <= overlap < 1:
         raise ValueError("overlap must be at least 0 and below 1")
-    rows = files.select("content_id", "content")
+    rows = files.select("content_id", "content", *keep)
     range_type = (
         "array<struct<start_line:int,end_line:int,name:string,kind:string,"
         "signature:string,doc:string>>"
@@ -272,4 +274,5 @@ def chunk_files(
             )
         ),
     )
-    return rows.select("content_id", F.explode(pieces).alias("c")).select("content_id", "c.*")
+    cut = rows.select("content_id", *keep, F.explode(pieces).alias("c"))
+    return cut.select("content_id", "c.*", *keep)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import retrieval
+from folioscope.queries import ingest, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, ingest)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}

@@ -53,13 +53,11 @@ def corpus_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Line windows of every content with the vector of its first document, if any."""
-    texts = corpus_texts(spark, folder)
-    pieces = chunking.chunk_files(texts.select("content_id", "content"))
+    texts = corpus_texts(spark, folder).select("ordinal", "content_id", "content")
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("ordinal"), "embedding"
     )
-    owners = texts.select("content_id", "ordinal").join(vectors, "ordinal", "left").drop("ordinal")
-    return pieces.join(owners, "content_id")
+    return chunking.chunk_files(texts.join(vectors, "ordinal", "left"), keep=["embedding"])
 
 
 def corpus_refs(spark: SparkSession, folder: str) -> DataFrame:
