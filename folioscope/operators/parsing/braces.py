@@ -128,19 +128,29 @@ def _count(code: Column, characters: str) -> Column:
 
 # Columns that hold the first fitting rule for each family of owners.
 FAMILIES = {
-    "file_rule": ("file",),
-    "space_rule": ("namespace",),
-    "body_rule": ("class", "object", "interface", "trait", "impl", "group"),
+    "file_match": ("file",),
+    "space_match": ("namespace",),
+    "body_match": ("class", "object", "interface", "trait", "impl", "group"),
 }
 
 
-def _first_match(code: Column, language: Column, owners: tuple[str, ...]) -> Column:
-    """Index of the first rule that fits below one of the owners, or null."""
-    result = F.when(F.lit(False), F.lit(0))
+def _first_match(code: Column, text: Column, language: Column, owners: tuple[str, ...]) -> Column:
+    """First rule that fits below one of the owners, and the name it takes; or null.
+
+    Include paths are strings, which the masked line hides, so they come from the
+    source line.
+    """
+
+    def found(i: int, rule: Rule) -> Column:
+        line = text if rule.kind == "include" else code
+        name = F.regexp_extract(line, rule.pattern, 1) if rule.fixed_name is None else F.lit(rule.fixed_name)
+        return F.struct(F.lit(i).alias("rule"), name.alias("name"))
+
+    result = F.when(F.lit(False), found(0, RULES[0]))
     for i, rule in enumerate(RULES):
         if set(rule.owners) & set(owners):
             hit = language.isin(*rule.languages) & code.rlike(rule.pattern)
-            result = result.when(hit, F.lit(i))
+            result = result.when(hit, found(i, rule))
     return result
 
 
@@ -148,16 +158,6 @@ def _pick(index: Column, values: list[Column]) -> Column:
     return F.try_element_at(F.array(*values), index + 1)
 
 
-def _name(code: Column, text: Column, rule: Column) -> Column:
-    """Name a rule takes from its line; include paths are strings, so from the source."""
-    result = F.when(F.lit(False), F.lit(""))
-    for i, r in enumerate(RULES):
-        line = text if r.kind == "include" else code
-        name = F.lit(r.fixed_name) if r.fixed_name is not None else F.regexp_extract(line, r.pattern, 1)
-        result = result.when(rule == i, name)
-    return result
-
-
 def declarations(files: DataFrame) -> DataFrame:
     """Declarations with their line ranges; text comes later, from the file itself."""
     code, language = F.col("code"), F.col("language")
@@ -177,9 +177,14 @@ def declarations(files: DataFrame) -> DataFrame:
         "line",
         net.cast("int").alias("net"),
         directive.alias("directive"),
-        *[_first_match(code, language, owners).alias(f) for f, owners in FAMILIES.items()],
-        code.alias("code"),
-        F.col("text"),
+        *[
+            _first_match(code, F.col("text"), language, owners).alias(f)
+            for f, owners in FAMILIES.items()
+        ],
+        F.when(
+            (language == "c") & code.rlike(r"^\s*(?:typedef\b|\})"),
+            F.regexp_extract(code, r"(\w+)\s*(?:\[[^\]]*\])?\s*;$", 1),
+        ).alias("last_word"),
         code.rlike(r"^\s*\{").alias("opens_alone"),
         (code.rlike(r"\{") & ~code.rlike(r"^\s*\{")).alias("opens"),
         F.when(language.isin(*SEMICOLON_LANGUAGES), code.rlike(r"[;}]$"))
@@ -189,15 +194,7 @@ def declarations(files: DataFrame) -> DataFrame:
         (language.isin("java", "kotlin", *SCRIPTS) & code.rlike(_ANNOTATION)).alias("annotation"),
         ((language == "cpp") & code.rlike(r"^\s*template\s*<[^;{]*>$")).alias("template"),
     )
-    named = slim.select(
-        *[c for c in slim.columns if c not in ("code", "text")],
-        *[_name(code, F.col("text"), F.col(f)).alias(f.replace("rule", "name")) for f in FAMILIES],
-        F.when(
-            (language == "c") & (F.col("file_rule").isNotNull() | code.rlike(r"^\s*\}")),
-            F.regexp_extract(code, r"(\w+)\s*(?:\[[^\]]*\])?\s*;$", 1),
-        ).alias("last_word"),
-    )
-    return _ranges(named)
+    return _ranges(slim)
 
 
 def _ranges(lines: DataFrame) -> DataFrame:
@@ -212,8 +209,8 @@ def _ranges(lines: DataFrame) -> DataFrame:
             F.lead("carries_on").over(down), F.lit(False)))
     )
     kinds = [F.lit(r.kind) for r in RULES]
-    rule = F.when(F.col("depth") == 0, F.col("file_rule")).otherwise(
-        F.coalesce("space_rule", "body_rule")
+    rule = F.when(F.col("depth") == 0, F.col("file_match.rule")).otherwise(
+        F.coalesce("space_match.rule", "body_match.rule")
     )
     deep = deep.withColumn("tag", F.coalesce(_pick(rule, kinds), F.lit("code")))
     opens = (F.col("tag") != "code") | (F.col("opens") | (F.col("after") > F.col("depth"))) & ~F.col(
@@ -262,14 +259,12 @@ def _valid(rows: DataFrame) -> DataFrame:
     owner = F.try_element_at(F.col("owners"), F.least(depth, F.lit(MAX_DEPTH)))
     owner_tag = F.when(depth == 0, F.lit("file")).otherwise(owner["tag"])
 
-    def by_owner(suffix: str) -> Column:
-        return (
-            F.when(owner_tag == "file", F.col(f"file_{suffix}"))
-            .when(owner_tag == "namespace", F.col(f"space_{suffix}"))
-            .otherwise(F.col(f"body_{suffix}"))
-        )
-
-    rule = by_owner("rule")
+    match = (
+        F.when(owner_tag == "file", F.col("file_match"))
+        .when(owner_tag == "namespace", F.col("space_match"))
+        .otherwise(F.col("body_match"))
+    )
+    rule = match["rule"]
     allowed = F.array_contains(
         F.coalesce(
             _pick(rule, [F.array(*[F.lit(o) for o in r.owners]) for r in RULES]),
@@ -284,7 +279,7 @@ def _valid(rows: DataFrame) -> DataFrame:
     ).otherwise(depth <= 1)
     picked = (
         rows.withColumn("rule", rule)
-        .withColumn("name", by_owner("name"))
+        .withColumn("name", match["name"])
         .withColumn("group", F.when(owner_tag == "group", owner))
         .where(
             F.col("rule").isNotNull() & (depth <= MAX_DEPTH) & allowed

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions import versions
+from folioscope.operators.shape import computed_once
 
 
 def with_version(refs: DataFrame) -> DataFrame:
     """Add the clean version text and its sortable key; both null for branches."""
-    clean = refs.withColumn("semver", versions.clean_version(F.col("ref")))
-    return clean.withColumn("version_key", versions.version_key(F.col("semver")))
-
-
-def _best(group: list[str]) -> list:
-    order = F.struct(F.col("version_key"), (-F.col("id")).alias("neg_id"))
-    return [F.max_by(F.struct("id", "ref"), order).alias("best")]
+    clean = computed_once(refs, "semver", versions.clean_version(F.col("ref")))
+    return computed_once(clean, "version_key", versions.version_key(F.col("semver")))
 
 
 def resolve_semver(refs: DataFrame, constraint: str) -> DataFrame:
     """Highest matching tag of every repository; repositories without one are absent."""
     keyed = with_version(refs).where(versions.satisfies(F.col("version_key"), constraint))
+    order = F.struct(F.col("version_key"), (-F.col("id")).alias("neg_id"))
     return (
-        keyed.groupBy("repo_id").agg(*_best(["repo_id"])).select("repo_id", "best.id", "best.ref")
+        keyed.groupBy("repo_id")
+        .agg(F.max_by(F.struct("id", "ref"), order).alias("best"))
+        .select("repo_id", "best.id", "best.ref")
     )
 
 

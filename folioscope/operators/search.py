@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folioscope.functions import text as text_fn
 from folioscope.functions import vectors
+from folioscope.operators.shape import computed_once
 
 K1 = 1.2
 B = 0.75
@@ -38,15 +39,6 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
     return list(dict.fromkeys(units))
 
 
-def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a costly column so that later filters and scores read it ready-made.
-
-    A plain projection would be copied into every expression that uses it, filters
-    included; a one-element generator is where the optimizer stops copying.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_words(chunks: DataFrame, content: str = "content") -> DataFrame:
     return computed_once(chunks, "words", text_fn.padded_words(F.col(content)))
 

@@ -31,7 +31,12 @@ def build_session(
     shuffle_partitions: int | None = None,
     driver_memory: str | None = None,
 ) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.showConsoleProgress", "false")
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.ui.showConsoleProgress", "false")
+        # Call sites of every column are costly to record for large expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if driver_memory:
