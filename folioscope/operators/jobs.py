@@ -119,3 +119,19 @@ def cancelled(jobs: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame
         .where(~(F.coalesce(F.col("_hit"), F.lit(False)) & open_job))
         .drop("_hit")
     )
+
+
+def mirror_status(events: DataFrame, now: Column, kept_seconds: int = 60) -> DataFrame:
+    """Status of every mirror: a final status fades to ``ready`` after its time.
+
+    ``events`` has repo, status (cloning, ready or error), error and at.
+    """
+    last = latest_state(events, ["repo"], ["at", "status"])
+    fresh = (F.col("status") == "cloning") | (
+        F.unix_seconds(now) - F.unix_seconds(F.col("at").cast("timestamp")) < kept_seconds
+    )
+    return last.select(
+        "repo",
+        F.when(fresh, F.col("status")).otherwise("ready").alias("status"),
+        F.when(fresh, F.col("error")).alias("error"),
+    )

@@ -110,7 +110,7 @@ def file_imports(content: Column, language: Column) -> Column:
 
 def imports(files: DataFrame) -> DataFrame:
     """One row per import. C++ includes need the line depth and come from the symbols."""
-    found = files.where(F.col("language") != "cpp").select(
+    found = files.select(
         "content_id", "language",
         F.posexplode(file_imports(F.col("content"), F.col("language"))).alias("ordinal", "i"),
     )

@@ -120,13 +120,23 @@ def declarations(files: DataFrame) -> DataFrame:
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Symbols and imports of files (content_id, language, content)."""
-    declared = declarations(files)
-    includes = declared.where(F.col("kind") == "include").select(
+    plain = files.where(F.col("language") != "cpp")
+    return with_text(_visible(declarations(files)), files), imports.imports(plain).unionByName(
+        _includes(files)
+    )
+
+
+def _visible(declared: DataFrame) -> DataFrame:
+    return declared.where(F.col("kind") != "include")
+
+
+def _includes(files: DataFrame) -> DataFrame:
+    """C++ includes outside conditional blocks; that depth only the declarations know."""
+    found = braces.declarations(files.where(F.col("language") == "cpp"))
+    return found.where(F.col("kind") == "include").select(
         "content_id", "language", F.col("start_line").alias("ordinal"),
         F.regexp_replace("name", r'^[<"]|[>"]$', "").alias("source"),
         F.array().cast("array<string>").alias("names"),
         F.lit(None).cast("string").alias("default_name"),
         F.lit(0).alias("is_namespace"),
     )
-    found = with_text(declared.where(F.col("kind") != "include"), files)
-    return found, imports.imports(files).unionByName(includes)

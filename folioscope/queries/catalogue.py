@@ -381,7 +381,11 @@ EVENT_KINDS = {
 
 
 def progress_events(spark: SparkSession, folder: str) -> DataFrame:
-    events = tables.table(spark, folder, "events")
+    return as_progress(tables.table(spark, folder, "events"))
+
+
+def as_progress(events: DataFrame) -> DataFrame:
+    """Events as progress reports of the job of their user."""
     pairs = [F.lit(x) for item in EVENT_KINDS.items() for x in item]
     return events.select(
         F.col("user_id").alias("job"),

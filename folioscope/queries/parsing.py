@@ -108,7 +108,10 @@ IMPORTS = {
 
 
 def program_files(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    return render_programs(tables.table(spark, folder, "documents"))
+
+
+def render_programs(docs: DataFrame) -> DataFrame:
     number = F.col("doc_id").cast("string")
 
     def fixed(lines: tuple[str, ...]) -> Column:
@@ -221,6 +224,22 @@ def md_code_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _filled(lines: tuple[str, ...]) -> str:
+    """SQL text of fixed program lines with the number filled in."""
+    parts = ", chr(10), ".join(_quoted(x) for x in lines)
+    return f"replace(replace(concat({parts}), '#', id), '@include', '#include')"
+
+
+def program_text() -> str:
+    """SQL CASE that renders the program of a row (language, id, text)."""
+    cases = " ".join(
+        f"WHEN '{lang}' THEN concat({_filled(head)}, chr(10), '{mark}',"
+        f" replace(text, chr(10), concat(chr(10), '{mark}')), chr(10), {_filled(tail)})"
+        for lang, (head, mark, tail) in PROGRAMS.items()
+    )
+    return f"CASE language {cases} END"
+
+
 def _quoted(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -235,7 +254,7 @@ _IMPORT_VALUES = ", ".join(
     for lang, (src, names, default) in IMPORTS.items()
 )
 _DOCS = f"""programs AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, len(string_split(text, chr(10))) AS n,
+  SELECT CAST(doc_id AS VARCHAR) AS id, text, len(string_split(text, chr(10))) AS n,
          {list(LANGUAGES)}[doc_id % {len(LANGUAGES)} + 1] AS language FROM documents)"""
 _DOC_TEXT = """CASE WHEN language IN ('go') THEN concat('// Doc ', id, '.')
   WHEN language = 'rust' THEN concat('/// Doc ', id, '.') ELSE concat('/** Doc ', id, '. */') END"""
