@@ -230,7 +230,7 @@ def satisfies(key: Column, text: str) -> Column:
         for bound in bounds:
             inside = inside & _holds(key, bound)
             major, minor, patch, pre = bound.version
-            if pre and pre != ("0",):
+            if pre:
                 allowed = allowed | (
                     (key["major"] == major) & (key["minor"] == minor) & (key["patch"] == patch)
                 )

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions import text as text_fn
+from folioscope.operators.shape import computed_once
 
 
 def with_content_id(files: DataFrame, content: str = "content") -> DataFrame:
     """Strip NUL characters and address the text by its SHA-256."""
-    cleaned = files.withColumn(content, text_fn.strip_nul(F.col(content)))
-    return cleaned.withColumn("content_id", text_fn.content_hash(F.col(content)))
+    cleaned = computed_once(files, "_clean", text_fn.strip_nul(F.col(content)))
+    columns = [F.col("_clean").alias(c) if c == content else F.col(c) for c in files.columns]
+    return cleaned.select(*columns, text_fn.content_hash(F.col("_clean")).alias("content_id"))
 
 
 def split_skipped(files: DataFrame, content: str = "content", **caps: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioscope.operators.parsing import lexer
 
 SCRIPTS = ("typescript", "javascript")
+LANGUAGES = (*SCRIPTS, "go", "java", "kotlin", "rust", "c", "cpp")
 MAX_DEPTH = 6
 
 _EXPORT = r"^\s*(?:export\s+(?:default\s+)?)?"
@@ -163,7 +164,7 @@ def declarations(files: DataFrame) -> DataFrame:
     code, language = F.col("code"), F.col("language")
     attribute = (language == "rust") & code.rlike(r"^\s*#!?\[")
     access = (language == "cpp") & code.rlike(_ACCESS)
-    lines = lexer.code_lines(files).where(code.rlike(r"\S") & ~attribute & ~access)
+    lines = lexer.code_lines(files, LANGUAGES).where(code.rlike(r"\S") & ~attribute & ~access)
     guard = (
         F.when((language == "cpp") & code.rlike(r"^\s*#\s*if"), 1)
         .when((language == "cpp") & code.rlike(r"^\s*#\s*endif"), -1)

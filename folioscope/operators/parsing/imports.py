@@ -76,34 +76,34 @@ def _plain(pattern: str):
 
 def file_imports(content: Column, language: Column) -> Column:
     """Array of (source, names, default_name, is_namespace) in file order."""
-    visible = lexer.masked(content, language, keep_strings=True)
 
-    def statements(pattern: str) -> Column:
+    def statements(pattern: str, *languages: str) -> Column:
+        visible = lexer.masked(content, language, languages, keep_strings=True)
         return F.regexp_extract_all(visible, F.lit(pattern), 0)
 
     go = F.flatten(
-        F.transform(statements(GO), lambda s: F.regexp_extract_all(s, F.lit(GO_SPEC), 1))
+        F.transform(statements(GO, "go"), lambda s: F.regexp_extract_all(s, F.lit(GO_SPEC), 1))
     )
     rust = F.filter(
         F.transform(
-            statements(RUST), lambda s: F.trim(F.regexp_extract(s, r"(?s)use\s+([^;]+);", 1))
+            statements(RUST, "rust"), lambda s: F.trim(F.regexp_extract(s, r"(?s)use\s+([^;]+);", 1))
         ),
         lambda s: ~s.rlike(r"^\{") & ~s.rlike(r"^[^{]*\sas\s"),
     )
     python = F.filter(
-        F.transform(statements(PYTHON), _python), lambda x: x["source"].isNotNull()
+        F.transform(statements(PYTHON, "python"), _python), lambda x: x["source"].isNotNull()
     )
     return (
-        F.when(language.isin("typescript", "javascript"), F.transform(statements(SCRIPT), _script))
+        F.when(language.isin("typescript", "javascript"), F.transform(statements(SCRIPT, "typescript", "javascript"), _script))
         .when(language == "python", python)
         .when(language == "go", F.transform(go, lambda s: _entry(s, F.array())))
         .when(language == "java", F.transform(
-            statements(JAVA), _plain(r"import[ \t]+(?:static[ \t]+)?([\w.]+?)(?:\.\*)?[ \t]*;")))
+            statements(JAVA, "java"), _plain(r"import[ \t]+(?:static[ \t]+)?([\w.]+?)(?:\.\*)?[ \t]*;")))
         .when(language == "kotlin", F.transform(
-            statements(KOTLIN), _plain(r"import[ \t]+([\w.]*\w)")))
+            statements(KOTLIN, "kotlin"), _plain(r"import[ \t]+([\w.]*\w)")))
         .when(language == "rust", F.transform(rust, lambda s: _entry(s, F.array())))
         .when(language == "c", F.transform(
-            statements(INCLUDE), _plain(r"""include[ \t]*[<"]([^>"]+)""")))
+            statements(INCLUDE, "c"), _plain(r"""include[ \t]*[<"]([^>"]+)""")))
         .when(language == "markdown", markdown.links(content))
     )
 

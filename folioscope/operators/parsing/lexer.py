@@ -66,16 +66,26 @@ def _hollow(token: Column, keep_last: bool) -> Column:
     return F.concat(F.substring(quoted, F.lit(1), F.length(token) - 1), F.lit('"'))
 
 
-def masked(text: Column, language: Column, keep_strings: bool = False) -> Column:
+def masked(
+    text: Column,
+    language: Column,
+    languages: tuple[str, ...],
+    keep_strings: bool = False,
+) -> Column:
     """Text of the same shape with comments blanked and strings hollowed out.
 
-    With ``keep_strings`` one-line strings stay readable, for import sources.
+    ``languages`` names those that can occur here, so that no other dialect enters
+    the plan. With ``keep_strings`` one-line strings stay readable, for import sources.
     """
-    result = F.when(language == "markdown", _mask_fences(text))
-    for languages, hidden in DIALECTS.items():
-        visible = _visible(hidden, keep_strings, keep_last="python" not in languages)
+    result = F.when(F.lit(False), text)
+    if "markdown" in languages:
+        result = result.when(language == "markdown", _mask_fences(text))
+    for dialect, hidden in DIALECTS.items():
+        if not set(dialect) & set(languages):
+            continue
+        visible = _visible(hidden, keep_strings, keep_last="python" not in dialect)
         joined = F.array_join(F.transform(_tokens(text, hidden), visible), "")
-        result = result.when(language.isin(*languages), joined)
+        result = result.when(language.isin(*dialect), joined)
     return result
 
 
@@ -107,11 +117,14 @@ def _mask_fences(text: Column) -> Column:
     return F.array_join(F.transform(fences, visible), "")
 
 
-def code_lines(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def code_lines(
+    files: DataFrame, languages: tuple[str, ...], extra: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per line: number, source text and masked text. Feed only to projections."""
+    code = masked(F.col("content"), F.col("language"), languages)
     both = F.arrays_zip(
         F.split(F.col("content"), "\n", -1).alias("text"),
-        F.split(masked(F.col("content"), F.col("language")), "\n", -1).alias("code"),
+        F.split(code, "\n", -1).alias("code"),
     )
     rows = files.select("content_id", "language", *extra, F.posexplode(both).alias("pos", "l"))
     return rows.select(

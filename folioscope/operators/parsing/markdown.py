@@ -45,7 +45,7 @@ def headings(files: DataFrame) -> DataFrame:
     md = files.where(F.col("language") == "markdown")
     code = F.col("code")
     sized = md.withColumn("lines", F.size(F.split("content", "\n", -1)))
-    rows = lexer.code_lines(sized, ("lines",)).where(F.col("text").rlike(r"\S"))
+    rows = lexer.code_lines(sized, ("markdown",), ("lines",)).where(F.col("text").rlike(r"\S"))
     marks = F.length(F.regexp_extract(code, ATX, 1))
     underline = F.regexp_extract(code, UNDERLINE, 1)
     paragraph = code.rlike(r"\S") & (marks == 0) & ~code.rlike(NOT_PARAGRAPH)
@@ -110,7 +110,7 @@ def links(text: Column) -> Column:
     link = r"(?<!!)\[(?:[^\[\]]|\[[^\]]*\])*\]\((?:<[^>\n]*>|[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+[\"'(][^\n]*?[\"')])?\)"
     auto = r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>"
     found = F.filter(
-        F.regexp_extract_all(lexer.masked(text, F.lit("markdown")), F.lit(f"{code}|{link}|{auto}"), 0),
+        F.regexp_extract_all(lexer.masked(text, F.lit("markdown"), ("markdown",)), F.lit(f"{code}|{link}|{auto}"), 0),
         lambda t: ~t.startswith("`"),
     )
     empty = F.lit(None).cast("string")

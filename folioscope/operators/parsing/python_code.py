@@ -13,7 +13,7 @@ def declarations(files: DataFrame) -> DataFrame:
     """Module docstring, functions, classes and plain methods with their ranges."""
     code, text = F.col("code"), F.col("text")
     kept = text.rlike(r"\S") & (code.rlike(r"\S") | ~text.rlike(r"^\s*#"))
-    lines = lexer.code_lines(files).where((F.col("language") == "python") & kept)
+    lines = lexer.code_lines(files, ("python",)).where((F.col("language") == "python") & kept)
     expanded = F.replace(code, F.lit("\t"), F.lit("        "))
     opened = F.length(code) - F.length(F.translate(code, "{([", ""))
     closed = F.length(code) - F.length(F.translate(code, "})]", ""))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.operators import chunking
 from folioscope.operators.parsing import markdown, symbols
+from folioscope.operators.shape import computed_once
 from folioscope.sources import tables
 
 # language: lines before the comments, comment mark, lines after them. # is the id.
@@ -112,16 +113,19 @@ def program_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def render_programs(docs: DataFrame) -> DataFrame:
-    number = F.col("doc_id").cast("string")
+    language = F.element_at(
+        F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("doc_id") % len(LANGUAGES) + 1).cast("int")
+    )
+    named = docs.select(
+        "text", F.col("doc_id").cast("string").alias("content_id"), language.alias("language")
+    )
+    number, language = F.col("content_id"), F.col("language")
 
     def fixed(lines: tuple[str, ...]) -> Column:
         text = "\n".join(lines).replace("@include", "%include")
         filled = F.replace(F.lit(text), F.lit("#"), number)
         return F.replace(filled, F.lit("%include"), F.lit("#include"))
 
-    language = F.element_at(
-        F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("doc_id") % len(LANGUAGES) + 1).cast("int")
-    )
     program = None
     for name, (head, mark, tail) in PROGRAMS.items():
         body = F.concat(
@@ -131,7 +135,7 @@ def render_programs(docs: DataFrame) -> DataFrame:
         program = F.when(language == name, text) if program is None else program.when(
             language == name, text
         )
-    return docs.select(number.alias("content_id"), language.alias("language"), program.alias("content"))
+    return computed_once(named, "content", program).drop("text")
 
 
 def parse_symbols(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Runtime settings that hold at any size. Skewed join partitions are split by
@@ -57,3 +61,23 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application.
+
+    Only stages that run Python need it: embedding and the git sources.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="run-package-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "folioscope"), "zip", os.path.dirname(package), "folioscope"
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -13,6 +13,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions import text as text_fn
+from folioscope.session import ship_package
 
 DIMENSIONS = 768
 BATCH = 64
@@ -145,6 +146,7 @@ def embed_chunks(
                     }
                 )
 
+    ship_package(chunks.sparkSession)
     schema = "content_sha256 string, _vector array<float>, _error string"
     done = texts.mapInPandas(run, schema)
     joined = chunks.join(done, "content_sha256", "left")

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from folioscope.session import ship_package
+
 TREE_SCHEMA = "path string, blob string, content binary"
 REFS_SCHEMA = "kind string, ref string, commit_sha string"
 
@@ -110,6 +112,7 @@ class GitRefs(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(GitTree)
     spark.dataSource.register(GitRefs)
 
