@@ -126,7 +126,8 @@ def rrf_top(
     m = len(legs)
     depth = m * (k + limit) - k
     ident = F.struct(*[F.col(c) for c in key])
-    slim = scored.select(ident.alias("_key"), *legs)
+    # Scores cost a pass over the text; the passes below only need keys and scores.
+    slim = scored.select(ident.alias("_key"), *legs).persist()
 
     heads = None
     for leg in legs:

@@ -38,14 +38,14 @@ def document_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sha256(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     return ingest.with_content_id(docs, "text").select(
         "doc_id", "content_id", text_fn.token_estimate(F.col("text")).alias("tokens")
     )
 
 
 def skip_file(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     marked = ingest.split_skipped(docs, "text", max_bytes=8192)
     return marked.select("doc_id", "skip_reason")
 
@@ -83,7 +83,7 @@ def manifest_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_list(spark: SparkSession, folder: str) -> DataFrame:
     """Comma lists made of the words of each document's first sentence."""
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     head = F.replace(F.substring_index("text", ".", 1), F.lit(" "), F.lit(" , "))
     return docs.select(
         "doc_id",
@@ -155,7 +155,7 @@ def last_write(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as whole-file chunks; a vector exists where the tables hold one."""
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     vectors = tables.table(spark, folder, "embeddings")
     hashed = docs.select(
         F.col("doc_id").alias("chunk_id"), "source", text_fn.content_hash(F.col("text")).alias("content_sha256")
@@ -197,7 +197,7 @@ def repair_unembedded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def backfill_hash(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     hashed = docs.select(
         "doc_id",
         F.col("text").alias("content"),
@@ -309,7 +309,7 @@ def chunk_symbol_link(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def truncate(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     cut = text_fn.truncate_for_embedding(F.col("text"), 100)
     return docs.select("doc_id", F.length(cut).alias("kept"), F.sha2(cut, 256).alias("cut_sha"))
 

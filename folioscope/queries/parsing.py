@@ -109,7 +109,7 @@ IMPORTS = {
 
 
 def program_files(spark: SparkSession, folder: str) -> DataFrame:
-    return render_programs(tables.table(spark, folder, "documents"))
+    return render_programs(tables.documents(spark, folder))
 
 
 def render_programs(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def index_programs(spark: SparkSession, folder: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a heading on every fifth line and a blank one before it."""
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     lines = F.split("text", "\n", -1)
 
     def line(x: Column, i: Column) -> Column:

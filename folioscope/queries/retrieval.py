@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscope.operators import context, postings, search
 from folioscope.queries import sql
 from folioscope.sources import tables
+from folioscope.sources.work import work_folder
 
 QUERY = '"de la" theUnd'
 PHRASE, WORDS = ("de", "la"), ["the", "und"]
@@ -26,18 +27,18 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Build the inverted index of all chunks, then score two words from it."""
+    place = work_folder(spark, "postings")
     chunks = tables.corpus_chunks(spark, folder).select(*KEY, "content")
-    index = postings.postings(chunks, KEY)
-    totals = index.groupBy(*KEY).agg(F.max("length").alias("length")).agg(
-        F.count("*").alias("n"), F.sum("length").alias("total")
-    )
+    postings.write_index(chunks, KEY, place)
+    index, totals = postings.read_index(spark, place)
     return postings.score_postings(index, totals, KEY, WORDS)
 
 
 def code_words(spark: SparkSession, folder: str) -> DataFrame:
     from folioscope.functions import text as text_fn
 
-    pages = tables.table(spark, folder, "pages")
+    pages = tables.spread(tables.table(spark, folder, "pages"), "page_id")
     words = F.explode(text_fn.code_words(F.concat_ws(" ", "url", "html")))
     return pages.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
 
@@ -214,7 +215,7 @@ counted AS (
   SELECT {_KEY}, len(ws) AS dl, len(list_filter(ws, lambda x: x = 'the')) AS a,
          len(list_filter(ws, lambda x: x = 'und')) AS b FROM tokens),
 totals AS (SELECT count(*) AS n, CAST(sum(dl) AS DOUBLE) AS total, count(*) FILTER (WHERE a > 0)
-           AS da, count(*) FILTER (WHERE b > 0) AS db FROM counted WHERE dl > 0)
+           AS da, count(*) FILTER (WHERE b > 0) AS db FROM counted)
 SELECT {_KEY}, round(
   ln(1.0 + (n - da + 0.5) / (da + 0.5)) * (a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / (total / n))))
   + ln(1.0 + (n - db + 0.5) / (db + 0.5)) * (b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / (total / n)))),

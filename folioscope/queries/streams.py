@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as text_fn
@@ -14,18 +12,10 @@ from folioscope.queries import catalogue, parsing
 from folioscope.schemas import CHUNKS, FILE_CONTENTS, IMPORTS, REF_FILES, SYMBOLS
 from folioscope.sources import embedding as providers
 from folioscope.sources import files, tables
+from folioscope.sources.work import work_folder
 from folioscope.streaming import jobs as streams
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint place, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"run-{name}-")
-    stamp = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{shared.rstrip('/')}/{name}-{stamp}"
-
-
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = tables.table(spark, folder, name).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
@@ -84,7 +74,7 @@ def incremental_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.documents(spark, folder)
     chunks = docs.select(
         "doc_id",
         F.col("text").alias("content"),

@@ -9,12 +9,29 @@ from folioscope.operators import chunking, ingest
 
 REFS = 20
 REPOS = 5
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Put a small input on all cores before work that is heavy per byte of text.
+
+    A small file is often one row group and so one task. Inputs with a full split per
+    core already keep every core busy and are left as they are, so the shuffle added
+    here never exceeds one split per core. The key must be unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def scan(df: DataFrame, where: Column | None = None) -> DataFrame:
     return df if where is None else df.where(where)
 
@@ -27,7 +44,7 @@ def find_one(df: DataFrame, where: Column, order: str) -> DataFrame:
 def corpus_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of twenty refs: one slot of a path per language and number."""
     slot = F.expr(f"doc_id div {REFS}").cast("string")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("ordinal"),
         (F.col("doc_id") % REFS).alias("repo_ref_id"),
         F.concat(F.col("lang"), F.lit("/"), slot).alias("path"),
@@ -98,7 +115,7 @@ def scoped_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def snapshot_pair(spark: SparkSession, folder: str) -> DataFrame:
     """Two versions of the documents: one in ten added, deleted and modified each."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
     edited = F.when(
         F.col("doc_id") % 10 == 2, F.concat(F.col("text"), F.lit("\n// v2"))
