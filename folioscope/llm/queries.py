@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate
+from folioscope.llm import common, decontaminate, pieces
 from folioscope.session import ship_package
 
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are; they are installed, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -69,3 +78,12 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
     sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
 """
+
+
+@_query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document with the end id, and the text that they decode to, as digests."""
+    coded = pieces.code(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(
+        F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256"
+    )
