@@ -188,7 +188,7 @@ def collect_sketch(frame: DataFrame, block_bits: int = 14) -> np.ndarray:
     """Add the partial sketches of all tasks block by block; the result has a fixed size."""
     width = 1 << block_bits
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for batch in batches:
             for packed in batch.column("packed"):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate, pieces
+from folioscope.llm import common, decontaminate, jaccard, pieces
 from folioscope.session import ship_package
 
 
@@ -87,3 +87,37 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256"
     )
+
+
+@_query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard of 0.9 or more."""
+    return jaccard.near_components(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+ORACLES["op2_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, hash(g) AS g FROM (
+        SELECT doc_id, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0))
+), n AS (
+    SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+    SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y
+    WHERE 100 * c >= 90 * (i.k + j.k - c)
+), e AS (
+    SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+    SELECT doc_id, doc_id AS t FROM d
+    UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.t = e.x
+)
+SELECT d.doc_id, coalesce(k, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
