@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate, jaccard, pieces
+from folioscope.llm import common, decontaminate, jaccard, pieces, toxicity
 from folioscope.session import ship_package
 
 
@@ -121,3 +121,16 @@ SELECT d.doc_id, coalesce(k, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    scored = toxicity.score(
+        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    )
+    doc_id = F.col("row.doc_id")
+    return scored.select(
+        doc_id.alias("doc_id"), common.held_out(doc_id, 0).alias("held_out"), "score",
+        toxicity.predicted().alias("predicted"),
+    )
