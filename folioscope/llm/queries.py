@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate, jaccard, pieces, toxicity
+from folioscope.llm import common, decontaminate, jaccard, pieces, rangejoin, rollup, toxicity
 from folioscope.session import ship_package
 
 
@@ -134,3 +134,80 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc_id.alias("doc_id"), common.held_out(doc_id, 0).alias("held_out"), "score",
         toxicity.predicted().alias("predicted"),
     )
+
+
+def _without_title(text: Column) -> Column:
+    return F.regexp_replace(text, "^[^\n]*\n", "")
+
+
+@_query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load, a revision (titles removed), a removal (low quality) and replays."""
+    docs = common.table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang",
+        rollup.counts(F.col("text")).alias("before"),
+        rollup.counts(_without_title(F.col("text"))).alias("after"),
+    )
+    counted = common.stored(docs)  # a slim row per document; texts are read once
+    poor = common.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    batches = {
+        "load": rollup.signed(counted, 1, "before"),
+        "revise": rollup.revised(counted, "before", "after"),
+        "remove": rollup.signed(counted.join(poor, "doc_id", "left_semi"), -1, "after"),
+    }
+    ledger = rollup.Ledger(spark, common.shared_folder(spark))
+    for name in ("load", "revise", "revise", "remove", "load"):
+        ledger.commit(name, batches[name])
+    return ledger.totals()
+
+
+ORACLES["op1_token_counts"] = r"""
+WITH d AS (
+    SELECT doc_id, source, lang, regexp_replace(coalesce(text, ''), '^[^\n]*\n', '') AS t FROM documents
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)
+), c AS (
+    SELECT source, lang, 'space-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM d
+    UNION ALL
+    SELECT source, lang, 'plain-1', len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM d
+), k AS (
+    SELECT DISTINCT source, lang, tokenizer FROM documents, (VALUES ('space-1'), ('plain-1')) v(tokenizer)
+)
+SELECT k.source, k.lang, k.tokenizer, count(c.n) AS n_docs, coalesce(sum(c.n), 0) AS n_tokens
+FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.lang IS NOT DISTINCT FROM c.lang
+    AND k.tokenizer = c.tokenizer GROUP BY 1, 2, 3
+"""
+
+#: The rules of the URL query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@_query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by the longest rule that fits it."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = rangejoin.judge(pages, rules)
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+ORACLES["op8_url_filters"] = r"""
+WITH r(h, p, v) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), u AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+)
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule,
+    coalesce(arg_max(v, length(h || p)), 'allow') AS verdict
+FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id, host, path
+"""
