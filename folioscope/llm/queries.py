@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate, jaccard, pieces, rangejoin, rollup, toxicity
+from folioscope.llm import common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, toxicity
 from folioscope.session import ship_package
 
 
@@ -211,3 +211,59 @@ SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule,
 FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
 GROUP BY page_id, host, path
 """
+
+
+@_query
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Only the id goes on behind the scan of the text.
+    scanned = licenses.scan(docs)
+    return scanned.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        "base_labels", "labels", "score",
+    )
+
+
+def _license_oracle() -> str:
+    """The base phrases by windows of words, the templates by sets of words of each line."""
+    values = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', '{t}')" for k, (label, t) in enumerate(licenses.TEMPLATES))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH d AS (
+    SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents
+), w AS (
+    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS w FROM d
+), p AS (
+    SELECT len(string_split(p, ' ')) AS m, p, label FROM (VALUES {values}) v(p, label)
+), b AS (
+    SELECT doc_id, i - 1 AS pos, label FROM (
+        SELECT doc_id, w, m, p, label, unnest(range(1, len(w) - m + 2)) AS i FROM w, p WHERE len(w) >= m
+    ) WHERE array_to_string(w[i:i + m - 1], ' ') = p
+), base AS (
+    SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id
+), l AS (
+    SELECT doc_id, row_number() OVER () AS k, list_distinct(regexp_extract_all(line, '{pattern}')) AS s
+    FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), t AS (
+    SELECT k, label, list_distinct(string_split(t, ' ')) AS s FROM (VALUES {templates}) v(k, label, t)
+), h AS (
+    SELECT doc_id, label, len(list_intersect(l.s, t.s)) * 1.0 / len(t.s) AS c FROM l, t
+    WHERE len(list_intersect(l.s, t.s)) >= ceil(len(t.s) * {licenses.THRESHOLD} - 0.0001)
+), found AS (
+    SELECT doc_id, max(c) AS c FROM h GROUP BY doc_id
+), every AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM b) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
+ORACLES["op4_license_scans"] = _license_oracle()
