@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, toxicity
+from folioscope.llm import common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, styletree, toxicity
 from folioscope.session import ship_package
 
 
@@ -267,3 +267,13 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN ev
 
 
 ORACLES["op4_license_scans"] = _license_oracle()
+
+
+@_query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    read = styletree.extract(common.table(spark, sf_dir, "pages"))
+    return read.select(
+        F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
+        F.length("text").cast("long").alias("n_chars"),
+    )
