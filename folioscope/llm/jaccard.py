@@ -54,18 +54,18 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
         if end - first >= n:
             sets.append(np.unique(grams[first : end - n + 1]))
         elif end > first:
-            total = np.uint64(end - first)
+            total = np.array([end - first], np.uint64)
             for word in prints[first:end]:
                 total = common.mix((total + word) * _STEP)
-            sets.append(np.array([total], np.uint64))
+            sets.append(total)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
 
 
 def set_print(grams: np.ndarray) -> np.uint64:
-    total = np.uint64(len(grams)) * _STEP + grams.sum(dtype=np.uint64)
-    return common.mix(np.array([total ^ np.bitwise_xor.reduce(common.mix(grams))]))[0]
+    total = np.array([len(grams)], np.uint64) * _STEP + grams.sum(dtype=np.uint64)
+    return common.mix(total ^ np.bitwise_xor.reduce(common.mix(grams)))[0]
 
 
 def _at_least(num: int, den: int, size: np.ndarray | int):
@@ -276,3 +276,30 @@ def near_components(
         .unionByName(alone)
         .withColumnRenamed("id", doc_id)
     )
+
+
+def distinct_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """The documents, with one of each component: that of the smallest id.
+
+    Rows with one id and different texts are told apart by their texts; of rows equal in both
+    one stays. Texts without words stay.
+    """
+    key = F.struct(F.col(doc_id).alias("id"), F.md5(text).alias("digest"))
+    near = near_components(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", n, num, den)
+    marks = near.where("n_shingles > 0").groupBy("key").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("component_id").alias("first")
+    )
+    leave = ~F.col("key").eqNullSafe(F.col("first"))
+    marks = stored(
+        marks.where(leave | (F.col("copies") > 1)).select(
+            F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), leave.alias("_leave")
+        )
+    )
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.md5(text).eqNullSafe(F.col("_digest"))
+    marked = docs.join(marks, same, "left")
+    kept = marked.where("_leave is null")
+    if not marks.where("not _leave").isEmpty():
+        kept = kept.unionByName(marked.where("not _leave").dropDuplicates(["_id", "_digest"]))
+    return kept.select(*docs.columns)

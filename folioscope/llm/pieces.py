@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -237,7 +238,7 @@ def code(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                     rows["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
                     if "ids" in rows:
-                        rows["ids"].append([int(i) for i in joined.split()])
+                        rows["ids"].append(np.fromstring(joined, np.int32, sep=" "))
                     if "decoded" in rows:
                         rows["decoded"].append(back)
                 yield pa.RecordBatch.from_arrays(
