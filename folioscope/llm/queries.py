@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm import common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, styletree, toxicity
+from folioscope.llm import collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, styletree, toxicity
 from folioscope.session import ship_package
 
 
@@ -277,3 +277,9 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
         F.length("text").cast("long").alias("n_chars"),
     )
+
+
+@_query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector by cosine."""
+    return collide.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
