@@ -146,7 +146,7 @@ def walk(page: str) -> Iterator[tuple]:
                 if stack[k].tag in KEEP_OPEN and stack[k].tag not in ENDS.get(tag, ()):
                     break
         top = stack[-1]
-        style = re.sub(r"\d+", "0", f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}")
+        style = re.sub(r"\d{3,}", "0", f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}")
         top.children.append(style)
         if tag in VOID:
             yield ("text", " ", stack) if tag in INLINE else ("break",)

@@ -10,8 +10,8 @@ The network is fitted on a bounded sample: at most TOXIC_ROWS and CLEAN_ROWS lab
 documents of at most SAMPLE_CHARS characters, chosen by a hash of their ids. Scoring reads
 every document whole and needs no shuffle.
 
-Defined results: a null, empty or wordless text gets the score of a text without signals (one
-window of nothing); repeated rows get equal scores; if the labelled rows are all of one kind
+Defined results: a null, empty or wordless text has no window and the score 0; repeated rows get
+equal scores; if the labelled rows are all of one kind
 (or none), every text gets that kind's share of toxic labels (0 without labels); null labels
 and ids teach nothing; other columns pass through.
 """
@@ -173,7 +173,7 @@ class Net:
         return result
 
     def logits(self, column: pa.Array) -> np.ndarray:
-        """The largest window logit of every row."""
+        """The largest window logit of every row; without words it is minus infinity."""
         words = Words(column)
         index, mask, row = windows(words.rows)
         result = np.full(len(column), -np.inf, np.float32)
@@ -181,10 +181,12 @@ class Net:
             index = np.where(mask, words.index[np.minimum(index, len(words.index) - 1)], 0)
             inputs = self.word_inputs(words, np.arange(len(words.length)))
             np.maximum.at(result, row, self.window_logits(inputs, index, mask))
-        return np.where(np.isfinite(result), result, self.w["bias"][0])
+        return result
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return _sigmoid(self.scale * self.logits(column).astype(np.float64) + self.shift)
+        logits = self.logits(column).astype(np.float64)
+        some = np.isfinite(logits)
+        return np.where(some, _sigmoid(self.scale * np.where(some, logits, 0) + self.shift), 0.0)
 
 
 def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,13 +324,14 @@ def _calibrate(net: Net, groups: list) -> None:
     """Scale and shift of the largest logits, fitted by Newton steps with a small penalty."""
     logits, labels = [], []
     for words, index, mask, row, label in groups:
-        best = np.full(len(label), net.w["bias"][0], np.float64)
         if len(row):
+            best = np.full(len(label), -np.inf)
             inputs = net.word_inputs(words, np.arange(len(words.length)))
-            best[np.unique(row)] = -np.inf
             np.maximum.at(best, row, net.window_logits(inputs, index, mask))
-        logits.append(best)
-        labels.append(label)
+            logits.append(best[np.unique(row)])
+            labels.append(label[np.unique(row)])
+    if not logits:
+        return
     x, y = np.concatenate(logits), np.concatenate(labels)
     x = np.stack([x, np.ones(len(x))], 1)
     b = np.array([1.0, 0.0])
