@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,59 +150,77 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 # --- fixed-size counts over all rows --------------------------------------------------------
 
-#: Cells of a count sketch; its size does not grow with the input.
-SKETCH_BITS = 20
+#: Cells of a count sketch and of the blocks it travels in; they do not grow with the input.
+SKETCH_BITS, BLOCK_BITS = 22, 14
+
+SKETCH_SCHEMA = "block int, packed binary"
 
 
 def sketch_cells(prints: np.ndarray) -> np.ndarray:
     return (prints >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def sketch_rows(counts: np.ndarray, block_bits: int = 14) -> Iterator[pa.RecordBatch]:
-    """Non-empty blocks of a sketch, packed, for `collect_sketch` to add up."""
-    width = 1 << block_bits
-    numbers, packed = [], []
-    for number, first in enumerate(range(0, len(counts), width)):
-        part = counts[first : first + width]
-        if part.any():
-            kind = np.uint16 if part.max() < 1 << 16 else np.int64
-            numbers.append(number)
-            packed.append(
-                bytes([np.dtype(kind).itemsize]) + pa.compress(part.astype(kind).tobytes(), codec="lz4", asbytes=True)
-            )
+def _pack(counts: np.ndarray) -> bytes:
+    kind = np.uint8 if counts.max() < 256 else np.int64
+    raw = counts.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    kind = np.uint8 if packed[0] == 1 else np.int64
+    raw = pa.decompress(packed[1:], packed[0] << BLOCK_BITS, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, kind)
+
+
+def sketch_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The non-empty blocks of one task's sketch, packed, for `collect_ranks` to add up."""
+    parts = counts.reshape(-1, 1 << BLOCK_BITS)
+    numbers = np.flatnonzero(parts.any(1))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"]
+        [pa.array(numbers, pa.int32()), pa.array([_pack(parts[n]) for n in numbers], pa.binary())],
+        ["block", "packed"],
     )
 
 
-SKETCH_SCHEMA = "block int, packed binary"
+def whole_blocks(size: int) -> int:
+    """The size rounded up to whole blocks."""
+    return -(-size // (1 << BLOCK_BITS)) << BLOCK_BITS
+
+
+def collect_counts(frame: DataFrame, size: int) -> np.ndarray:
+    """Add all tasks' counts of a table of fixed size block by block."""
+    result = np.zeros((whole_blocks(size) >> BLOCK_BITS, 1 << BLOCK_BITS), np.int64)
+    for row in _added(frame, _pack).toLocalIterator():
+        result[row.block] = _unpack(bytes(row.packed))
+    return result.ravel()[:size]
+
+
+def collect_ranks(frame: DataFrame) -> np.ndarray:
+    """Add all tasks' sketches block by block; each cell's count as a rank from 0 to 255.
+
+    The driver gets one byte for each cell. A rank is the count on a logarithmic scale.
+    """
 
+    def ranks(total: np.ndarray) -> bytes:
+        return np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8).tobytes()
 
-def _unpack(packed: bytes, width: int) -> np.ndarray:
-    kind = np.int64 if packed[0] == 8 else np.uint16
-    raw = pa.decompress(packed[1:], width * packed[0], codec="lz4", asbytes=True)
-    return np.frombuffer(raw, kind).astype(np.int64)
+    result = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    for row in _added(frame, ranks).collect():
+        result[row.block] = np.frombuffer(bytes(row.packed), np.uint8)
+    return result.ravel()
 
 
-def collect_sketch(frame: DataFrame, block_bits: int = 14) -> np.ndarray:
-    """Add the partial sketches of all tasks block by block; the result has a fixed size."""
-    width = 1 << block_bits
+def _added(frame: DataFrame, pack: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """The sum of each block over all tasks, packed."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
         for batch in batches:
             for packed in batch.column("packed"):
-                total += _unpack(packed.as_py(), width)
+                total += _unpack(packed.as_py())
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([key[0].as_py()], pa.int32()),
-                pa.array([pa.compress(total.tobytes(), codec="lz4", asbytes=True)], pa.binary()),
-            ],
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())],
             ["block", "packed"],
         )
 
-    result = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in frame.groupBy("block").applyInArrow(add, SKETCH_SCHEMA).collect():
-        raw = pa.decompress(bytes(row.packed), width * 8, codec="lz4", asbytes=True)
-        result[row.block * width : (row.block + 1) * width] = np.frombuffer(raw, np.int64)
-    return result
+    return frame.groupBy("block").applyInArrow(add, SKETCH_SCHEMA)

@@ -7,10 +7,11 @@
    n-gram in the prefixes, whose length follows from the threshold.
 3. Nodes that share a prefix n-gram are candidates if lengths, positions of the shared n-gram
    and the suffix bound allow the threshold; each pair is verified once on the full sets.
-4. A group of thousands of near copies shares its n-grams. Instead of all its pairs, two hubs
-   per n-gram are joined with the others first. Then only pairs whose nodes are still in
-   different components are joined, and of these never two of the n-gram's largest component.
-   A link is left out only if its ends are already connected, so the components are exact.
+4. A group of thousands of near copies shares its n-grams. Instead of all its pairs, one hub
+   per n-gram, the node with the fewest n-grams of its own, is joined with the others first.
+   Then only pairs whose nodes are still in different components are joined, and of these never
+   two of the n-gram's largest component. A link is left out only if its ends are already
+   connected, so the components are exact.
 
 Sets are kept as 64-bit fingerprints of n-grams; equal sets are recognised by a 64-bit
 fingerprint of the set with its size.
@@ -79,52 +80,58 @@ def _column_at_least(num: int, den: int, size: Column) -> Column:
 
 
 def gram_order(texts: DataFrame, n: int) -> np.ndarray:
-    """Counts of all n-grams of all texts, in cells: the global order of fixed size."""
+    """Ranks of the counts of all n-grams of all texts, in cells: the global order."""
 
     def count(batches):
-        total = np.zeros(1 << common.SKETCH_BITS, np.int64)
+        total = np.zeros(1 << common.SKETCH_BITS, np.int32)
         for batch in batches:
             for part in common.blocks(batch, "text"):
                 sets = shingle_sets(part.column("text"), n)
                 cells = common.sketch_cells(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                total += np.bincount(cells, minlength=len(total))
+                total += np.bincount(cells, minlength=len(total)).astype(np.int32)
         yield from common.sketch_rows(total)
 
-    return common.collect_sketch(texts.select("text").mapInArrow(count, common.SKETCH_SCHEMA))
+    return common.collect_ranks(texts.select("text").mapInArrow(count, common.SKETCH_SCHEMA))
 
 
 def _prefixes(texts: DataFrame, order: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """Each document with its set's size and fingerprint, its prefix and the counts by part."""
+    """Each document with its set's size and fingerprint, its prefix and the counts by part.
+
+    `worth` is the mean rank of the prefix: of near copies, those with the fewest n-grams of
+    their own have the largest.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(order)
-    names = ["id", "n", "sig", "parts", "prefix"]
+    names = ["id", "n", "sig", "worth", "parts", "prefix"]
 
     def run(batches):
-        counts = sent.value
+        ranks = sent.value
         for batch in batches:
             for part in common.blocks(batch, "text"):
-                sizes, sigs, hists, prefixes = [], [], [], []
+                sizes, sigs, worths, hists, prefixes = [], [], [], [], []
                 for grams in shingle_sets(part.column("text"), n):
                     size = len(grams)
                     sizes.append(size)
                     sigs.append(int(common.signed(np.array([set_print(grams)]))[0]) if size else 0)
                     # No other set can be near one that is too small to differ in one n-gram.
                     keep = size - _at_least(num, den, size) + 1 if den * size >= num * (size + 1) else 0
-                    first = np.lexsort((grams, counts[common.sketch_cells(grams)]))[:keep] if keep else []
-                    prefixes.append(common.signed(grams[first]) if keep else [])
+                    rank = ranks[common.sketch_cells(grams)]
+                    first = np.lexsort((grams, rank))[:keep]
+                    worths.append(int(rank[first].mean() * 16) if keep else 0)
+                    prefixes.append(common.signed(grams[first]))
                     hists.append(
                         np.bincount((grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) if keep else []
                     )
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()),
-                        pa.array(hists, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(worths, pa.int32()), pa.array(hists, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64())),
                     ],
                     names,
                 )
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.select("id", "text").mapInArrow(
-        run, f"id {kind}, n long, sig long, parts array<int>, prefix array<long>"
+        run, f"id {kind}, n long, sig long, worth int, parts array<int>, prefix array<long>"
     )
 
 
@@ -144,17 +151,9 @@ def _near(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, num: int, den:
 
 
 def _pair(frame: DataFrame, one: str, other: str) -> DataFrame:
-    """Two nodes with sizes as (a, b), a < b, each pair once."""
-    left, right = F.col(one), F.col(other)
-    first = left["sig"] < right["sig"]
-    return (
-        frame.where(left["sig"] != right["sig"])
-        .select(
-            F.when(first, left["sig"]).otherwise(right["sig"]).alias("a"),
-            F.when(first, right["sig"]).otherwise(left["sig"]).alias("b"),
-        )
-        .distinct()
-    )
+    """Two columns of nodes as (a, b), a < b, each pair once."""
+    a, b = F.least(one, other).alias("a"), F.greatest(one, other).alias("b")
+    return frame.where(F.col(one) != F.col(other)).select(a, b).distinct()
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -227,40 +226,47 @@ def near_components(
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     members = stored(_prefixes(texts, gram_order(texts, n), n, num, den))
     nodes = stored(
-        members.where(F.size("prefix") > 0).select("sig", "n", "parts", "prefix").dropDuplicates(["sig"])
+        members.where(F.size("prefix") > 0)
+        .select("sig", "n", "worth", "parts", "prefix").dropDuplicates(["sig"])
     )
-    node = F.struct("sig", "n", F.col("pos").cast("long").alias("pos"))
-    posts = nodes.select("sig", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", node.alias("x"))
+    # A post is a node's prefix n-gram; size and position travel in one number.
+    posts = nodes.select("worth", "sig", "n", F.posexplode("prefix").alias("pos", "gram"))
+    posts = posts.select("gram", "worth", "sig", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     hubs = posts.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("many"), F.min("x").alias("low"), F.max("x").alias("high")
+        F.count(F.lit(1)).alias("many"), F.max(F.struct("worth", "sig", "at")).alias("hub")
     )
-    hubs = hubs.where("many > 1")
-    shared = stored(posts.join(hubs, "gram"))
+    hubs = hubs.where("many > 1").select(
+        "gram", "many", F.col("hub.sig").alias("hub"), F.col("hub.at").alias("hub_at")
+    )
+    shared = stored(posts.drop("worth").join(hubs, "gram"))
 
     def near(one: str, other: str) -> Column:
-        a, b = F.col(one), F.col(other)
-        return _near(a["n"], a["pos"], b["n"], b["pos"], num, den)
+        (a_n, a_pos), (b_n, b_pos) = (
+            (F.shiftright(c, 32), F.col(c).bitwiseAND((1 << 32) - 1)) for c in (one, other)
+        )
+        return _near(a_n, a_pos, b_n, b_pos, num, den)
 
-    by_hub = shared.select("x", F.explode(F.array("low", "high")).alias("y")).where(near("x", "y"))
-    tried = _pair(by_hub, "x", "y")
+    tried = _pair(shared.where(near("at", "hub_at")), "sig", "hub")
     pairs = stored(_bounded(tried, nodes, num, den))
     links = stored(_verified(pairs, texts, n, num, den))
     labels = components(links)
 
-    # Grams of up to three nodes are settled: each pair there holds a hub.
-    rest = shared.where("many > 3").select("gram", "x", F.col("x.sig").alias("node"))
-    rest = rest.join(labels, "node", "left").select(
-        "gram", "x", F.coalesce("label", "node").alias("label")
-    )
+    # N-grams of two nodes are settled: their only pair holds the hub.
+    rest = shared.where("many > 2").select("gram", "at", F.col("sig").alias("node"))
+    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = rest.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("gram").agg(
         F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")
     )
     largest = largest.where("kinds > 1").select("gram", F.col("top.label").alias("top"))
     mixed = stored(rest.join(largest, "gram"))
-    others = mixed.where("label <> top").select("gram", F.col("x").alias("y"), F.col("label").alias("other"))
-    apart = mixed.join(others, "gram").where((F.col("label") != F.col("other")) & near("x", "y"))
-    more = _bounded(_pair(apart, "x", "y").join(pairs, ["a", "b"], "left_anti"), nodes, num, den)
+    others = mixed.where("label <> top").select(
+        "gram", F.col("at").alias("other_at"), F.col("node").alias("other"), F.col("label").alias("other_label")
+    )
+    apart = mixed.join(others, "gram").where(
+        (F.col("label") != F.col("other_label")) & near("at", "other_at")
+    )
+    more = _bounded(_pair(apart, "node", "other").join(pairs, ["a", "b"], "left_anti"), nodes, num, den)
     more = stored(more)
     if not more.isEmpty():
         links = links.unionByName(_verified(more, texts, n, num, den))
