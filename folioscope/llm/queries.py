@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm import collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, styletree, toxicity
+from folioscope.llm import (
+    attention, collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup,
+    styletree, toxicity,
+)
 from folioscope.session import ship_package
 
 
@@ -283,3 +286,16 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every fiftieth vector by cosine."""
     return collide.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@_query
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's and the unigram base's log10 probability of every document."""
+    scored = attention.score(
+        common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    )
+    doc_id = F.col("row.doc_id")
+    return scored.select(
+        doc_id.alias("doc_id"), common.held_out(doc_id, attention.HELD_OUT).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
