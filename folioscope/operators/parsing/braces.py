@@ -6,11 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioscope.operators.parsing import lexer
+from folioscope.operators.parsing import fold, lexer
 
 SCRIPTS = ("typescript", "javascript")
 LANGUAGES = (*SCRIPTS, "go", "java", "kotlin", "rust", "c", "cpp")
-MAX_DEPTH = 6
 
 _EXPORT = r"^\s*(?:export\s+(?:default\s+)?)?"
 _JAVA = r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+)*"
@@ -217,27 +216,15 @@ def _ranges(lines: DataFrame) -> DataFrame:
     opens = (F.col("tag") != "code") | (F.col("opens") | (F.col("after") > F.col("depth"))) & ~F.col(
         "opens_alone"
     )
-    opener = F.struct("tag", "line", "code_before")
-    owners = [
-        F.last(F.when((F.col("depth") == d) & opens, opener), ignorenulls=True).over(before)
-        for d in range(MAX_DEPTH)
-    ]
-    up = per_file.orderBy(F.desc("line"))
-    below = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    closing = F.struct("line", "last_word")
-    # The end of a line's own statement and, for grouped types, that of the group.
-    ends = [
-        F.last(
-            F.when((F.col("after") <= d) & F.col("may_end"), closing), ignorenulls=True
-        ).over(below)
-        for d in range(MAX_DEPTH + 1)
-    ]
-    wide = (
-        deep.withColumn("owners", F.array(*owners))
-        .withColumn("end", _pick(F.least(F.col("depth"), F.lit(MAX_DEPTH)), ends))
-        .withColumn("group_end", ends[0])
+    marked = (
+        deep.withColumn("opens", F.coalesce(opens, F.lit(False)))
+        .withColumn("may_end", F.coalesce("may_end", F.lit(False)))
+        .withColumn("wanted", F.coalesce("file_match", "space_match", "body_match").isNotNull())
         .withColumn("last_line", F.max("line").over(per_file))
     )
+    # What encloses a line, and where its statement ends, at any depth.
+    reads = ("line", "depth", "after", "opens", "may_end", "tag", "code_before", "last_word", "wanted")
+    wide = fold.fold_files(marked, reads, fold.NESTING, fold.nesting)
     # Annotations and template heads belong to the declaration they stand on.
     head = F.col("annotation") | F.col("template")
     level = Window.partitionBy("content_id", "depth").orderBy("line")
@@ -257,8 +244,7 @@ def _ranges(lines: DataFrame) -> DataFrame:
 def _valid(rows: DataFrame) -> DataFrame:
     """Keep declarations whose whole chain of owners may hold them."""
     depth, language = F.col("depth"), F.col("language")
-    owner = F.try_element_at(F.col("owners"), F.least(depth, F.lit(MAX_DEPTH)))
-    owner_tag = F.when(depth == 0, F.lit("file")).otherwise(owner["tag"])
+    owner_tag = F.when(depth == 0, F.lit("file")).otherwise(F.col("owner_tag"))
 
     match = (
         F.when(owner_tag == "file", F.col("file_match"))
@@ -274,34 +260,32 @@ def _valid(rows: DataFrame) -> DataFrame:
         owner_tag,
     )
     # Owners above the direct one must be of the kinds that nest in this language.
-    above = F.slice(F.col("owners"), F.lit(1), F.greatest(depth - 1, F.lit(0)))
-    nests = F.when(language == "java", F.forall(above, lambda t: t["tag"] == "class")).when(
-        language == "cpp", F.forall(above, lambda t: t["tag"] == "namespace")
+    inside = F.when(depth <= 1, F.lit(True))
+    nests = F.when(language == "java", inside.otherwise(F.col("inside") == "class")).when(
+        language == "cpp", inside.otherwise(F.col("inside") == "namespace")
     ).otherwise(depth <= 1)
     picked = (
         rows.withColumn("rule", rule)
         .withColumn("name", match["name"])
-        .withColumn("group", F.when(owner_tag == "group", owner))
-        .where(
-            F.col("rule").isNotNull() & (depth <= MAX_DEPTH) & allowed
-            & F.coalesce(nests, F.lit(False))
-        )
+        .withColumn("in_group", F.coalesce(owner_tag == "group", F.lit(False)))
+        .where(F.col("rule").isNotNull() & allowed & F.coalesce(nests, F.lit(False)))
     )
-    name, group = F.col("name"), F.col("group")
+    name, in_group = F.col("name"), F.col("in_group")
     typedef = (language == "c") & (name == "")
-    start = F.coalesce(group["line"], F.col("start_line"))
-    end = F.when(group.isNotNull(), F.col("group_end.line")).otherwise(F.col("end.line"))
+    start = F.when(in_group, F.col("owner_line")).otherwise(F.col("start_line"))
+    end = F.when(in_group, F.col("group_end")).otherwise(F.col("end_line"))
     return (
         picked.withColumn("kind", _pick(F.col("rule"), [F.lit(r.kind) for r in RULES]))
         .where(~F.col("kind").isin(*HIDDEN_KINDS))
         .select(
             "content_id",
             "language",
-            F.when(typedef, F.coalesce(F.col("end.last_word"), F.lit(""))).otherwise(name).alias("name"),
+            F.when(typedef, F.coalesce(F.col("end_word"), F.lit(""))).otherwise(name).alias("name"),
             "kind",
             start.cast("int").alias("start_line"),
             F.coalesce(end, F.col("last_line")).cast("int").alias("end_line"),
-            (F.coalesce(group["code_before"], F.col("head_before")) + 1).cast("int").alias("doc_from"),
+            (F.when(in_group, F.col("owner_before")).otherwise(F.col("head_before")) + 1)
+            .cast("int").alias("doc_from"),
             (start - 1).cast("int").alias("doc_to"),
         )
         .where(F.col("name") != "")

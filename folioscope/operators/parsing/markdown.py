@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioscope.operators.parsing import lexer
+from folioscope.operators.parsing import fold, lexer
 
 ATX = r"^ {0,3}(#{1,6})(?:[ \t]|$)"
 UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*$"
@@ -63,6 +63,8 @@ def headings(files: DataFrame) -> DataFrame:
             F.lag("paragraph").over(down) & (F.lag("line").over(down) == F.col("line") - 1),
             F.lit(False)))
     )
+    seen = seen.withColumn("starts", F.col("paragraph") & ~F.col("joined"))
+    seen = fold.fold_files(seen, ("starts", "paragraph", "text"), "above_text string", fold.titles)
     # A paragraph starts where its line is not joined to the one before.
     starts = F.struct(F.col("line").alias("at"), F.col("solid_before").alias("solid"), F.col("text"))
     lined = (
@@ -79,9 +81,7 @@ def headings(files: DataFrame) -> DataFrame:
     )
     one_line = F.col("block.at") == F.col("above.line")
     title = F.when(F.col("marks") > 0, F.col("text")).otherwise(
-        F.when(one_line, F.col("above.text")).otherwise(
-            F.concat_ws("\n", F.trim(F.col("block.text")), F.trim(F.col("above.text")))
-        )
+        F.when(one_line, F.col("above.text")).otherwise(F.col("above_text"))
     )
     found = lined.withColumn("depth", depth).where(F.col("depth").isNotNull()).select(
         "content_id", "language", "lines", F.col("depth").cast("int").alias("depth"),

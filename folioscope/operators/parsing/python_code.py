@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from folioscope.operators.parsing import lexer
-
-MAX_INDENT = 12
+from folioscope.operators.parsing import fold, lexer
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -42,23 +40,13 @@ def declarations(files: DataFrame) -> DataFrame:
     )
     # From here on every row starts a statement.
     is_class = F.col("klass") != ""
-    owner = F.struct("indent", is_class.alias("is_class"), "line")
-    levels = range(MAX_INDENT + 1)
-    owners = [
-        F.last(F.when(F.col("indent") < i, owner), ignorenulls=True).over(before) for i in levels
-    ]
-    below = per_file.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = [
-        F.last(F.when(F.col("indent") <= i, F.col("line_before")), ignorenulls=True).over(below)
-        for i in levels
-    ]
-    level = F.least(F.col("indent"), F.lit(MAX_INDENT)) + 1
+    marked = placed.withColumn("is_class", is_class)
+    reads = ("indent", "is_class", "line", "line_before")
+    placed = fold.fold_files(marked, reads, fold.INDENTATION, fold.indentation)
     group = F.coalesce(F.sum(F.when(~F.col("decorator"), 1).otherwise(0)).over(before), F.lit(0))
     stacked = Window.partitionBy("content_id", "_group")
     statements = (
-        placed.withColumn("owner", F.try_element_at(F.array(*owners), level))
-        .withColumn("end", F.try_element_at(F.array(*ends), level))
-        .withColumn("next", F.lead(F.struct("line", "indent", "string", "line_before")).over(down))
+        placed.withColumn("next", F.lead(F.struct("line", "indent", "string", "line_before")).over(down))
         .withColumn("after_next", F.lead("line_before", 2).over(down))
         .withColumn("first_line", F.min("line").over(per_file))
         .withColumn("_group", group)
@@ -67,7 +55,7 @@ def declarations(files: DataFrame) -> DataFrame:
     top = F.col("indent") == 0
     decorated = F.col("start_line") < F.col("line")
     function = F.col("function") != ""
-    in_class = (F.col("owner.indent") == 0) & F.col("owner.is_class")
+    in_class = (F.col("owner_indent") == 0) & F.col("owner_is_class")
     kind = (
         F.when(top & is_class, "class")
         .when(top & function, "function")

@@ -133,3 +133,33 @@ def test_frontmatter_keeps_headings(spark):
     files = spark.createDataFrame([("a", "markdown", text)], "content_id string, language string, content string")
     names = [r.name for r in markdown.headings(files).orderBy("start_line").collect()]
     assert names == ["title: T", "Hello"]
+
+
+def declared(spark, language, content):
+    files = spark.createDataFrame([("f", language, content)], "content_id string, language string, content string")
+    found, _ = symbols.parse_files(files)
+    return sorted((r.start_line, r.end_line, r.kind, r.name) for r in found.collect())
+
+
+def test_classes_nested_to_any_depth(spark):
+    opened = [f"{'  ' * i}class C{i} {{" for i in range(40)]
+    closed = [f"{'  ' * i}}}" for i in reversed(range(40))]
+    got = declared(spark, "java", "\n".join(opened + closed))
+    assert got == sorted((i + 1, 80 - i, "class", f"C{i}") for i in range(40))
+    spaces = [f"namespace n{i} {{" for i in range(30)] + ["class Deep {", "  int at(int i) {", "  }", "};"] + ["}"] * 30
+    got = declared(spark, "cpp", "\n".join(spaces))
+    assert (31, 34, "class", "Deep") in got and (32, 33, "method", "at") in got and len(got) == 32
+
+
+def test_methods_indented_to_any_depth(spark):
+    deep = " " * 40
+    lines = ["class A:", f"{deep}def one(self):", f"{deep}    return 1", f"{deep}def two(self):", f"{deep}    return 2", "x = 1"]
+    got = declared(spark, "python", "\n".join(lines))
+    assert got == [(1, 5, "class", "A"), (2, 3, "method", "one"), (4, 5, "method", "two")]
+
+
+def test_underlined_titles_keep_all_lines(spark):
+    text = "first\nsecond\n third\n===\n\nnext one\nand more\n---\n\nend"
+    files = spark.createDataFrame([("f", "markdown", text)], "content_id string, language string, content string")
+    got = [(r.name, r.depth, r.start_line) for r in markdown.headings(files).orderBy("start_line").collect()]
+    assert got == [("first\nsecond\nthird", 1, 1), ("next one\nand more", 2, 6)]
