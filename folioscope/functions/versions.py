@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 _ID = r"(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
+# The public grammar's rule of safe integers: a larger core number makes a tag no version.
 _NUM = r"(?:0|[1-9][0-9]{0,15})"
 VERSION_PATTERN = (
     rf"^[=v]*\s*({_NUM})\.({_NUM})\.({_NUM})"
@@ -33,14 +34,15 @@ def clean_version(ref: Column) -> Column:
 
 
 def _identifier_key(identifier: Column) -> Column:
-    """Numbers sort before words, numbers by value and words by text."""
+    """Numbers sort before words, numbers by value and words by text.
+
+    Numbers have no leading zeros, so length and then text order them whatever their size.
+    """
     numeric = identifier.rlike("^[0-9]+$")
     return F.struct(
         F.when(numeric, F.lit(0)).otherwise(F.lit(1)).alias("is_word"),
-        F.when(numeric, F.try_to_number(identifier, F.lit("9" * 38)))
-        .otherwise(F.lit(0).cast("decimal(38,0)"))
-        .alias("number"),
-        F.when(numeric, F.lit("")).otherwise(identifier).alias("word"),
+        F.when(numeric, F.length(identifier)).otherwise(F.lit(0)).alias("digits"),
+        identifier.alias("word"),
     )
 
 
@@ -177,10 +179,12 @@ def _conjunction(text: str) -> tuple[Bound, ...] | None:
 
 
 def parse_range(text: str) -> list[tuple[Bound, ...]] | None:
-    """Alternatives of bounds, or None when the text is no range (a branch name)."""
+    """Alternatives of bounds, or None when the text is no range (a branch name).
+
+    One alternative that is no range makes the whole text none.
+    """
     alternatives = [_conjunction(part) for part in re.split(r"\s*\|\|\s*", text)]
-    kept = [a for a in alternatives if a is not None]
-    return kept or None
+    return None if None in alternatives else alternatives
 
 
 def _literal_key(version: Version) -> Column:
@@ -188,12 +192,12 @@ def _literal_key(version: Version) -> Column:
     identifiers = [
         F.struct(
             F.lit(0 if p.isdigit() else 1).alias("is_word"),
-            F.lit(p if p.isdigit() else "0").cast("decimal(38,0)").alias("number"),
-            F.lit("" if p.isdigit() else p).alias("word"),
+            F.lit(len(p) if p.isdigit() else 0).alias("digits"),
+            F.lit(p).alias("word"),
         )
         for p in pre
     ]
-    kind = "array<struct<is_word:int,number:decimal(38,0),word:string>>"
+    kind = "array<struct<is_word:int,digits:int,word:string>>"
     return F.struct(
         F.lit(major).cast("long").alias("major"),
         F.lit(minor).cast("long").alias("minor"),

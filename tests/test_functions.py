@@ -162,3 +162,15 @@ def test_labels(spark):
     stats = F.create_map(F.lit("go"), F.lit(9.9))
     assert one(spark, labels.language_reaches(stats, ["go", "c"], 9.9)) is True
     assert one(spark, labels.language_reaches(F.lit(None).cast("map<string,double>"), ["go"], 0)) is False
+
+
+def test_one_invalid_alternative_makes_no_range(spark):
+    assert versions.parse_range("1.x || main") is None
+    assert best(spark, ["v1.2.0"], "1.x || main") is None
+
+
+def test_prerelease_numbers_of_any_size(spark):
+    nine, ten = "9" * 45, "1" + "0" * 45
+    tags = [f"1.0.0-{n}" for n in (ten, nine, "2", "a")][:3]
+    keys = spark.createDataFrame([(t,) for t in tags], "t string").orderBy(versions.version_key(F.col("t")))
+    assert [r.t for r in keys.collect()] == [f"1.0.0-{n}" for n in ("2", nine, ten)]
