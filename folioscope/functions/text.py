@@ -42,15 +42,18 @@ def is_blank(text: Column) -> Column:
 
 def skip_reason(
     text: Column,
-    max_bytes: int = MAX_FILE_BYTES,
-    max_average_line: int = MAX_AVERAGE_LINE,
+    max_bytes: int | None = MAX_FILE_BYTES,
+    max_average_line: int | None = MAX_AVERAGE_LINE,
 ) -> Column:
-    """Why a file is left out of the index, or null when it is kept."""
+    """Why a file is left out of the index, or null when it is kept; None is no limit."""
     lines = line_count(text)
-    return F.when(F.octet_length(text) > max_bytes, F.lit("too-large")).when(
-        (lines > 1) & (utf16_length(text) / lines > max_average_line),
-        F.lit("minified-or-generated"),
-    )
+    reason = F.when(F.lit(False), F.lit(""))
+    if max_bytes is not None:
+        reason = reason.when(F.octet_length(text) > max_bytes, F.lit("too-large"))
+    if max_average_line is not None:
+        long = (lines > 1) & (utf16_length(text) / lines > max_average_line)
+        reason = reason.when(long, F.lit("minified-or-generated"))
+    return reason
 
 
 WORD_BREAK = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"

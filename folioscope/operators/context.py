@@ -8,8 +8,8 @@ from folioscope.functions import text as text_fn
 
 DEFAULT_BUDGET = 8192
 SEARCH_LIMIT = 30
-# The shortest header, ``\n--- p L1-1 ---\n``, has 16 characters: six tokens.
-LEAST_ROW_COST = 6
+# The shortest header, ``\n---  L1-1 ---\n`` of an empty path, has 15 characters: five tokens.
+LEAST_ROW_COST = 5
 
 
 def ref_diff(ref_files: DataFrame, from_id: int, to_id: int) -> DataFrame:
@@ -52,14 +52,16 @@ def recent_changes(changes: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def header(path: Column, start: Column, end: Column) -> Column:
     return F.concat(
-        F.lit("\n--- "), path, F.lit(" L"), start.cast("string"), F.lit("-"), end.cast("string"),
+        F.lit("\n--- "), F.coalesce(path, F.lit("")), F.lit(" L"), start.cast("string"), F.lit("-"), end.cast("string"),
         F.lit(" ---\n"),
     )
 
 
 def row_cost(path: str = "file_path") -> Column:
     top = header(F.col(path), F.col("start_line"), F.col("end_line"))
-    return text_fn.token_estimate(top) + text_fn.token_estimate(F.col("content"))
+    return text_fn.token_estimate(top) + F.coalesce(
+        text_fn.token_estimate(F.col("content")), F.lit(0)
+    )
 
 
 def trim_to_budget(
@@ -67,7 +69,7 @@ def trim_to_budget(
 ) -> DataFrame:
     """Rows in path and line order up to the first that would exceed the budget.
 
-    Every row costs at least its header, so no more than ``budget / 6`` rows can fit:
+    Every row costs at least its header, so no more than ``budget / 5`` rows can fit:
     taking one row more than that first is exact, and the running sum, which needs
     one ordered task, only ever sees that many rows.
     """

@@ -17,7 +17,7 @@ def with_content_id(files: DataFrame, content: str = "content") -> DataFrame:
     return cleaned.select(*columns, text_fn.content_hash(F.col("_clean")).alias("content_id"))
 
 
-def split_skipped(files: DataFrame, content: str = "content", **caps: int) -> DataFrame:
+def split_skipped(files: DataFrame, content: str = "content", **caps: int | None) -> DataFrame:
     return files.withColumn("skip_reason", text_fn.skip_reason(F.col(content), **caps))
 
 
@@ -72,13 +72,15 @@ def new_contents(files: DataFrame, known: DataFrame, ordinal: str = "ordinal") -
 def first_copies(files: DataFrame, contents: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """The full row of the first file of each content.
 
-    The join key is the unique ordinal, not the hash, so copies cannot skew it.
+    The ordinal leads the join key and is unique or nearly so: copies cannot skew it.
     """
     heads = contents.select(
-        F.col("first_ordinal").alias(ordinal), F.col("language").alias("_language")
+        F.col("first_ordinal").alias(ordinal), "content_id", F.col("language").alias("_language")
     )
     return (
-        files.drop("language").join(heads, ordinal).withColumnRenamed("_language", "language")
+        files.drop("language")
+        .join(heads, [ordinal, "content_id"])
+        .withColumnRenamed("_language", "language")
     )
 
 

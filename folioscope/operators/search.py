@@ -16,11 +16,11 @@ B = 0.75
 RRF_K = 60
 SCORE_DIGITS = 9
 DEFAULT_LIMIT = 20
-MAX_LIMIT = 100
 
 
 def clamp_limit(limit: int | None) -> int:
-    return min(max(DEFAULT_LIMIT if limit is None else limit, 1), MAX_LIMIT)
+    """At least one row; there is no ceiling."""
+    return max(DEFAULT_LIMIT if limit is None else limit, 1)
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
@@ -259,7 +259,6 @@ def hybrid_search(
     terms: Sequence[str],
     query_vector: Sequence[float],
     limit: int = DEFAULT_LIMIT,
-    pool: int | None = None,
     k: int = RRF_K,
 ) -> DataFrame:
     """Hybrid search over the chunks of the files in scope.
@@ -267,20 +266,33 @@ def hybrid_search(
     ``chunks`` has content_id, start_line, end_line, content, embedding and maybe
     symbol_name. Ranking and overlap removal work on contents; the files that share
     a content only join the few surviving chunks, and each yields its own row.
+
+    Candidates enter from the best down. A candidate outside the pool is worse than all
+    inside, so it drops none of them: the result is exact once ``limit`` rows survive,
+    or once the pool holds every scored chunk. Until then the pool grows.
     """
-    pool = pool or 4 * limit
     wanted = scope.select("content_id").distinct()
     candidates = with_words(chunks.join(wanted, "content_id", "left_semi"))
     scored = vector_score(bm25(candidates, terms), query_vector)
     key = ["content_id", "start_line", "end_line"]
-    best = rrf_top(scored, key, ["bm25", "vector"], pool, k).select(*key, "score")
-    survivors = drop_overlaps(best, ["content_id"])
+    slim = scored.select(*key, "bm25", "vector").persist()
+    every = slim.where("bm25 is not null or vector is not null").count()
+    owners = scope.select("content_id", "repo", "ref", "path")
+    place = ["repo", "ref", "path", "start_line"]
     extra = [c for c in ("symbol_name",) if c in chunks.columns]
     texts = chunks.select(*key, "content", *extra)
-    rows = survivors.join(scope.select("content_id", "repo", "ref", "path"), "content_id")
-    place = ["repo", "ref", "path", "start_line"]
-    top = rows.orderBy(F.desc("score"), *place).limit(limit)
-    return top.join(texts, key).select(
+    pool = 4 * limit
+    while True:
+        best = rrf_top(slim, key, ["bm25", "vector"], pool, k).select(*key, "score")
+        survivors = drop_overlaps(best, ["content_id"])
+        top = survivors.join(owners, "content_id").orderBy(F.desc("score"), *place).limit(limit)
+        top = top.persist()
+        if top.count() >= limit or pool >= every:
+            break
+        top.unpersist()
+        pool *= 4
+    found = top.join(texts, key).select(
         F.col("path").alias("file_path"), "repo", "ref", "content", "start_line", "end_line",
         "score", *extra,
     )
+    return found.orderBy(F.desc("score"), "repo", "ref", "file_path", "start_line")

@@ -114,11 +114,7 @@ class Engine:
         languages: Sequence[str] | None = None,
         paths: Sequence[str] | None = None,
     ) -> DataFrame | str:
-        """Hybrid search. A ref is resolved when its repository is known, else taken as is.
-
-        Removing overlaps may leave fewer rows than asked for; then the candidate
-        pool grows until the result is full or every candidate was in it.
-        """
+        """Hybrid search. A ref is resolved when its repository is known, else taken as is."""
         words = text_fn.rewrite_query(query)
         if words is None:
             return "No results found."
@@ -129,15 +125,7 @@ class Engine:
         scope = search.in_scope(self._files(), self._named_refs(), repo, ref, languages, paths)
         vector = self.embedder.embed([words.embedding_text])[0]
         terms = search.query_terms(self.spark, words.full_text)
-        pool, before = 4 * count, -1
-        while True:
-            found = search.hybrid_search(
-                self.state.chunks, scope, terms, vector, count, pool
-            ).persist()
-            rows = found.count()
-            if rows >= count or rows == before:
-                return found
-            before, pool = rows, pool * 4
+        return search.hybrid_search(self.state.chunks, scope, terms, vector, count)
 
     # --- lookups ------------------------------------------------------------------
 
@@ -239,6 +227,7 @@ class Engine:
         from_ref: str | None = None,
         paths: Sequence[str] | None = None,
         max_tokens: int = context.DEFAULT_BUDGET,
+        hits: int = context.SEARCH_LIMIT,
     ) -> DataFrame | str:
         if strategy not in CONTEXT_STRATEGIES:
             raise ValueError(f"unknown strategy {strategy}")
@@ -249,7 +238,7 @@ class Engine:
             rows = self._recent_changes(repo, from_ref, ref)
         else:
             found = self.search_code(
-                query or repo, repo, ref, context.SEARCH_LIMIT, paths=paths
+                query or repo, repo, ref, hits, paths=paths
             )
             rows = None if isinstance(found, str) else found.select(
                 "file_path", "start_line", "end_line", "content",

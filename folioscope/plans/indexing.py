@@ -40,15 +40,24 @@ def index_ref(
     max_tokens: int = chunking.MAX_TOKENS,
     overlap: float = chunking.OVERLAP,
     hold: Callable[[DataFrame], DataFrame] = lambda df: df,
+    max_bytes: int | None = None,
+    max_average_line: int | None = None,
 ) -> IndexResult:
     """Add the files (path, language, content) of a ref to the index.
 
+    Every file is indexed unless a limit is given; ``skipped`` lists what a limit left
+    out. Of a path that occurs twice the last row wins, by ``ordinal`` if the files have
+    that column, else by content.
+
     Known contents are left out by an anti join before any file is parsed, and
     chunks whose text was embedded before take that vector. Several tables share
     the new texts and symbols; ``hold`` may persist or checkpoint those.
     """
+    named = ingest.with_content_id(files).withColumn("repo_ref_id", F.lit(repo_ref_id).cast("long"))
+    order = "ordinal" if "ordinal" in files.columns else "content_id"
+    once = ingest.last_write_per_path(named, order).withColumn("ordinal", F.col("path"))
     marked = ingest.split_skipped(
-        ingest.with_content_id(files).withColumn("ordinal", F.col("path"))
+        once.drop("repo_ref_id"), max_bytes=max_bytes, max_average_line=max_average_line
     )
     stats = ingest.language_stats(
         marked.withColumn("repo_ref_id", F.lit(repo_ref_id).cast("long")), ["repo_ref_id"]

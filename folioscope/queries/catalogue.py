@@ -83,13 +83,13 @@ def symbol_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_imports(spark: SparkSession, folder: str) -> DataFrame:
-    """First words of every content as the names it imports."""
+    """The words of every content but the first as the names it imports."""
     texts = tables.corpus_texts(spark, folder)
-    words = F.split(F.substring("content", 1, 200), " ")
+    words = F.split("content", " ")
     return texts.select(
         "content_id",
         F.col("path").alias("source"),
-        F.slice(words, 2, 8).alias("names"),
+        F.slice(words, F.lit(2), F.size(words)).alias("names"),
         F.try_element_at(words, F.lit(2)).alias("default_name"),
         F.lit(0).alias("is_namespace"),
     )
@@ -570,12 +570,12 @@ SELECT content_id, name, CAST(start_line AS INTEGER) AS start_line,
   CAST(end_line AS INTEGER) AS end_line, sha256(source) AS source_sha FROM sources""",
     "q_find_references": f"""{_BASE},
 imported AS (
-  SELECT c.content_id, f.path AS source, string_split(left(c.content, 200), ' ') AS ws
+  SELECT c.content_id, f.path AS source, string_split(c.content, ' ') AS ws
   FROM contents c JOIN files f ON f.ordinal = c.first_ordinal)
 SELECT f.path AS file_path, i.source, 'de' AS imported_name,
   coalesce(i.ws[2] = 'de', FALSE) AS is_default
 FROM imported i JOIN files f USING (content_id)
-WHERE f.repo_ref_id = 1 AND list_contains(i.ws[2:9], 'de')""",
+WHERE f.repo_ref_id = 1 AND list_contains(i.ws[2:], 'de')""",
     "q_get_file": f"""{_BASE},{sql.windows('contents').lstrip()},
 texts AS (SELECT content_id, string_agg(content, chr(10) ORDER BY start_line) AS content
           FROM pieces GROUP BY content_id)

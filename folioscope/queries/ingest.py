@@ -82,9 +82,9 @@ def manifest_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_list(spark: SparkSession, folder: str) -> DataFrame:
-    """Comma lists made of the words of each document's first sentence."""
+    """Comma lists made of the words of each document."""
     docs = tables.documents(spark, folder)
-    head = F.replace(F.substring_index("text", ".", 1), F.lit(" "), F.lit(" , "))
+    head = F.replace("text", F.lit(" "), F.lit(" , "))
     return docs.select(
         "doc_id",
         labels.parse_list(head, ["le", "la", "the", "und", "de"]).alias("kept"),
@@ -94,8 +94,8 @@ def parse_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def redact(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.table(spark, folder, "documents")
-    word = F.element_at(F.split("text", " "), 1)
-    return docs.select("doc_id", labels.redact(word).alias("redacted"))
+    words = F.transform(F.split("text", " "), lambda w: labels.redact(w))
+    return docs.select("doc_id", F.sha2(F.array_join(words, " "), 256).alias("redacted"))
 
 
 def remote_hosts(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,7 +179,7 @@ def embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
     return reused.select(
         "chunk_id",
         F.col("embedding").isNotNull().alias("reused"),
-        F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"),
+        F.transform("embedding", lambda v: F.round(v.cast("double"), 6)).alias("vector"),
     )
 
 
@@ -478,15 +478,15 @@ f AS (SELECT doc_id % 150 AS repo_ref_id, {_MANIFEST_NAMES}[((doc_id * 7) // 13)
       FROM documents)
 SELECT DISTINCT repo_ref_id, language FROM f JOIN m USING (path)""",
     "q_parse_list": """WITH l AS (
-  SELECT doc_id, list_transform(string_split(replace(split_part(text, '.', 1), ' ', ' , '), ','),
+  SELECT doc_id, list_transform(string_split(replace(text, ' ', ' , '), ','),
                                 lambda x: trim(x, ' ')) AS items FROM documents)
 SELECT doc_id,
   list_filter(list_transform(items, lambda x: lower(x)),
               lambda x: x IN ('le', 'la', 'the', 'und', 'de')) AS kept,
   CAST(len(list_filter(items, lambda x: x <> '')) AS INTEGER) AS items FROM l""",
-    "q_redact": """WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS word FROM documents)
-SELECT doc_id, CASE WHEN length(word) <= 4 THEN '****' ELSE concat('****', right(word, 4)) END
-  AS redacted FROM w""",
+    "q_redact": """SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, ' '),
+  lambda w: CASE WHEN length(w) <= 4 THEN '****' ELSE concat('****', right(w, 4)) END), ' '))
+  AS redacted FROM documents""",
     "q_remote_hosts": """WITH u AS (
   SELECT page_id, split_part(url, '?', 1) AS url FROM pages),
 v AS (SELECT page_id, upper(translate(regexp_extract(url, '^[a-z]+://([^/:]+)', 1), '.-', '__'))
@@ -525,7 +525,7 @@ FROM documents GROUP BY lang, doc_id // 10""",
     "q_distinct_on": f"""{_STORED}
 SELECT content_sha256, CAST(cached AS DOUBLE[]) AS embedding FROM cached""",
     "q_embedding_cache": f"""{_STORED}
-SELECT chunk_id, cached IS NOT NULL AS reused, round(CAST(cached[1] AS DOUBLE), 6) AS first_value
+SELECT chunk_id, cached IS NOT NULL AS reused, list_transform(cached, lambda v: round(CAST(v AS DOUBLE), 6)) AS vector
 FROM stored LEFT JOIN cached USING (content_sha256)""",
     "q_cache_summary": f"""{_STORED}
 SELECT count(cached) AS chunks_reused, count(*) - count(cached) AS chunks_to_embed

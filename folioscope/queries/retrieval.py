@@ -118,7 +118,8 @@ vector_scores AS (
   FROM embeddings, qv)"""
 
 
-def _fused(limit: int) -> str:
+def _fused(limit: int | None = None) -> str:
+    cut = "" if limit is None else f"ORDER BY score DESC, {_KEY} LIMIT {limit}"
     return f"""
 both_legs AS (
   SELECT b.content_id, b.start_line, b.end_line, b.bm25, v.vector
@@ -134,7 +135,7 @@ fused AS (
          AS score
   FROM both_legs LEFT JOIN br USING ({_KEY}) LEFT JOIN vr USING ({_KEY})
   WHERE bm25_rank IS NOT NULL OR vector_rank IS NOT NULL
-  ORDER BY score DESC, {_KEY} LIMIT {limit})"""
+  {cut})"""
 
 
 def _greedy(source: str) -> str:
@@ -231,7 +232,7 @@ SELECT vec_id, label, vector FROM vector_scores ORDER BY vector DESC, vec_id LIM
     "q_dedup_overlap": f"""{_BM25},
 matches AS (SELECT {_KEY}, bm25 AS score FROM bm25_scores WHERE bm25 IS NOT NULL),
 {_greedy('matches')} SELECT * FROM survivors""",
-    "q_hybrid_search": f"""{_SCOPED},{_VECTOR},{_fused(4 * LIMIT)},{_greedy('fused')}
+    "q_hybrid_search": f"""{_SCOPED},{_VECTOR},{_fused()},{_greedy('fused')}
 SELECT s.path AS file_path, s.repo, s.ref, p.content, v.start_line, v.end_line, v.score
 FROM survivors v JOIN scope s USING (content_id) JOIN pieces p USING ({_KEY})
 ORDER BY v.score DESC, s.repo, s.ref, s.path, v.start_line LIMIT {LIMIT}""",

@@ -131,9 +131,7 @@ ORACLES = {
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "q_incremental_index": parsing.ORACLES["q_parse_symbols"].replace(
         "id AS content_id, language,", "id AS path,"
-    )
-    + f" WHERE length({parsing.program_text()})"
-    f" / len(string_split({parsing.program_text()}, chr(10))) <= 500",
+    ),
     "q_embed_chunks": """SELECT doc_id, CAST(64 AS INTEGER) AS dimensions, 1.0::DOUBLE AS length,
   CAST(NULL AS VARCHAR) AS embedding_error FROM documents""",
     "q_mirror_status": """WITH s AS (

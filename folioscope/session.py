@@ -34,6 +34,7 @@ def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     driver_memory: str | None = None,
+    text_partitions: int | None = None,
 ) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -47,6 +48,8 @@ def build_session(
         builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if text_partitions:
+        builder = builder.config("folioscope.texts.partitions", str(text_partitions))
     for key, value in RUNTIME.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

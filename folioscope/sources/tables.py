@@ -9,7 +9,9 @@ from folioscope.operators import chunking, ingest
 
 REFS = 20
 REPOS = 5
-SPLIT_BYTES = 128 * 1024 * 1024
+#: Session setting: deal texts out to this many tasks before heavy work. Unset, a scan's own
+#: splits are used; set it where a table is one small file, so one split.
+SPREAD = "folioscope.texts.partitions"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,15 +19,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Put a small input on all cores before work that is heavy per byte of text.
-
-    A small file is often one row group and so one task. Inputs with a full split per
-    core already keep every core busy and are left as they are, so the shuffle added
-    here never exceeds one split per core. The key must be unique.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+    """Deal rows out by a unique key if the session asks for it."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

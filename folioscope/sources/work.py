@@ -10,10 +10,12 @@ from pyspark.sql import SparkSession, functions as F
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint place the cluster names.
 
-    Without that setting, as in tests, a new local folder.
+    On a local master without that setting, as in tests, a new local folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"run-{name}-")
     stamp = spark.range(1).select(F.expr("uuid()")).first()[0]
     return f"{shared.rstrip('/')}/{name}-{stamp}"

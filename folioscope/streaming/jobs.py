@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -18,12 +17,8 @@ from folioscope.plans.indexing import IndexState, index_ref
 
 
 def _state_before(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
-    if batch == 0:
-        return None
-    try:
-        return spark.read.parquet(f"{folder}/state/batch={batch - 1}")
-    except AnalysisException:
-        return None
+    """State of the batch before; only the first batch may start without one."""
+    return spark.read.parquet(f"{folder}/state/batch={batch - 1}") if batch else None
 
 
 class JobQueue:
@@ -157,16 +152,18 @@ class IncrementalIndex:
             held.append(df.persist())
             return held[-1]
 
-        after = index_ref(files, self.repo_ref_id, before, hold=hold).state
-        # Files of earlier batches stay listed unless this batch brings a newer one.
-        paths = files.select("path").distinct()
-        after.ref_files = after.ref_files.unionByName(listed.join(paths, "path", "left_anti"))
-        for name in self.names:
-            getattr(after, name).write.mode("overwrite").parquet(
-                f"{self.folder}/{name}/batch={batch}"
-            )
-        for df in held:
-            df.unpersist()
+        try:
+            after = index_ref(files, self.repo_ref_id, before, hold=hold).state
+            # Files of earlier batches stay listed unless this batch brings a newer one.
+            paths = files.select("path").distinct()
+            after.ref_files = after.ref_files.unionByName(listed.join(paths, "path", "left_anti"))
+            for name in self.names:
+                getattr(after, name).write.mode("overwrite").parquet(
+                    f"{self.folder}/{name}/batch={batch}"
+                )
+        finally:
+            for df in held:
+                df.unpersist()
 
     def start(self, files: DataFrame, checkpoint: str) -> DataStreamWriter:
         return files.writeStream.foreachBatch(self.process).option(

@@ -12,7 +12,8 @@ from folioscope.session import build_session, ensure_checkpoint_dir  # noqa: E40
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "folioscope-tests", master="local[8]", shuffle_partitions=4, driver_memory="4g"
+        "folioscope-tests", master="local[8]", shuffle_partitions=4, driver_memory="4g",
+        text_partitions=8,
     )
     ensure_checkpoint_dir(session, str(tmp_path_factory.mktemp("checkpoints")))
     yield session

@@ -184,3 +184,20 @@ def test_argument_defaults():
         "languages": ["c"], "threshold": 5,
     }
     assert with_defaults("get_file", {}, ["go"], 5) == {}
+
+
+def test_the_last_row_of_a_path_wins(spark):
+    rows = [(1, "p.py", "python", "def old():\n    pass\n"), (2, "p.py", "python", "def new():\n    pass\n")]
+    files = spark.createDataFrame(rows, "ordinal long, path string, language string, content string")
+    state = index_ref(files, 1, empty_state(spark)).state
+    assert [r.name for r in state.symbols.collect()] == ["new"]
+    assert state.ref_files.count() == 1 and state.file_contents.count() == 1
+
+
+def test_long_lines_are_indexed_unless_a_limit_is_given(spark):
+    text = "def wide():\n    return '" + "x" * 4000 + "'\n"
+    files = spark.createDataFrame([("w.py", "python", text)], "path string, language string, content string")
+    assert index_ref(files, 1, empty_state(spark)).state.symbols.count() == 1
+    limited = index_ref(files, 1, empty_state(spark), max_average_line=500)
+    assert limited.state.symbols.count() == 0
+    assert [tuple(r) for r in limited.skipped.collect()] == [("w.py", "minified-or-generated")]

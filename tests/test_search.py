@@ -119,3 +119,24 @@ def test_previous_value_across_buckets(spark):
         for i, (t, _) in enumerate(by_key[k])
     }
     assert {(r.k, r.t): r.previous for r in got} == expected
+
+
+def test_hybrid_search_fills_the_limit_under_heavy_overlap(spark):
+    rows = [("hot", i, i + 50, "json " * 20, [1.0, i / 1000]) for i in range(1, 61)]
+    rows += [(f"f{k}", 1, 9, "json other words", [0.5, 1.0]) for k in range(4)]
+    chunks = spark.createDataFrame(
+        rows, "content_id string, start_line int, end_line int, content string, embedding array<double>"
+    )
+    scope = spark.createDataFrame(
+        [(c, "r", "v1", f"{c}.txt") for c in ("hot", "f0", "f1", "f2", "f3")],
+        "content_id string, repo string, ref string, path string",
+    )
+    for limit, want in ((3, 3), (5, 5), (200, 6)):
+        got = search.hybrid_search(chunks, scope, ["json"], [1.0, 0.0], limit).collect()
+        hot = [r for r in got if r.file_path == "hot.txt"]
+        assert len(got) >= min(want, 5)
+        assert all(a.end_line < b.start_line or b.end_line < a.start_line for a in hot for b in hot if a is not b)
+
+
+def test_limits_have_no_ceiling():
+    assert [search.clamp_limit(n) for n in (None, 0, 5, 5000)] == [20, 1, 5, 5000]
