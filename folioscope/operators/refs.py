@@ -10,7 +10,9 @@ from folioscope.operators.shape import computed_once
 
 def with_version(refs: DataFrame) -> DataFrame:
     """Add the clean version text and its sortable key; both null for branches."""
-    clean = computed_once(refs, "semver", versions.clean_version(F.col("ref")))
+    # The stored text follows from the ref, as here.
+    bare = refs.drop("semver", "version_key")
+    clean = computed_once(bare, "semver", versions.clean_version(F.col("ref")))
     return computed_once(clean, "version_key", versions.version_key(F.col("semver")))
 
 

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as text_fn
-from folioscope.operators import context, lookup, refs, search
-from folioscope.plans.indexing import IndexState
+from folioscope.functions import versions
+from folioscope.operators import context, lookup, maintain, refs, search
+from folioscope.plans.indexing import IndexState, index_ref, without_orphans
 from folioscope.schemas import CONTEXT_STRATEGIES
 from folioscope.sources import embedding as providers
 from folioscope.sources import git
@@ -103,6 +104,98 @@ class Engine:
             F.col("id").alias("repo_ref_id"), "repo", "ref", "stage"
         )
 
+    # --- writes: each returns an engine on the new tables --------------------------
+
+    def _with(self, **tables: DataFrame) -> Engine:
+        state = {n: tables.pop(n, t) for n, t in vars(self.state).items()}
+        return Engine(
+            self.spark, tables.pop("repos", self.repos), tables.pop("repo_refs", self.repo_refs),
+            IndexState(**state), self.embedder, self.mirrors,
+        )
+
+    def refresh(self, repo: str, ref: str) -> Engine | str:
+        """Put a ref into the queue: a new row, or its progress reset."""
+        row = self.find_repo(repo)
+        if row is None:
+            return f'Repository "{repo}" not found.'
+        asked = self.spark.createDataFrame([(row["id"], ref)], "repo_id long, ref string")
+        queued = maintain.queue_refs(self.repo_refs, asked)
+        highest = self.repo_refs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        # One ref is asked for, so at most one row is new.
+        return self._with(repo_refs=queued.withColumn("id", F.coalesce("id", F.lit(highest + 1))))
+
+    def sync_ref(
+        self, repo: str, ref: str, commit_sha: str, files: DataFrame, **limits: int | None
+    ) -> Engine | str:
+        """Index the files (path, language, content) of a ref and make it searchable.
+
+        The row of the ref gets its commit, counters, language shares, version and time and
+        turns ready; contents that no ref uses any more leave with their children.
+        """
+        queued = self.refresh(repo, ref)
+        if isinstance(queued, str):
+            return queued
+        row = self.find_repo(repo)
+        own = (F.col("repo_id") == row["id"]) & (F.col("ref") == ref)
+        number = queued.repo_refs.where(own).first()["id"]
+        result = index_ref(files, number, self.state, self.embedder, **limits)
+        state = without_orphans(result.state)
+        paths = state.ref_files.where(F.col("repo_ref_id") == number)
+        pieces = state.chunks.join(paths.select("content_id").distinct(), "content_id", "left_semi")
+        total = paths.agg(F.count("*").cast("int").alias("n")).select("n").scalar()
+        counted = pieces.agg(
+            F.struct(
+                F.count("*").cast("int").alias("all"),
+                F.count_if(F.col("embedding").isNotNull()).cast("int").alias("embedded"),
+            ).alias("n")
+        ).select("n").scalar()
+        stats = result.language_stats.select("language_stats").scalar()
+        values = {
+            "commit_sha": F.lit(commit_sha),
+            "stage": F.lit("ready"),
+            "stage_message": F.lit(None).cast("string"),
+            "semver": versions.clean_version(F.lit(ref)),
+            "indexed_at": F.localtimestamp(),
+            "language_stats": stats,
+            "files_total": total,
+            "files_processed": total,
+            "chunks_total": counted["all"],
+            "chunks_embedded": counted["embedded"],
+        }
+        known = {c: v for c, v in values.items() if c in queued.repo_refs.columns}
+        done = maintain.update_where(queued.repo_refs, own, known)
+        return self._with(repo_refs=done, **vars(state))
+
+    def delete_version(self, repo: str, ref: str) -> Engine | str:
+        """Remove a ref, its paths, and contents that no other ref uses."""
+        row = self.find_repo(repo)
+        own = None if row is None else (F.col("repo_id") == row["id"]) & (F.col("ref") == ref)
+        found = None if own is None else self.repo_refs.where(own).first()
+        if found is None:
+            return f'Ref "{ref}" not found for "{repo}".' if row else f'Repository "{repo}" not found.'
+        s = self.state
+        left = maintain.delete_where(s.ref_files, F.col("repo_ref_id") == found["id"])
+        swept = without_orphans(IndexState(**vars(s) | {"ref_files": left}))
+        return self._with(repo_refs=maintain.delete_where(self.repo_refs, own), **vars(swept))
+
+    def delete_repo(self, repo: str) -> Engine | str:
+        """Remove a repository with its refs, their paths and contents nobody else uses."""
+        row = self.find_repo(repo)
+        if row is None:
+            return f'Repository "{repo}" not found.'
+        s = self.state
+        left = maintain.cascade_delete_repo(row["id"], self.repos, self.repo_refs, s.ref_files)
+        swept = without_orphans(IndexState(**vars(s) | {"ref_files": left["ref_files"]}))
+        return self._with(repos=left["repos"], repo_refs=left["repo_refs"], **vars(swept))
+
+    def update_repo(self, repo: str, **values: object) -> Engine | str:
+        """Set columns of a repository, such as remote_url or glob_patterns."""
+        if self.find_repo(repo) is None:
+            return f'Repository "{repo}" not found.'
+        kinds = {f.name: f.dataType for f in self.repos.schema.fields}
+        columns = {c: F.lit(v).cast(kinds[c]) for c, v in values.items()}
+        return self._with(repos=maintain.update_where(self.repos, F.col("name") == repo, columns))
+
     # --- search -------------------------------------------------------------------
 
     def search_code(

@@ -30,6 +30,7 @@ class IndexResult:
     skipped: DataFrame
     language_stats: DataFrame
     new_contents: DataFrame
+    added: IndexState  # the rows of this run alone
 
 
 def index_ref(
@@ -89,6 +90,13 @@ def index_ref(
         F.lit(repo_ref_id).cast("long").alias("repo_ref_id"), "path", "content_id"
     )
     others = state.ref_files.where(F.col("repo_ref_id") != repo_ref_id)
+    fresh_chunks = cached.select(*columns)
+    if embedder is not None:
+        fresh_chunks = chunks.join(contents.select("content_id"), "content_id", "left_semi")
+    added = IndexState(
+        contents.select("content_id", "language"), own, found.select(*state.symbols.columns),
+        used.select(*state.imports.columns), fresh_chunks.select(*columns),
+    )
     return IndexResult(
         IndexState(
             state.file_contents.unionByName(contents.select("content_id", "language")),
@@ -100,6 +108,7 @@ def index_ref(
         skipped,
         stats,
         contents,
+        added,
     )
 
 

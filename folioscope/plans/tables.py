@@ -22,7 +22,9 @@ def current_version(spark: SparkSession, folder: str, table: str) -> int | None:
     """Latest announced version of a table, or None before the first."""
     try:
         ready = spark.read.parquet(f"{folder}/_ready_versions")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     held = ready.where(F.array_contains(F.split("tables", ","), table))
     return held.agg(F.max("version")).first()[0]

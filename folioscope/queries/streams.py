@@ -66,8 +66,7 @@ def incremental_index(spark: SparkSession, folder: str) -> DataFrame:
     arriving = programs.select(F.col("content_id").alias("path"), "language", "content")
     index = streams.IncrementalIndex(place, 1, empty_state(spark))
     index.start(arriving, f"{place}/checkpoint").start().awaitTermination()
-    last = spark.read.parquet(f"{place}/ref_files").agg(F.max("batch")).first()[0]
-    state = index.state(spark, last)
+    state = index.state(spark, index.last(spark))
     return state.ref_files.join(state.symbols, "content_id").select(
         "path", "name", "kind", "start_line", "end_line"
     )

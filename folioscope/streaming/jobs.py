@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioscope.operators import jobs
 from folioscope.plans.indexing import IndexState, index_ref
@@ -124,28 +126,50 @@ def run_jobs(
 
 
 class IncrementalIndex:
-    """Index files as they arrive; contents seen before are not parsed again."""
+    """Index files as they arrive; contents seen before are not parsed again.
+
+    A batch appends its own rows only: new contents with their children, and the paths
+    it brought. A marker, written last, makes a batch visible; readers and the next batch
+    stop with an error if one is missing. A replayed batch overwrites its own folders.
+    """
 
     def __init__(self, folder: str, repo_ref_id: int, empty: IndexState):
         self.folder, self.repo_ref_id, self.empty = folder, repo_ref_id, empty
         self.names = ("file_contents", "ref_files", "symbols", "imports", "chunks")
 
+    def last(self, spark: SparkSession) -> int:
+        """The newest complete batch, or -1."""
+        try:
+            ready = spark.read.schema("batch int, done boolean").parquet(f"{self.folder}/ready")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1
+        row = ready.agg(F.max("batch").alias("last"), F.countDistinct("batch").alias("all")).first()
+        if row["all"] and row["all"] != row["last"] + 1:
+            raise ValueError(f"batches are missing below {self.folder}")
+        return -1 if row["last"] is None else row["last"]
+
     def state(self, spark: SparkSession, batch: int) -> IndexState:
         """Tables as of the end of a batch."""
         if batch < 0:
             return self.empty
-        read = {
-            n: spark.read.schema(getattr(self.empty, n).schema).parquet(
-                f"{self.folder}/{n}/batch={batch}"
-            )
-            for n in self.names
-        }
-        return IndexState(**read)
+        if self.last(spark) < batch:
+            raise ValueError(f"batch {batch} is not complete below {self.folder}")
+        read = {}
+        for name in self.names:
+            schema = getattr(self.empty, name).schema
+            rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())]))
+            read[name] = rows.parquet(f"{self.folder}/{name}").where(F.col("batch") <= batch)
+        # Of a path the newest batch counts.
+        newest = read["ref_files"].groupBy("repo_ref_id", "path").agg(
+            F.max_by("content_id", "batch").alias("content_id")
+        )
+        return IndexState(**{n: df.drop("batch") for n, df in read.items()} | {"ref_files": newest})
 
     def process(self, files: DataFrame, batch: int) -> None:
         spark = files.sparkSession
         before = self.state(spark, batch - 1)
-        listed = before.ref_files.where(F.col("repo_ref_id") == self.repo_ref_id)
         held: list[DataFrame] = []
 
         def hold(df: DataFrame) -> DataFrame:
@@ -153,17 +177,16 @@ class IncrementalIndex:
             return held[-1]
 
         try:
-            after = index_ref(files, self.repo_ref_id, before, hold=hold).state
-            # Files of earlier batches stay listed unless this batch brings a newer one.
-            paths = files.select("path").distinct()
-            after.ref_files = after.ref_files.unionByName(listed.join(paths, "path", "left_anti"))
+            added = index_ref(files, self.repo_ref_id, before, hold=hold).added
             for name in self.names:
-                getattr(after, name).write.mode("overwrite").parquet(
+                getattr(added, name).write.mode("overwrite").parquet(
                     f"{self.folder}/{name}/batch={batch}"
                 )
         finally:
             for df in held:
                 df.unpersist()
+        done = spark.range(1).select(F.lit(True).alias("done"))
+        done.write.mode("overwrite").parquet(f"{self.folder}/ready/batch={batch}")
 
     def start(self, files: DataFrame, checkpoint: str) -> DataStreamWriter:
         return files.writeStream.foreachBatch(self.process).option(

@@ -201,3 +201,38 @@ def test_long_lines_are_indexed_unless_a_limit_is_given(spark):
     limited = index_ref(files, 1, empty_state(spark), max_average_line=500)
     assert limited.state.symbols.count() == 0
     assert [tuple(r) for r in limited.skipped.collect()] == [("w.py", "minified-or-generated")]
+
+
+def test_writes_of_the_engine(spark, engine):
+    lines = [("a.py", "python", "def fresh():\n    pass\n"), ("b.md", "markdown", "# Title\n")]
+    files = spark.createDataFrame(lines, "path string, language string, content string")
+    kinds = {f.name: f.dataType for f in REPO_REFS.fields}
+    base = Engine(
+        spark, engine.repos,
+        engine.repo_refs.select(*[
+            F.col(c) if c in engine.repo_refs.columns
+            else (F.lit(0) if c.startswith(("files", "chunks")) else F.lit(None)).cast(kinds[c]).alias(c)
+            for c in kinds
+        ]),
+        engine.state, engine.embedder,
+    )
+    synced = base.sync_ref("lamps", "v3.1.0", "c9", files)
+    row = synced.repo_refs.where("ref = 'v3.1.0'").first()
+    assert (row.stage, row.commit_sha, row.semver, row.files_total, row.files_processed) == ("ready", "c9", "3.1.0", 2, 2)
+    assert row.chunks_total == row.chunks_embedded > 0 and row.indexed_at is not None
+    assert row.language_stats == {"python": 50.0, "markdown": 50.0}
+    assert synced.resolve("lamps", "^3.0.0").ref == "v3.1.0"
+    assert [r.name for r in synced.get_symbol("lamps", "fresh", "v3.1.0")["symbols"].collect()] == ["fresh"]
+    gone = synced.delete_version("lamps", "v3.1.0")
+    assert gone.repo_refs.where("ref = 'v3.1.0'").isEmpty()
+    assert gone.state.symbols.where("name = 'fresh'").isEmpty()
+    assert gone.state.file_contents.count() == base.state.file_contents.count()
+    empty = synced.delete_repo("lamps")
+    assert empty.state.ref_files.isEmpty() and empty.state.chunks.isEmpty()
+    assert [r.name for r in empty.repos.collect()] == ["empty"]
+    queued = base.refresh("lamps", "new").repo_refs.where("ref = 'new'").first()
+    assert queued.stage == "queued" and queued.id is not None
+    renamed = base.update_repo("lamps", remote_url="x").repos.where("name = 'lamps'").first()
+    assert renamed.remote_url == "x"
+    for missing in (base.refresh("no", "x"), base.delete_repo("no"), base.delete_version("no", "x"), base.update_repo("no")):
+        assert missing == 'Repository "no" not found.'

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from folioscope.queries.streams import empty_state
@@ -77,3 +79,23 @@ def test_retries_and_cancelling(spark):
     queue = spark.createDataFrame([(2,), (3,), (4,)], "id long").coalesce(1)
     done = list(jobs.run_jobs(queue, handler, cancelled=lambda job: job["id"] == 3))
     assert [(j["id"], s) for j, s in done] == [(2, "completed"), (3, "cancelled"), (4, "completed")]
+
+
+def test_batches_write_their_own_rows_only(spark, tmp_path):
+    """Many batches: bytes follow the batch, a repeated path and a lost batch are noticed."""
+    index = jobs.IncrementalIndex(str(tmp_path / "index"), 7, empty_state(spark))
+    schema = "path string, language string, content string"
+    for batch in range(4):
+        rows = [(f"f{batch}_{i}.py", "python", f"def f{batch}_{i}():\n    pass\n") for i in range(5)]
+        rows += [("same.py", "python", f"def s{batch}():\n    pass\n")] * 2
+        index.process(spark.createDataFrame(rows, schema), batch)
+        written = spark.read.parquet(f"{tmp_path}/index/symbols/batch={batch}")
+        assert written.count() == 6
+    state = index.state(spark, 3)
+    assert state.symbols.count() == 24 and state.ref_files.count() == 21
+    same = state.ref_files.where("path = 'same.py'").join(state.symbols, "content_id")
+    assert [r.name for r in same.collect()] == ["s3"]
+    index.process(spark.createDataFrame(rows, schema), 3)  # a replay
+    assert index.state(spark, 3).symbols.count() == 24
+    with pytest.raises(ValueError):
+        index.process(spark.createDataFrame(rows, schema), 6)
