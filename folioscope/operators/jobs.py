@@ -9,20 +9,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioscope.schemas import TERMINAL_STAGES
 
 
+#: Places in the sample for each range of rows.
+SAMPLE = 50
+
+
+def range_number(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """Which of about as many even ranges as there are shuffle partitions a row lies in.
+
+    Borders come from a bounded sample, chosen by a hash of the place; they move work
+    between tasks, never results.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*columns)
+    some = rows.select(place.alias("p")).orderBy(F.xxhash64("p")).limit(ranges * SAMPLE)
+    places = [r.p for r in some.orderBy("p").collect()]
+    cuts = [places[len(places) * i // ranges] for i in range(1, ranges)] if places else []
+    kind = rows.select(place.alias("p")).schema["p"].dataType
+    literals = [F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, cut))).cast(kind) for cut in cuts]
+    if not literals:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*literals), lambda cut: cut <= place))
+
+
 def previous_value(
     rows: DataFrame,
     key: Sequence[str],
     order: Sequence[str],
     value: str,
-    bucket: Column,
+    bucket: Column | None = None,
     out: str = "previous",
 ) -> DataFrame:
     """The value of the row before, per key, without one task holding a whole key.
 
-    Rows are ranked within a key and bucket, where the bucket grows with the order.
-    Only the last value of each bucket crosses to the next one, so a key that owns
-    a third of all rows spreads over as many tasks as it has buckets.
+    Rows are ranked within a key and bucket, where the bucket grows with the order; by
+    default it is the row's range in the order of keys and places, so a key that owns a
+    third of all rows spreads over a third of the ranges. Only the last value of each
+    bucket crosses to the next one.
     """
+    if bucket is None:
+        bucket = range_number(rows, [*key, *order])
     held = rows.withColumn("_bucket", bucket)
     group = [*key, "_bucket"]
     inside = Window.partitionBy(*group).orderBy(*order)
@@ -40,7 +65,7 @@ def previous_value(
 
 
 def accepted_jobs(
-    requests: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column
+    requests: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None = None
 ) -> DataFrame:
     """Requests that enter the queue: at most one unfinished job per key.
 
@@ -80,7 +105,7 @@ def progress_per_repo(rows: DataFrame, key: str, order: Sequence[str]) -> DataFr
 
 
 def just_finished(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None = None
 ) -> DataFrame:
     """Rows where a key moves from an unfinished stage to a final one."""
     done = list(TERMINAL_STAGES)

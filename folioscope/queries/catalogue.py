@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import labels, versions
 from folioscope.functions import text as text_fn
@@ -163,27 +163,19 @@ def parse_semver(spark: SparkSession, folder: str) -> DataFrame:
     return refs.with_version(version_refs(spark, folder)).select("id", "ref", "semver")
 
 
-CONSTRAINTS = ("^1.2.0", "~2.3", ">=1.2.3-beta.0 <2.0.0 || 0.x", "1.1.0 - 2.4", "main", "")
+CONSTRAINTS = ("^1.2.0", "~2.3", ">=1.2.3-beta.0 <2.0.0 || 0.x", "1.1.0 - 2.4", "main", "", "1.x || main")
 
 
 def semver_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    table = version_refs(spark, folder)
-    parts = [
-        refs.resolve_semver(table, c).withColumn("wanted", F.lit(c)) for c in CONSTRAINTS
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return refs.resolve_semvers(version_refs(spark, folder), CONSTRAINTS)
+
 
 
 NAMES = ("feature/1.1.1", "2.x", "v01.1.5.x")
 
 
 def resolve_ref(spark: SparkSession, folder: str) -> DataFrame:
-    table = version_refs(spark, folder)
-    parts = [refs.resolve_ref(table, c).withColumn("wanted", F.lit(c)) for c in NAMES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return refs.resolve_refs(version_refs(spark, folder), NAMES)
 
 
 # --- diffs -----------------------------------------------------------------------
@@ -327,10 +319,6 @@ def _stages(spark: SparkSession, folder: str) -> DataFrame:
     return events.select("user_id", "ts", "event_id", stage.alias("stage"), "value")
 
 
-def _day() -> Column:
-    return F.to_date("ts")
-
-
 ORDER = ["ts", "event_id"]
 
 
@@ -347,7 +335,7 @@ def progress_per_repo(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage_transitions(spark: SparkSession, folder: str) -> DataFrame:
-    moved = jobs.just_finished(_stages(spark, folder), ["user_id"], ORDER, _day())
+    moved = jobs.just_finished(_stages(spark, folder), ["user_id"], ORDER)
     return moved.select("user_id", "event_id", "previous", "stage")
 
 
@@ -356,7 +344,7 @@ def job_dedup(spark: SparkSession, folder: str) -> DataFrame:
     stages = _stages(spark, folder).where(F.col("stage") != "embedding")
     kind = F.when(F.col("stage").isin("ready", "error"), "finish").otherwise("request")
     requests = stages.withColumn("kind", kind)
-    return jobs.accepted_jobs(requests, ["user_id"], ORDER, _day()).select("user_id", "event_id")
+    return jobs.accepted_jobs(requests, ["user_id"], ORDER).select("user_id", "event_id")
 
 
 def job_cancel(spark: SparkSession, folder: str) -> DataFrame:

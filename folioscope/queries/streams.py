@@ -27,7 +27,7 @@ def job_queue(spark: SparkSession, folder: str) -> DataFrame:
     events = stream_table(spark, folder, "events").where(F.col("event_type") != "signup")
     ends = F.col("event_type").isin("purchase", "error")
     rows = events.withColumn("kind", F.when(ends, "finish").otherwise("request"))
-    queue = streams.JobQueue(place, ["user_id"], ["ts", "event_id"], lambda: F.to_date("ts"))
+    queue = streams.JobQueue(place, ["user_id"], ["ts", "event_id"])
     queue.start(rows, f"{place}/checkpoint").start().awaitTermination()
     return queue.accepted(spark).select("user_id", "event_id")
 

@@ -30,7 +30,8 @@ class JobQueue:
     """
 
     def __init__(
-        self, folder: str, key: Sequence[str], order: Sequence[str], bucket: Callable[[], Column]
+        self, folder: str, key: Sequence[str], order: Sequence[str],
+        bucket: Callable[[], Column] = lambda: None,
     ):
         self.folder, self.key, self.order, self.bucket = folder, list(key), list(order), bucket
 

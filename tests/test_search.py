@@ -140,3 +140,18 @@ def test_hybrid_search_fills_the_limit_under_heavy_overlap(spark):
 
 def test_limits_have_no_ceiling():
     assert [search.clamp_limit(n) for n in (None, 0, 5, 5000)] == [20, 1, 5, 5000]
+
+
+def test_a_hot_key_is_split_into_ranges(spark):
+    """One key owns a third of all rows within one day; its rows go to many groups."""
+    rows = [(0 if i % 3 == 0 else i, i, f"v{i}" if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t long, v string").repartition(3)
+    number = jobs.range_number(df, ["k", "t"])
+    sizes = df.groupBy("k", number.alias("b")).count().where("k = 0").collect()
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) >= ranges // 3 and max(r["count"] for r in sizes) <= 2 * len(rows) / ranges
+    got = {(r.k, r.t): r.previous for r in jobs.previous_value(df, ["k"], ["t"], "v").collect()}
+    before = {}
+    for k, t, v in rows:
+        assert got[k, t] == before.get(k)
+        before[k] = v
