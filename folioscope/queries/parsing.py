@@ -19,47 +19,58 @@ PROGRAMS: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     "typescript": (
         ('import { a#, b as c } from "./m#";', "", "/** Doc #. */", "export function fn#(x: number): string {"),
         "  // ",
-        ('  return "}";', "}", "", "export class Cls# {", "  run#(): string {", '    return "{";', "  }", "}"),
+        ('  return "}";', "}", "", "export class Cls# {", "  run#(): string {", '    return "{";', "  }", "}",
+         "interface If# {", "  a: string;", "}", "type Ty# = string;", "enum En# { A, B }", "const va# = 1;",
+         "export default Cls#;"),
     ),
     "javascript": (
         ('import m# from "mod#";', "", "/** Doc #. */", "const fn# = async (x) => {"),
         "  // ",
-        ("  return '}';", "};", "", "class Cls# extends Base {", "  run#() {", "    return `{ ${1} {`;", "  }", "}"),
+        ("  return '}';", "};", "", "class Cls# extends Base {", "  run#() {", "    return `{ ${1} {`;", "  }", "}",
+         "module.exports = Cls#;", "const va# = 1;"),
     ),
     "python": (
         ("from mod# import a#, b as c", "", "", "def fn#(x):"),
         "    # ",
-        ('    return "("', "", "", "class Cls#:", "    def run#(self):", "        return {", "        }"),
+        ('    return "("', "", "", "class Cls#:", "    def run#(self):", "        return {", "        }",
+         "", "@deco", "def de#(x):", "    return x"),
     ),
     "go": (
         ("package p", 'import q "mod#"', "// Doc #.", "func fn#(x int) string {"),
         "\t// ",
-        ('\treturn "}"', "}", "", "type Cls# struct {", "\trun# int", "}"),
+        ('\treturn "}"', "}", "", "type Cls# struct {", "\trun# int", "}",
+         "type If# interface {", "\tOn() bool", "}", "type My# int", "func (c Cls#) me#() int {", "\treturn 1", "}",
+         "type (", "\tGa# struct {", "\t\tx int", "\t}", ")"),
     ),
     "java": (
         ("import mod.m#;", "", "/** Doc #. */", "public class Cls# {", "  String run#(int x) {"),
         "    // ",
-        ('    return "}";', "  }", "", "  static class In# {", "  }", "}"),
+        ('    return "}";', "  }", "", "  static class In# {", "  }", "}",
+         "interface If# {", "  int go();", "}", "enum En# { A, B }"),
     ),
     "kotlin": (
         ("import mod.m#", "", "/** Doc #. */", "fun fn#(x: Int): String {"),
         "  // ",
-        ('  return "}"', "}", "", "object Cls# {", "  fun run#() = 1", "}"),
+        ('  return "}"', "}", "", "object Cls# {", "  fun run#() = 1", "}",
+         "data class Da#(val x: Int)", "interface If# {", "  fun go#(): Int", "}"),
     ),
     "rust": (
         ("use mod#::a;", "", "/// Doc #.", "pub fn fn#(x: u8) -> char {"),
         "  // ",
-        ("  '}'", "}", "", "impl Cls# {", "  fn run#(&self) -> u8 {", "    1", "  }", "}"),
+        ("  '}'", "}", "", "impl Cls# {", "  fn run#(&self) -> u8 {", "    1", "  }", "}",
+         "struct St# {", "  a: u8,", "}", "enum En# { A, B }", "trait Tr# {", "  fn go#(&self);", "}"),
     ),
     "c": (
         ("#include <mod#.h>".replace("#include", "@include"), "", "/** Doc #. */", "int fn#(int x) {"),
         "  // ",
-        ('  return "}"[0];', "}", "", "typedef struct {", "  int a;", "} Cls#;"),
+        ('  return "}"[0];', "}", "", "typedef struct {", "  int a;", "} Cls#;",
+         "int pr#(int x);", "typedef int ty#;"),
     ),
     "cpp": (
         ('@include "mod#.hpp"', "", "/** Doc #. */", "int fn#(int x) {"),
         "  // ",
-        ("  return '}';", "}", "", "namespace n# {", "class Cls# {", "  int run#() { return 1; }", "};", "}"),
+        ("  return '}';", "}", "", "namespace n# {", "class Cls# {", "  int run#() { return 1; }", "};", "}",
+         "template <typename T>", "class Te# {", "};"),
     ),
 }
 LANGUAGES = tuple(PROGRAMS)
@@ -68,30 +79,47 @@ LANGUAGES = tuple(PROGRAMS)
 SYMBOLS = {
     "typescript": (
         ("function", "fn#", (4, 0), (6, 1)), ("class", "Cls#", (8, 1), (12, 1)),
-        ("method", "run#", (9, 1), (11, 1)),
+        ("method", "run#", (9, 1), (11, 1)), ("interface", "If#", (13, 1), (15, 1)),
+        ("type", "Ty#", (16, 1), (16, 1)), ("enum", "En#", (17, 1), (17, 1)),
+        ("variable", "va#", (18, 1), (18, 1)), ("variable", "default", (19, 1), (19, 1)),
     ),
     "javascript": (
         ("function", "fn#", (4, 0), (6, 1)), ("class", "Cls#", (8, 1), (12, 1)),
-        ("method", "run#", (9, 1), (11, 1)),
+        ("method", "run#", (9, 1), (11, 1)), ("variable", "module.exports", (13, 1), (13, 1)),
+        ("variable", "va#", (14, 1), (14, 1)),
     ),
     "python": (
         ("function", "fn#", (4, 0), (5, 1)), ("class", "Cls#", (8, 1), (11, 1)),
-        ("method", "run#", (9, 1), (11, 1)),
+        ("method", "run#", (9, 1), (11, 1)), ("function", "de#", (13, 1), (15, 1)),
+    ),
+    "go": (
+        ("function", "fn#", (4, 0), (6, 1)), ("struct", "Cls#", (8, 1), (10, 1)),
+        ("interface", "If#", (11, 1), (13, 1)), ("type", "My#", (14, 1), (14, 1)),
+        ("method", "me#", (15, 1), (17, 1)), ("struct", "Ga#", (18, 1), (22, 1)),
     ),
-    "go": (("function", "fn#", (4, 0), (6, 1)), ("struct", "Cls#", (8, 1), (10, 1))),
     "java": (
         ("class", "Cls#", (4, 0), (11, 1)), ("method", "run#", (5, 0), (7, 1)),
-        ("class", "In#", (9, 1), (10, 1)),
+        ("class", "In#", (9, 1), (10, 1)), ("interface", "If#", (12, 1), (14, 1)),
+        ("enum", "En#", (15, 1), (15, 1)),
     ),
     "kotlin": (
         ("function", "fn#", (4, 0), (6, 1)), ("object", "Cls#", (8, 1), (10, 1)),
-        ("method", "run#", (9, 1), (9, 1)),
+        ("method", "run#", (9, 1), (9, 1)), ("class", "Da#", (11, 1), (11, 1)),
+        ("interface", "If#", (12, 1), (14, 1)), ("method", "go#", (13, 1), (13, 1)),
+    ),
+    "rust": (
+        ("function", "fn#", (4, 0), (6, 1)), ("method", "run#", (9, 1), (11, 1)),
+        ("struct", "St#", (13, 1), (15, 1)), ("enum", "En#", (16, 1), (16, 1)),
+        ("trait", "Tr#", (17, 1), (19, 1)), ("method", "go#", (18, 1), (18, 1)),
+    ),
+    "c": (
+        ("function", "fn#", (4, 0), (6, 1)), ("struct", "Cls#", (8, 1), (10, 1)),
+        ("function", "pr#", (11, 1), (11, 1)), ("type", "ty#", (12, 1), (12, 1)),
     ),
-    "rust": (("function", "fn#", (4, 0), (6, 1)), ("method", "run#", (9, 1), (11, 1))),
-    "c": (("function", "fn#", (4, 0), (6, 1)), ("struct", "Cls#", (8, 1), (10, 1))),
     "cpp": (
         ("function", "fn#", (4, 0), (6, 1)), ("namespace", "n#", (8, 1), (12, 1)),
         ("class", "Cls#", (9, 1), (11, 1)), ("method", "run#", (10, 1), (10, 1)),
+        ("class", "Te#", (13, 1), (15, 1)),
     ),
 }
 # Expected import of each program: source, names and default name.
