@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -86,8 +87,10 @@ def padded_count(padded: Column) -> Column:
 
 
 def padded_term_count(padded: Column, term: str) -> Column:
-    """How often one word occurs in a padded stream."""
+    """How often a word or phrase occurs in a padded stream; phrases may overlap themselves."""
     needle = f" {term} "
+    if len(set(term.split())) < len(term.split()):
+        return F.regexp_count(padded, F.lit(f"(?={re.escape(needle)})")).cast("long")
     removed = F.length(padded) - F.length(F.replace(padded, F.lit(needle), F.lit("")))
     return (removed / F.lit(len(needle))).cast("long")
 

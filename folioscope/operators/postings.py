@@ -1,12 +1,14 @@
 """A persisted inverted index for repeated word searches.
 
-Postings carry the chunk length, so scoring a query reads only the buckets of its
-words and needs no join back to the chunks.
+Postings carry positions and the chunk's length, so words and phrases are scored from the
+buckets of the query's words alone. A slim table of chunk lengths gives the totals of any
+scope. Texts are read when the index is written and never by a search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,66 +18,110 @@ from folioscope.operators import search
 BUCKETS = 64
 
 
+@dataclass
+class WordIndex:
+    """The tables of an index, its chunk key and the bucket count it was written with."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    key: list[str]
+    buckets: int
+
+    def within(self, contents: DataFrame) -> WordIndex:
+        """The index of the chunks of some contents."""
+        kept = contents.select("content_id").distinct()
+        return WordIndex(
+            self.postings.join(kept, "content_id", "left_semi"),
+            self.lengths.join(kept, "content_id", "left_semi"),
+            self.key, self.buckets,
+        )
+
+
 def word_bucket(word: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.crc32(F.encode(word, "UTF-8")), F.lit(buckets)).cast("int")
 
 
 def postings(chunks: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """One row per word and chunk: how often it occurs and how long the chunk is."""
+    """One row per word and chunk: where it occurs and how long the chunk is."""
     words = text_fn.code_words(F.col("content"))
     exploded = chunks.select(*key, words.alias("words")).select(
-        *key, F.size("words").cast("long").alias("length"), F.explode("words").alias("word")
+        *key, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("at", "word")
     )
+    # A group is one word of one chunk, whose size the chunker bounds.
     return (
         exploded.groupBy(*key, "length", "word")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.array_sort(F.collect_list("at")).alias("positions"))
         .withColumn("bucket", word_bucket(F.col("word"), buckets))
     )
 
 
 def write_index(chunks: DataFrame, key: Sequence[str], folder: str, buckets: int = BUCKETS) -> None:
-    """Write postings by word bucket and the two corpus totals beside them.
+    """Write postings by word bucket, sorted by word, and the lengths of all chunks.
 
-    A frequent word would make its bucket one huge partition; the rebalance hint
-    lets AQE split such buckets over several files.
+    A frequent word would make its bucket one huge partition; the rebalance hint lets AQE
+    split such buckets over several files. Sorted rows let row groups without a word go unread.
     """
     rows = postings(chunks, key, buckets).hint("rebalance", "bucket")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    totals = chunks.select(F.size(text_fn.code_words(F.col("content"))).cast("long").alias("w"))
-    totals.agg(F.count("*").alias("n"), F.sum("w").alias("total")).write.mode(
-        "overwrite"
-    ).parquet(f"{folder}/totals")
+    rows.sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{folder}/postings"
+    )
+    length = F.size(text_fn.code_words(F.col("content"))).cast("long")
+    chunks.select(*key, length.alias("length")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    made = chunks.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(",".join(key)).alias("key"))
+    made.write.mode("overwrite").parquet(f"{folder}/about")
+
 
+def read_index(spark: SparkSession, folder: str) -> WordIndex:
+    about = spark.read.parquet(f"{folder}/about").first()
+    return WordIndex(
+        spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"),
+        about["key"].split(","), about["buckets"],
+    )
+
+
+def _earlier(places: Column, step: int) -> Column:
+    return F.transform(places, lambda p: p - step)
 
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/totals")
+
+def _count(places: Column, words: Sequence[str]) -> Column:
+    """How often the words follow each other, from their positions in a chunk."""
+    first = F.try_element_at(places, F.lit(words[0]))
+    for step, word in enumerate(words[1:], 1):
+        there = F.coalesce(F.try_element_at(places, F.lit(word)), F.array().cast("array<int>"))
+        first = F.array_intersect(first, _earlier(there, step))
+    return F.coalesce(F.size(first), F.lit(0)).cast("long")
 
 
 def score_postings(
-    index: DataFrame,
-    totals: DataFrame,
-    key: Sequence[str],
-    words: Sequence[str],
-    k1: float = search.K1,
-    b: float = search.B,
-    buckets: int = BUCKETS,
+    index: WordIndex, terms: Sequence[str], k1: float = search.K1, b: float = search.B
 ) -> DataFrame:
-    """BM25 of every chunk that holds one of the words, from the postings alone."""
-    spark = index.sparkSession
+    """BM25 of every chunk that holds a search unit (as of `search.query_terms`), from postings."""
+    units = [t.split() for t in terms]
+    words = sorted({w for u in units for w in u})
+    spark = index.postings.sparkSession
+    if not units:
+        return index.lengths.select(*index.key, F.lit(None).cast("double").alias("bm25")).where("false")
     numbers = spark.range(1).select(
-        F.array(*[word_bucket(F.lit(w), buckets) for w in words]).alias("b")
+        F.array(*[word_bucket(F.lit(w), index.buckets) for w in words]).alias("b")
     ).first()["b"]
-    hits = index.where(F.col("bucket").isin(sorted(set(numbers))) & F.col("word").isin(list(words)))
-    held = hits.groupBy("word").agg(F.count("*").alias("df"))
-    table = held.agg(F.map_from_entries(F.collect_list(F.struct("word", "df")))).scalar()
-    stats = totals.select(F.struct("n", "total")).scalar()
-    part = search.idf(F.col("_s.n"), F.try_element_at("_held", F.col("word"))) * search.term_weight(
-        F.col("tf"), F.col("length"), F.col("_s.total") / F.col("_s.n"), k1, b
-    )
-    return (
-        hits.withColumn("_held", table)
-        .withColumn("_s", stats)
-        .select(*key, part.alias("part"))
-        .groupBy(*key)
-        .agg(F.round(F.sum("part"), search.SCORE_DIGITS).alias("bm25"))
+    hits = index.postings.where(F.col("bucket").isin(sorted(set(numbers))) & F.col("word").isin(words))
+    # A group has at most one row for each word of the query.
+    places = F.map_from_entries(F.collect_list(F.struct("word", "positions")))
+    held = hits.groupBy(*index.key, "length").agg(places.alias("places"))
+    counted = held.select(
+        *index.key, "length", *[_count(F.col("places"), u).alias(f"tf{i}") for i, u in enumerate(units)]
     )
+    found = [F.col(f"tf{i}") for i in range(len(units))]
+    frequent = counted.agg(
+        F.struct(*[F.count_if(tf > 0).alias(f"df{i}") for i, tf in enumerate(found)]).alias("d")
+    ).select("d").scalar()
+    totals = index.lengths.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).alias("s")
+    ).select("s").scalar()
+    scored = counted.where(sum(found[1:], found[0]) > 0).withColumn("_d", frequent).withColumn("_s", totals)
+    average = F.col("_s.total") / F.col("_s.n")
+    parts = [
+        search.idf(F.col("_s.n"), F.col(f"_d.df{i}")) * search.term_weight(tf, F.col("length"), average, k1, b)
+        for i, tf in enumerate(found)
+    ]
+    return scored.select(*index.key, F.round(sum(parts[1:], parts[0]), search.SCORE_DIGITS).alias("bm25"))

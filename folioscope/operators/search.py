@@ -260,6 +260,7 @@ def hybrid_search(
     query_vector: Sequence[float],
     limit: int = DEFAULT_LIMIT,
     k: int = RRF_K,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid search over the chunks of the files in scope.
 
@@ -270,11 +271,18 @@ def hybrid_search(
     Candidates enter from the best down. A candidate outside the pool is worse than all
     inside, so it drops none of them: the result is exact once ``limit`` rows survive,
     or once the pool holds every scored chunk. Until then the pool grows.
+
+    ``words`` may bring the word scores of the chunks in scope from a persisted index
+    (``postings.score_postings``); then no text is read but that of the result.
     """
     wanted = scope.select("content_id").distinct()
-    candidates = with_words(chunks.join(wanted, "content_id", "left_semi"))
-    scored = vector_score(bm25(candidates, terms), query_vector)
+    inside = chunks.join(wanted, "content_id", "left_semi")
     key = ["content_id", "start_line", "end_line"]
+    if words is None:
+        scored = vector_score(bm25(with_words(inside), terms), query_vector)
+    else:
+        scored = vector_score(inside.select(*key, "embedding"), query_vector)
+        scored = scored.join(words.select(*key, "bm25"), key, "left")
     slim = scored.select(*key, "bm25", "vector").persist()
     every = slim.where("bm25 is not null or vector is not null").count()
     owners = scope.select("content_id", "repo", "ref", "path")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as text_fn
 from folioscope.functions import versions
-from folioscope.operators import context, lookup, maintain, refs, search
+from folioscope.operators import context, lookup, maintain, postings, refs, search
 from folioscope.plans.indexing import IndexState, index_ref, without_orphans
 from folioscope.schemas import CONTEXT_STRATEGIES
 from folioscope.sources import embedding as providers
@@ -72,7 +72,10 @@ class Engine:
         state: IndexState,
         embedder: providers.Embedder | None = None,
         mirrors: str | None = None,
+        words: postings.WordIndex | None = None,
     ):
+        """``words`` is the persisted word index of the chunks; without it a search reads texts."""
+        self.words = words
         self.spark, self.repos, self.repo_refs, self.state = spark, repos, repo_refs, state
         self.embedder = embedder or providers.HashingEmbedder()
         self.mirrors = mirrors
@@ -104,7 +107,16 @@ class Engine:
             F.col("id").alias("repo_ref_id"), "repo", "ref", "stage"
         )
 
-    # --- writes: each returns an engine on the new tables --------------------------
+    # --- writes: each returns an engine on the new tables, without a word index ------
+
+    def index_words(self, folder: str) -> Engine:
+        """Write the word index of all chunks; searches of the new engine read it."""
+        key = ["content_id", "start_line", "end_line"]
+        postings.write_index(self.state.chunks.select(*key, "content"), key, folder)
+        return Engine(
+            self.spark, self.repos, self.repo_refs, self.state, self.embedder, self.mirrors,
+            postings.read_index(self.spark, folder),
+        )
 
     def _with(self, **tables: DataFrame) -> Engine:
         state = {n: tables.pop(n, t) for n, t in vars(self.state).items()}
@@ -218,7 +230,10 @@ class Engine:
         scope = search.in_scope(self._files(), self._named_refs(), repo, ref, languages, paths)
         vector = self.embedder.embed([words.embedding_text])[0]
         terms = search.query_terms(self.spark, words.full_text)
-        return search.hybrid_search(self.state.chunks, scope, terms, vector, count)
+        found = None
+        if self.words is not None:
+            found = postings.score_postings(self.words.within(scope), terms)
+        return search.hybrid_search(self.state.chunks, scope, terms, vector, count, words=found)
 
     # --- lookups ------------------------------------------------------------------
 

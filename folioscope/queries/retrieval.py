@@ -31,8 +31,7 @@ def bm25_postings(spark: SparkSession, folder: str) -> DataFrame:
     place = work_folder(spark, "postings")
     chunks = tables.corpus_chunks(spark, folder).select(*KEY, "content")
     postings.write_index(chunks, KEY, place)
-    index, totals = postings.read_index(spark, place)
-    return postings.score_postings(index, totals, KEY, WORDS)
+    return postings.score_postings(postings.read_index(spark, place), WORDS)
 
 
 def code_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +78,18 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def indexed_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The hybrid search with word scores from a persisted index, phrase included."""
+    files, refs = tables.scoped_files(spark, folder)
+    scope = search.in_scope(files, refs, repo="repo1")
+    chunks = tables.corpus_chunks(spark, folder).drop("symbol_name")
+    place = work_folder(spark, "words")
+    postings.write_index(chunks.select(*KEY, "content"), KEY, place)
+    terms = search.query_terms(spark, QUERY)
+    words = postings.score_postings(postings.read_index(spark, place).within(scope), terms)
+    return search.hybrid_search(chunks, scope, terms, _query_vector(spark, folder), LIMIT, words=words)
+
+
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     rows = _search_rows(spark, folder)
     pack = context.trim_to_budget(rows)
@@ -202,6 +213,7 @@ QUERIES = {
     "q_rrf_fusion": rrf_fusion,
     "q_dedup_overlap": dedup_overlap,
     "q_hybrid_search": hybrid_search,
+    "q_indexed_search": indexed_search,
     "q_context_pack": context_pack,
     "q_format_pack": format_pack,
     "q_pack_summary": pack_summary,
@@ -250,3 +262,5 @@ FROM headed""",
 SELECT count(*) AS chunks, CAST(coalesce(sum(ceil(length(content) / 3.0)), 0) AS BIGINT)
        AS total_tokens FROM pack""",
 }
+# The index changes how words are found, not what is found.
+ORACLES["q_indexed_search"] = ORACLES["q_hybrid_search"]

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
-from folioscope.operators import search
+from folioscope.operators import postings, search
 from folioscope.queries import retrieval
 from folioscope.sources import tables
 
@@ -44,3 +44,17 @@ def test_word_search_does_not_read_vectors(spark, sf_dir):
 def test_language_counts_are_combined_before_the_shuffle(spark, sf_dir):
     plan = plan_of(entry_module.queries()["q_language_stats"](spark, sf_dir))
     assert "partial_count" in plan
+
+
+def test_indexed_search_reads_texts_of_the_result_only(spark, tmp_path):
+    """Word and vector scores of a search from the index come from scans without text."""
+    key = ["content_id", "start_line", "end_line"]
+    chunks = tables.corpus_chunks(spark, "/root/testdata/sf0.001").select(*key, "content", "embedding")
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    postings.write_index(stored, key, str(tmp_path / "index"))
+    words = postings.score_postings(postings.read_index(spark, str(tmp_path / "index")), ["the", "de  la"])
+    scored = search.vector_score(stored.select(*key, "embedding"), [1.0] * 64)
+    plan = plan_of(scored.join(words, key, "left"))
+    assert "content:string" not in plan and "positions" in plan
+    assert "PushedFilters: [In(word" in plan.replace("IsNotNull(word), ", "")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import text
 from folioscope.operators import context, jobs, postings, search
 
 
@@ -67,14 +68,21 @@ def test_scan_and_postings_agree(spark, tmp_path):
     words = ["alpha", "beta", "gamma", "delta"]
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(80)]
     chunks = spark.createDataFrame(rows, "id long, content string")
-    scan = search.bm25(search.with_words(chunks), ["beta", "delta"])
     postings.write_index(chunks, ["id"], str(tmp_path), buckets=4)
-    index, totals = postings.read_index(spark, str(tmp_path))
-    scored = postings.score_postings(index, totals, ["id"], ["beta", "delta"], buckets=4)
-    a = {r.id: r.bm25 for r in scan.where("bm25 is not null").collect()}
-    b = {r.id: r.bm25 for r in scored.collect()}
-    assert a.keys() == b.keys()
-    assert all(abs(a[i] - b[i]) < 1e-8 for i in a)
+    index = postings.read_index(spark, str(tmp_path))
+    assert index.buckets == 4
+    for terms in (["beta", "delta"], ["beta  delta", "alpha"], ["alpha  alpha"], ["none"], ["none  alpha"]):
+        scan = search.bm25(search.with_words(chunks), terms)
+        a = {r.id: r.bm25 for r in scan.where("bm25 is not null").collect()}
+        b = {r.id: r.bm25 for r in postings.score_postings(index, terms).collect()}
+        assert a.keys() == b.keys()
+        assert all(abs(a[i] - b[i]) < 1e-8 for i in a)
+
+
+def test_phrases_may_overlap_themselves(spark):
+    chunks = spark.createDataFrame([(1, "la la la"), (2, "la ba la")], "id long, content string")
+    counted = search.with_words(chunks).select("id", text.padded_term_count(F.col("words"), "la  la").alias("n"))
+    assert {r.id: r.n for r in counted.collect()} == {1: 2, 2: 0}
 
 
 def test_trim_is_a_prefix(spark):
