@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as text_fn
-from folioscope.functions import vectors
 from folioscope.operators import jobs
 from folioscope.plans.indexing import IndexState
 from folioscope.queries import catalogue, parsing
@@ -84,8 +83,7 @@ def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     done = providers.embed_chunks(chunks, providers.HashingEmbedder(64))
     return done.select(
         "doc_id",
-        F.size("embedding").alias("dimensions"),
-        F.round(vectors.norm(F.col("embedding")), 3).alias("length"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
         "embedding_error",
     )
 
@@ -131,8 +129,15 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
     "q_incremental_index": parsing.ORACLES["q_parse_symbols"].replace(
         "id AS content_id, language,", "id AS path,"
     ),
-    "q_embed_chunks": """SELECT doc_id, CAST(64 AS INTEGER) AS dimensions, 1.0::DOUBLE AS length,
-  CAST(NULL AS VARCHAR) AS embedding_error FROM documents""",
+    "q_embed_chunks": """WITH w AS (
+SELECT doc_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) AS h FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents)),
+s AS (SELECT doc_id, (h // 2) % 64 AS i, CAST(sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v
+      FROM w GROUP BY ALL),
+m AS (SELECT doc_id, map(list(i), list(v)) AS m, sqrt(sum(v * v)) AS length FROM s GROUP BY doc_id)
+SELECT doc_id, list_transform(range(64), lambda i: CAST(CAST(CASE WHEN length > 0
+  THEN coalesce(m[i], 0.0) / length ELSE 0.0 END AS FLOAT) AS DOUBLE)) AS embedding,
+  CAST(NULL AS VARCHAR) AS embedding_error FROM m""",
     "q_mirror_status": """WITH s AS (
 SELECT user_id AS repo, ts, event_id, CASE event_type WHEN 'click' THEN 'cloning'
   WHEN 'purchase' THEN 'ready' ELSE 'error' END AS status FROM events

@@ -20,7 +20,7 @@ BATCH = 64
 
 
 class Embedder(Protocol):
-    max_input_tokens: int
+    max_input_tokens: int | None  # None: texts of any length
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
@@ -28,7 +28,7 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Offline default: signed word hashes, scaled to length one."""
 
-    max_input_tokens = 8000
+    max_input_tokens = None
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions = dimensions
@@ -39,7 +39,7 @@ class HashingEmbedder:
     def _one(self, text: str) -> list[float]:
         vector = [0.0] * self.dimensions
         for word in re.findall(r"\w+", text.lower()):
-            digest = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+            digest = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
             vector[(digest >> 1) % self.dimensions] += 1.0 if digest & 1 else -1.0
         length = math.sqrt(sum(v * v for v in vector))
         return [v / length for v in vector] if length else vector
@@ -114,20 +114,59 @@ def embed_batch(embedder: Embedder, texts: Sequence[str]) -> tuple[list, list]:
         return vectors, errors
 
 
+def windows(text: str, most: int | None) -> list[str]:
+    """The whole text in windows of at most so many estimated tokens, cut at line ends."""
+    if most is None:
+        return [text]
+    size = most * text_fn.CHARS_PER_TOKEN
+    out, at = [], 0
+    while len(text) - at > size:
+        line = text.rfind("\n", at, at + size)
+        end = line + 1 if line > at else at + size
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def pooled(vectors: Sequence[Sequence[float] | None]) -> list[float] | None:
+    """The mean of a text's window vectors, scaled to length one; a lone vector stays."""
+    if len(vectors) == 1 or any(v is None for v in vectors):
+        return None if any(v is None for v in vectors) else list(vectors[0])
+    sums = [sum(values) for values in zip(*vectors)]
+    length = math.sqrt(sum(v * v for v in sums))
+    return [v / length for v in sums] if length else sums
+
+
+def embed_whole(embedder: Embedder, texts: Sequence[str], batch: int) -> tuple[list, list]:
+    """Vectors and errors of whole texts; what exceeds the provider's input goes in windows."""
+    cut = [windows(t, embedder.max_input_tokens) for t in texts]
+    flat = [w for each in cut for w in each]
+    vectors, errors = [], []
+    for at in range(0, len(flat), batch):
+        some, failed = embed_batch(embedder, flat[at : at + batch])
+        vectors += some
+        errors += failed
+    out, why, at = [], [], 0
+    for each in cut:
+        end = at + len(each)
+        out.append(pooled(vectors[at:end]))
+        why.append(next((e for e in errors[at:end] if e), None))
+        at = end
+    return out, why
+
+
 def embed_chunks(
     chunks: DataFrame, embedder: Embedder, batch: int = BATCH, requests: int | None = None
 ) -> DataFrame:
     """Vectors for chunks that have none; failures keep the chunk and say why.
 
     Equal texts are embedded once: only the first text per hash goes to the provider
-    and the vector joins back. ``requests`` bounds how many tasks call it at a time.
+    and the vector joins back. A text longer than the provider takes goes in windows, whose
+    vectors are pooled. ``requests`` bounds how many tasks call it at a time.
     """
     wanted = chunks.where(F.col("embedding").isNull())
     texts = wanted.groupBy("content_sha256").agg(F.min("content").alias("content"))
-    texts = texts.select(
-        "content_sha256",
-        text_fn.truncate_for_embedding(F.col("content"), embedder.max_input_tokens).alias("text"),
-    )
+    texts = texts.select("content_sha256", F.col("content").alias("text"))
     if requests:
         texts = texts.repartition(requests)
 
@@ -137,7 +176,7 @@ def embed_chunks(
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                vectors, errors = embed_batch(embedder, part["text"].tolist())
+                vectors, errors = embed_whole(embedder, part["text"].tolist(), batch)
                 yield pd.DataFrame(
                     {
                         "content_sha256": part["content_sha256"].tolist(),

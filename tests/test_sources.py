@@ -95,3 +95,19 @@ def test_request_shapes():
     assert embedding.check_dimension(embedding.HashingEmbedder(8), 8) is None
     assert "8 dimensions" in embedding.check_dimension(embedding.HashingEmbedder(8), 9)
     assert embedding.check_dimension(flaky(), 2) is None
+
+
+def test_long_texts_go_in_windows_and_are_pooled(spark):
+    """No character is lost between windows, and the pooled vector has length one."""
+    text = "\n".join("y" * n for n in (10, 200, 7, 299, 301, 900))
+    parts = embedding.windows(text, 100)
+    assert "".join(parts) == text and all(len(p) <= 300 for p in parts) and len(parts) > 4
+    assert embedding.windows(text, None) == [text]
+    chunks = spark.createDataFrame([(1, text, None)], "id long, content string, embedding array<float>")
+    chunks = chunks.withColumn("content_sha256", F.sha2("content", 256)).withColumn(
+        "embedding_error", F.lit(None).cast("string")
+    )
+    vector = embedding.embed_chunks(chunks, flaky(), batch=2).first()["embedding"]
+    sums = (float(len(text)), float(len(parts)))
+    length = (sums[0] ** 2 + sums[1] ** 2) ** 0.5
+    assert all(abs(v - s / length) < 1e-6 for v, s in zip(vector, sums))
