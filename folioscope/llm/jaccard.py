@@ -37,6 +37,9 @@ PARTS = 32
 #: Bits of the map that says which nodes' sets a verification needs; 2 MB, whatever the input.
 MAP_BITS = 24
 
+#: Rows of the list of documents that leave, about 80 bytes each, that may go to every task.
+BROADCAST_ROWS = 200_000
+
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -303,6 +306,9 @@ def distinct_documents(
             F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), leave.alias("_leave")
         )
     )
+    # A short list goes to the documents; a long one meets them in a shuffle.
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.md5(text).eqNullSafe(F.col("_digest"))
     marked = docs.join(marks, same, "left")
     kept = marked.where("_leave is null")

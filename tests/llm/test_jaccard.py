@@ -101,3 +101,11 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 10 for i in range(10, 61)} | {i: 100 for i in range(100, 160)} | {3: 3, 7: 3}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_long_list_of_copies_gives_the_same_documents(spark, monkeypatch):
+    rows = [(i, t, "en") for i, t in made(5, 10, 4, 60, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted(tuple(r) for r in jaccard.distinct_documents(docs).collect())
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    assert sorted(tuple(r) for r in jaccard.distinct_documents(docs).collect()) == want
