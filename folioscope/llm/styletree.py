@@ -28,10 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from folioscope.llm.common import stored
 from folioscope.llm.rangejoin import parts
 
 #: A branch is removed if at least MIN_PAGES pages of the host hold it and its importance is lower.
 MIN_PAGES, LOW = 8, 0.3
+#: Nodes to remove, of all hosts together, that may go to every task: 8 bytes each.
+BROADCAST_NODES = 1_000_000
+#: Ways that a host's pages are dealt out otherwise.
+SALTS = 32
 #: Share of content in a node's composite importance; presentation has the rest.
 CONTENT = 0.9
 
@@ -241,14 +246,14 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.sum("pages").alias("n"), F.first("chain").alias("chain")
     )
     kind, n = F.col("kind"), F.col("n")
-    nodes = values.groupBy("host", "path").agg(
+    nodes = stored(values.groupBy("host", "path").agg(
         F.max(F.when(kind == 2, n)).alias("pages"),
         F.sum(F.when(kind == 0, n * F.log(n))).alias("shapes_log"),
         F.sum(F.when(kind == 0, n)).alias("shapes"),
         F.sum(F.when(kind == 1, n * F.log(n))).alias("texts_log"),
         F.sum(F.when(kind == 1, n)).alias("texts"),
         F.first("chain").alias("chain"),
-    )
+    ))
     own = F.when(
         F.col("pages") > 1, 1 - F.col("texts_log") / (F.col("texts") * F.log("pages"))
     ).otherwise(F.lit(1.0))
@@ -270,7 +275,7 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Every row as struct `row` with the text of its article."""
     worth = F.lit(CONTENT) * F.col("content") + F.lit(1 - CONTENT) * F.col("presentation")
-    low = (
+    low = stored(
         importance(pages, url, html)
         .where((F.col("pages") >= MIN_PAGES) & (worth < LOW))
         .groupBy("host").agg(F.collect_set("path").alias("low"))
@@ -288,5 +293,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     host, _ = parts("url")
     rows = pages.select(F.struct("*").alias("row"), F.col(url).alias("url"))
-    rows = rows.select("row", host.alias("host")).join(low, "host", "left")
+    rows = rows.select("row", host.alias("host"))
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
+        rows = rows.join(F.broadcast(low), "host", "left")
+    else:  # a host may own a third of all pages, so its pages are dealt out by salt
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("salt", salt).join(low.withColumn("salt", every), ["host", "salt"], "left")
     return rows.select("row", "low").mapInArrow(read, shape)

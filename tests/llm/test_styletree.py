@@ -61,3 +61,15 @@ def test_edge_rows(spark):
     got = sorted((r.row.page_id, r.text[:10]) for r in styletree.extract(pages).collect())
     assert got == [(1, ""), (2, ""), (3, "x"), (3, "x"), (4, "long words")]
     assert styletree.extract(pages.where("false")).count() == 0
+
+
+def test_salted_pages_give_the_same_texts(spark, monkeypatch):
+    rows = [
+        (i, "http://a.com/", f"<body><div class='one'><p>Same line</p></div><div class='two'><p>Own {i}</p></div></body>")
+        for i in range(20)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r.row.page_id, r.text) for r in styletree.extract(pages).collect())
+    assert want == [(i, f"Own {i}") for i in range(20)]
+    monkeypatch.setattr(styletree, "BROADCAST_NODES", -1)
+    assert sorted((r.row.page_id, r.text) for r in styletree.extract(pages).collect()) == want
