@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscope.llm.common import ascii_lower
+from folioscope.llm.common import ascii_lower, stored
 
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
@@ -83,11 +83,9 @@ def _needed(size: int) -> int:
     return max(1, -(-int(size * THRESHOLD * 1000) // 1000))
 
 
-def template_order(blocks: DataFrame, templates: tuple[tuple[str, str], ...]) -> list[str]:
+def template_order(blocks: DataFrame, every: list[str]) -> list[str]:
     """All words of the templates, the rarest in the corpus' blocks first."""
-    every = sorted({w for _, t in templates for w in t.split()})
-    held = F.array_intersect("words", F.array(*map(F.lit, every)))
-    rows = blocks.select(F.explode(held).alias("word")).groupBy("word").count().collect()
+    rows = blocks.select(F.explode("held").alias("word")).groupBy("word").count().collect()
     counts = {r.word: r["count"] for r in rows}  # at most a row for each template word
     return sorted(every, key=lambda w: (counts.get(w, 0), w))
 
@@ -97,7 +95,11 @@ def contained(blocks: DataFrame, templates: tuple[tuple[str, str], ...]) -> Data
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     spark = blocks.sparkSession
-    order = template_order(blocks, templates)
+    every = sorted({w for _, t in templates for w in t.split()})
+    # Texts are read once: only the template words of each block go on.
+    words = F.array_intersect("words", F.array(*map(F.lit, every)))
+    blocks = stored(blocks.withColumn("held", words).drop("words").where(F.size("held") > 0))
+    order = template_order(blocks, every)
     place = {w: k for k, w in enumerate(order)}
     prefixes, whole, starts = [], [], set()
     for number, (label, text) in enumerate(templates):
@@ -110,9 +112,9 @@ def contained(blocks: DataFrame, templates: tuple[tuple[str, str], ...]) -> Data
     prefix = spark.createDataFrame(prefixes, "word string, template int, at int, size int, need int")
     full = spark.createDataFrame(whole, "template int, label string, template_words array<string>, need int")
     least = min(w[3] for w in whole)
-    held = F.array_intersect(F.array(*map(F.lit, order)), F.col("words"))  # in the global order
+    held = F.array_intersect(F.array(*map(F.lit, order)), F.col("held"))  # in the global order
     start = F.array(*map(F.lit, sorted(starts)))
-    able = blocks.withColumn("held", held).drop("words")
+    able = blocks.withColumn("held", held)
     able = able.where((F.size("held") >= least) & F.arrays_overlap("held", start))
     key = [c for c in able.columns if c != "held"]
     each = able.select(*key, "held", F.posexplode("held").alias("pos", "word"))
