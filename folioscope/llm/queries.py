@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.llm import (
     attention, collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup,
@@ -139,18 +139,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _without_title(text: Column) -> Column:
-    return F.regexp_replace(text, "^[^\n]*\n", "")
-
-
 @_query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a load, a revision (titles removed), a removal (low quality) and replays."""
+    title = F.regexp_extract("text", "^[^\n]*\n", 0)
     docs = common.table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang",
-        rollup.counts(F.col("text")).alias("before"),
-        rollup.counts(_without_title(F.col("text"))).alias("after"),
+        rollup.counts(F.col("text")).alias("before"), rollup.counts(title).alias("title"),
     )
+    # No token holds a line's end, so a text without its title has the other tokens.
+    after = F.transform_values("before", lambda k, n: n - F.element_at("title", k))
+    docs = docs.select("doc_id", "source", "lang", "before", after.alias("after"))
     counted = common.stored(docs)  # a slim row per document; texts are read once
     poor = common.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
     batches = {
