@@ -34,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text with the end id, and digests of the ids and of the decoded text."""
     ship_package(spark)
-    coded = pieces.code(docs, queries.tokenizer_path("piece_bpe_32k.model"), keep=("ids",))
+    coded = pieces.code(docs, queries.tokenizer_path("piece_bpe_32k.model"), more=("ids",))
     kept = [F.col(f"row.{name}").alias(name) for name in ("doc_id", "lang", "source")]
     return coded.select(*kept, "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 

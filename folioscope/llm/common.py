@@ -102,6 +102,23 @@ def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         first = last
 
 
+def carried(docs: DataFrame, text: str, keep: tuple[str, ...] | None) -> DataFrame:
+    """Rows as struct `row` for a Python stage; named columns only, with the text beside them.
+
+    Without names the whole row travels, text included, and comes back.
+    """
+    if keep is None:
+        return docs.select(F.struct("*").alias("row"))
+    return docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
+
+
+def with_text(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
+    """A batch of carried rows as columns row and text."""
+    held = "text" in batch.schema.names
+    content = batch.column("text") if held else batch.column("row").field(text)
+    return pa.RecordBatch.from_arrays([batch.column("row"), content], ["row", "text"])
+
+
 def word_spans(
     data: np.ndarray, offsets: np.ndarray, inside: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -233,22 +233,28 @@ def item_blocks(
 
 def find_matches(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Every row as struct `row` with n_words, n_hit, hit ranges, items and longest matches."""
-    context = docs.sparkSession.sparkContext
-    shape = T.StructType([T.StructField("row", docs.schema), *_FOUND.fields])
-    frame = docs.select(F.struct("*").alias("row"))
-    for number, (ids, texts) in enumerate(item_blocks(benchmark, block_bytes)):
-        sent = context.broadcast(Items(ids, texts, window))
+    """Every row as struct `row` with n_words, n_hit, hit ranges, items and longest matches.
 
-        def match(batches, sent=sent, more=number > 0):
+    `keep` names the columns that `row` holds, by default all.
+    """
+    context = docs.sparkSession.sparkContext
+    frame = common.carried(docs, text, keep)
+    row = frame.schema["row"]
+    blocks = item_blocks(benchmark, block_bytes)
+    block, number = next(blocks), 0
+    while block is not None:
+        following = next(blocks, None)
+        sent = context.broadcast(Items(*block, window))
+        # Between two passes the text stays beside the named columns.
+        beside = ["text"] if keep is not None and following is not None else []
+
+        def match(batches, sent=sent, more=number > 0, beside=beside):
             items = sent.value
             for batch in batches:
-                content = batch.column("row").field(text)
-                whole = pa.RecordBatch.from_arrays([batch.column("row"), content], ["row", "text"])
                 at = 0
-                for part in common.blocks(whole, "text"):
+                for part in common.blocks(common.with_text(batch, text), "text"):
                     results = match_shard(part.column("text"), items, window)
                     if more:
                         before = batch.slice(at, part.num_rows).to_pylist()
@@ -256,12 +262,14 @@ def find_matches(
                     at += part.num_rows
                     columns = list(zip(*results))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("row")]
+                        [part.column(c) for c in ("row", *beside)]
                         + [pa.array(list(c), t) for c, t in zip(columns, _arrow_types())],
-                        ["row", *_FOUND.names],
+                        ["row", *beside, *_FOUND.names],
                     )
 
-        frame = frame.mapInArrow(match, shape)
+        fields = [row, *(T.StructField(c, T.StringType()) for c in beside), *_FOUND.fields]
+        frame = frame.mapInArrow(match, T.StructType(fields))
+        block, number = following, number + 1
     size = F.aggregate("hit", F.lit(0).cast("long"), lambda a, h: a + h[1] - h[0])
     return frame.withColumn("n_hit", size)
 

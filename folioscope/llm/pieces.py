@@ -24,7 +24,9 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
+
+from folioscope.llm import common
 
 SPACE = "▁"
 
@@ -214,24 +216,30 @@ _CODED = (
 )
 
 
-def code(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row as struct `row`, with n_tokens, the two digests and what `keep` names besides.
+def code(
+    docs: DataFrame, path: str, text: str = "text", more: tuple[str, ...] = (),
+    keep: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Every row as struct `row`, with n_tokens, the two digests and what `more` names besides.
 
-    `keep` may hold "ids" (the ids themselves) and "decoded" (the decoded text).
+    `more` may hold "ids" (the ids themselves) and "decoded" (the decoded text); `keep` names
+    the columns that `row` holds, by default all.
     """
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(load_model(path))
-    fields = [_CODED[n] for n in ("n_tokens", "ids_sha256", "decoded_sha256", *keep)]
-    shape = T.StructType([T.StructField("row", docs.schema), *fields])
+    fields = [_CODED[n] for n in ("n_tokens", "ids_sha256", "decoded_sha256", *more)]
+    carried = common.carried(docs, text, keep)
+    shape = T.StructType([carried.schema["row"], *fields])
     kinds = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(sent.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            whole = common.with_text(batch, text)
+            for first in range(0, whole.num_rows, 512):
+                part = whole.slice(first, 512)
                 rows: dict[str, list] = {f.name: [] for f in fields}
-                for value in part.column("row").field(text):
+                for value in part.column("text"):
                     ids, back = coder.text(value.as_py() or "")
                     joined = " ".join(ids)
                     rows["n_tokens"].append(joined.count(" ") + 1)
@@ -247,4 +255,4 @@ def code(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                     ["row", *rows],
                 )
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, shape)
+    return carried.mapInArrow(run, shape)

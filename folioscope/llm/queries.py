@@ -40,7 +40,8 @@ def _query(run: Query) -> Query:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a ten-word window of a benchmark item."""
     found = decontaminate.find_matches(
-        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"),
+        keep=("doc_id",),
     )
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
@@ -86,7 +87,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
 @_query
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document with the end id, and the text that they decode to, as digests."""
-    coded = pieces.code(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    coded = pieces.code(
+        common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
+        keep=("doc_id",),
+    )
     return coded.select(
         F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256"
     )
@@ -130,7 +134,8 @@ JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fold."""
     scored = toxicity.score(
-        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"),
+        keep=("doc_id",),
     )
     doc_id = F.col("row.doc_id")
     return scored.select(
@@ -290,9 +295,8 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's and the unigram base's log10 probability of every document."""
-    scored = attention.score(
-        common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
-    )
+    docs = common.table(spark, sf_dir, "documents")
+    scored = attention.score(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id",))
     doc_id = F.col("row.doc_id")
     return scored.select(
         doc_id.alias("doc_id"), common.held_out(doc_id, attention.HELD_OUT).alias("held_out"),

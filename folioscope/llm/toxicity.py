@@ -360,8 +360,13 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[list
     return [r.t for r in rows], np.array([r.y for r in rows], np.int64)
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """Every row as struct `row` with its score; the network is fitted from `labels` first."""
+def score(
+    docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Every row as struct `row` with its score; the network is fitted from `labels` first.
+
+    `keep` names the columns that `row` holds, by default all.
+    """
     texts, known = sample(docs, labels, text)
     net = train(texts, known) if len(np.unique(known)) == 2 else None
     share = float(known.mean()) if len(known) else 0.0
@@ -369,9 +374,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            content = batch.column("row").field(text)
-            whole = pa.RecordBatch.from_arrays([batch.column("row"), content], ["row", "text"])
-            for part in common.blocks(whole, "text"):
+            for part in common.blocks(common.with_text(batch, text), "text"):
                 if sent.value is None:
                     values = np.full(part.num_rows, share)
                 else:
@@ -380,8 +383,9 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
                     [part.column("row"), pa.array(values, pa.float64())], ["row", "score"]
                 )
 
-    shape = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, shape)
+    carried = common.carried(docs, text, keep)
+    shape = T.StructType([carried.schema["row"], T.StructField("score", T.DoubleType())])
+    return carried.mapInArrow(run, shape)
 
 
 def predicted(score_column: str = "score") -> Column:

@@ -61,6 +61,8 @@ def test_hits_match_brute_force(spark):
     assert got(decontaminate.find_matches(a, b)) == want
     # Several blocks of items give the same rows.
     assert got(decontaminate.find_matches(a, b, block_bytes=200)) == want
+    named = decontaminate.find_matches(a, b, block_bytes=200, keep=("doc_id",))
+    assert got(named) == want and named.schema["row"].dataType.names == ["doc_id"]
     assert sorted(r.doc_id for r in decontaminate.clean_documents(a, b).collect()) == sorted(w[0] for w in want if not w[2])
 
 

@@ -48,7 +48,7 @@ def test_edge_rows(spark, path, library):
     texts = [None, "", " ", "a" * 30000, "<s></s>", "中文 \x00", "same", "same"]
     rows = [Row(doc_id=i if i < 6 else 6, text=t, n_tokens="clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    out = pieces.code(docs, path, keep=("decoded", "ids")).collect()
+    out = pieces.code(docs, path, more=("decoded", "ids")).collect()
     assert len(out) == len(texts)
     for row in out:
         ids, back = expected(library, row.row.text)
