@@ -277,7 +277,8 @@ def near_components(
 
     named = members.where("n > 0").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.select("id", "n", F.coalesce("label", "sig").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    # Stored, so that the join below is one of two plain tables, whose hot keys Spark splits.
+    smallest = stored(named.groupBy("label").agg(F.min("id").alias("component_id")))
     alone = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return (
         named.join(smallest, "label")
