@@ -78,6 +78,7 @@ class Codec:
     def __init__(self, model: Model):
         self.model = model
         self.ids = {p: i for i, p in enumerate(model.pieces) if model.plain[i]}
+        self.count = len(model.pieces)
         self.bytes = {i: b for b, i in enumerate(model.byte_ids)}
         self.automaton = ahocorasick.Automaton()
         self.joins = set()
@@ -86,9 +87,11 @@ class Codec:
             self.joins.update(zip(piece, piece[1:]))
         self.automaton.make_automaton()
         self.letters = {c for piece in self.ids for c in piece}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # Half of the words remembered are the newest, half the ones before them.
         self.words: dict[str, tuple[str, str]] = {}
-        # A character in no token stands for itself under a negative number.
+        self.older: dict[str, tuple[str, str]] = {}
+        # Whether a token's characters merge to it, as they do at the start of a text.
         self.alone = {i: self.merge(p) == [i] for p, i in self.ids.items()}
 
     def merge(self, text: str) -> list[int]:
@@ -106,42 +109,40 @@ class Codec:
         return [self.ids.get(p, -1) for p in parts]
 
     def compatible(self, before: int, token: int) -> bool:
-        key = (before, token)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            text = self.model.pieces[before] + self.model.pieces[token]
-            known = self.pairs[key] = self.merge(text) == [before, token]
+        if len(self.pairs) >= MEMORY:
+            self.pairs.clear()
+        text = self.model.pieces[before] + self.model.pieces[token]
+        known = self.pairs[before * self.count + token] = self.merge(text) == [before, token]
         return known
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text without special treatment of its ends."""
-        size = len(text)
-        last = [0] * (size + 1)
+        size, count, pairs = len(text), self.count, self.pairs
+        last: list[int | None] = [None] * (size + 1)
         length = [1] * (size + 1)
-        ends: list[list] = [[] for _ in range(size + 1)]
-        for end, found in self.automaton.iter(text):
-            ends[end + 1].append(found)
-        for end in range(1, size + 1):
-            if not ends[end]:
-                last[end] = -1 - ord(text[end - 1])
+        # Matches come by their end, so every shorter prefix is settled.
+        for end, (token, width) in self.automaton.iter(text):
+            end += 1
+            if last[end] is not None:
                 continue
-            for token, width in ends[end]:
-                start = end - width
-                before = last[start] if start else -1
-                if self.compatible(before, token) if before >= 0 else self.alone[token]:
-                    last[end], length[end] = token, width
-                    break
+            before = last[end - width]
+            if before is None:  # the start of the text, or a character in no token
+                fits = self.alone[token]
             else:
-                raise ValueError("no token fits: the model is not of the merge type")
+                fits = pairs.get(before * count + token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+            if fits:
+                last[end], length[end] = token, width
         result: list[int] = []
         while size:
             token = last[size]
-            if token >= 0:
+            if token is not None:
                 result.append(token)
+            elif text[size - 1] in self.letters:
+                raise ValueError("no token fits: the model is not of the merge type")
             else:
-                raw = chr(-1 - token).encode("utf-8", "surrogatepass")
+                raw = text[size - 1].encode("utf-8", "surrogatepass")
                 result.extend(self.model.byte_ids[b] for b in reversed(raw))
             size -= length[size]
         return result[::-1]
@@ -165,24 +166,26 @@ class Codec:
 
     def word(self, word: str) -> tuple[str, str]:
         """Ids (as text) and decoded text of a word, from the table or computed."""
-        known = self.words.get(word)
+        known = self.words.get(word) or self.older.get(word)
         if known is not None:
             return known
         parts, first = [], 0
-        for k in range(1, len(word)):
-            if (word[k - 1], word[k]) not in self.joins:
-                parts.append(word[first:k])
-                first = k
+        if not word.lstrip(SPACE).isalpha():  # letters are rarely worth a cut
+            for k, pair in enumerate(zip(word, word[1:]), 1):
+                if pair not in self.joins:
+                    parts.append(word[first:k])
+                    first = k
         parts.append(word[first:])
         if len(parts) > 1:
-            each = [self.word(p) for p in parts]
+            get, new = self.words.get, self.word
+            each = [get(p) or new(p) for p in parts]
             known = " ".join(e[0] for e in each), "".join(e[1] for e in each)
         else:
             ids = self.encode(word)
             known = " ".join(map(str, ids)), self.decode(ids)
         if len(word) <= LONG_WORD:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
+            if len(self.words) >= MEMORY // 2:
+                self.older, self.words = self.words, {}
             self.words[word] = known
         return known
 
