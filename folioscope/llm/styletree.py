@@ -10,7 +10,10 @@ third of all pages is no hot group, and no host is ever gathered in one task.
 Entropy cannot tell a menu that differs on every page from an article, nor an article that a
 site repeats from a notice. So tags and names decide first: menus, footers, sidebars, notices,
 adverts, forms, comments and the like go, and where a page marks its article (`article`, else
-`main`), only that is read. A page that the tree would leave empty keeps its text.
+`main`), only that is read, and the tree removes nothing in it: headings, lists and notes that
+recur there are the article's. The tree decides where the markup names no article. Equal pages
+of a host count once, so copies make nothing look repeated. A page that the tree would leave
+empty keeps its text.
 
 Defined results: null or empty html has an empty text; pages without a host form one site;
 repeated rows each get their text; other columns stay, in struct `row`. Broken markup is read as
@@ -205,7 +208,7 @@ def main_text(page: str, low: set[int]) -> str:
             if top.drop:
                 continue
             region = max(region, top.region)
-            weak = bool(low) and any(n.path in low for n in stack)
+            weak = bool(low) and not top.region and any(n.path in low for n in stack)
             if fresh or blocks[-1][:2] != (top.region, weak):
                 blocks.append((top.region, weak, []))
                 fresh = False
@@ -215,6 +218,16 @@ def main_text(page: str, low: set[int]) -> str:
     return strong or "\n\n".join(t for _, t in texts if t)
 
 
+def _distinct(slim: DataFrame) -> DataFrame:
+    """Each page of a host once; only pages that have copies are shuffled."""
+    marked = slim.withColumn("print", F.xxhash64("host", "html"))
+    again = stored(marked.groupBy("print").count().where("count > 1").select("print"))
+    if again.count() <= BROADCAST_NODES:
+        again = F.broadcast(again)
+    copies = marked.join(again, "print", "left_semi").dropDuplicates(["print"])
+    return marked.join(again, "print", "left_anti").unionByName(copies).select("host", "html")
+
+
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The importance of every node of every host: host, path, pages, presentation, content."""
     schema = "host string, path long, chain array<long>, kind int, value long, pages long"
@@ -241,6 +254,7 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     host, _ = parts("url")
     slim = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).select(host.alias("host"), "html")
+    slim = _distinct(slim)
     seen = slim.mapInArrow(count, schema)
     values = seen.groupBy("host", "path", "kind", "value").agg(
         F.sum("pages").alias("n"), F.first("chain").alias("chain")

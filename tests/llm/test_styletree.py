@@ -73,3 +73,23 @@ def test_salted_pages_give_the_same_texts(spark, monkeypatch):
     assert want == [(i, f"Own {i}") for i in range(20)]
     monkeypatch.setattr(styletree, "BROADCAST_NODES", -1)
     assert sorted((r.row.page_id, r.text) for r in styletree.extract(pages).collect()) == want
+
+
+def test_marked_articles_keep_what_recurs(spark):
+    page = "<body><article><h1>Title {0}</h1><h2>Introduction</h2><p>Own text {0}</p><h2>Results</h2></article></body>"
+    copy = "<body><main><h1>Title {0}</h1><p>The same paragraph</p></main></body>"
+    rows = [(i, "http://a.com/", page.format(i)) for i in range(12)]
+    rows += [(100 + i, "http://b.com/", copy.format(i)) for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.row.page_id: r.text for r in styletree.extract(pages).collect()}
+    want = {i: f"Title {i}\n\nIntroduction\n\nOwn text {i}\n\nResults" for i in range(12)}
+    assert got == want | {100 + i: f"Title {i}\n\nThe same paragraph" for i in range(10)}
+
+
+def test_copies_of_a_page_are_no_repetition(spark):
+    copy = "<body><div class='x1'><p>Only here</p></div><div class='x2'><p>Copied</p></div></body>"
+    rows = [(i, "http://a.com/", copy) for i in range(10)]
+    rows += [(10 + i, "http://a.com/", f"<body><div class='x2'><p>Own {i}</p></div></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.row.page_id: r.text for r in styletree.extract(pages).collect()}
+    assert got == {i: "Only here\n\nCopied" for i in range(10)} | {10 + i: f"Own {i}" for i in range(20)}
