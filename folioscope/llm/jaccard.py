@@ -12,6 +12,9 @@
    Then only pairs whose nodes are still in different components are joined, and of these never
    two of the n-gram's largest component. A link is left out only if its ends are already
    connected, so the components are exact.
+5. `near_pairs` and `near_links` give all links, those inside a component too. Both ends of a
+   link are in one component, so the nodes of each component are dealt to blocks of bounded size
+   by a hash, every two blocks meet once, and all pairs in them are compared on the full sets.
 
 Sets are kept as 64-bit fingerprints of n-grams; equal sets are recognised by a 64-bit
 fingerprint of the set with its size.
@@ -37,6 +40,9 @@ PARTS = 32
 #: Bits of the map that says which nodes' sets a verification needs; 2 MB, whatever the input.
 MAP_BITS = 24
 
+#: Nodes of a component, and n-grams of theirs, that a block holds on average.
+BLOCK_NODES, BLOCK_GRAMS = 128, 1_000_000
+
 #: Rows of the list of documents that leave, about 80 bytes each, that may go to every task.
 BROADCAST_ROWS = 200_000
 
@@ -174,9 +180,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return both.where(most >= need).select("a", "b", "a_n", "b_n")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets really are near, each compared once on the full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+def _sets(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The full sets of some nodes (column sig), each once."""
     sent = texts.sparkSession.sparkContext.broadcast(_node_map(wanted))
 
     def sets(batches):
@@ -196,7 +201,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                 )
 
     found = texts.select("text").mapInArrow(sets, "sig long, grams array<long>")
-    found = stored(found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
+    return stored(found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs whose sets really are near, each compared once on the full sets."""
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), texts, n)
     both = pairs.join(found.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a")
     both = both.join(found.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
@@ -219,6 +229,92 @@ def _node_map(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
+def _shared_grams(column: pa.ListArray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers of common n-grams of the sets at some places with those at others."""
+    grams, sizes = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    cells, often = np.unique(grams, return_inverse=True, return_counts=True)[1:]
+    kept = often[cells] > 1
+    rows, cells = rows[kept], np.unique(cells[kept], return_inverse=True)[1]
+    order = np.argsort(cells, kind="stable")
+    rows, cells = rows[order], cells[order]
+    shared, width = np.zeros((len(one), len(other)), np.int64), 4096
+    for at in range(0, int(cells[-1]) + 1 if len(cells) else 0, width):
+        first, end = np.searchsorted(cells, [at, at + width])
+        holds = np.zeros((len(sizes), width), np.float32)
+        holds[rows[first:end], cells[first:end] - at] = 1
+        shared += (holds[one] @ holds[other].T).astype(np.int64)
+    return shared
+
+
+def _meet(num: int, den: int, pairs: bool):
+    """All links of two blocks of a component: as pairs, or added up for each node by copies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        sets = table.column("grams").combine_chunks()
+        sigs, size = table.column("sig").to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+        shared = _shared_grams(sets, one, other)
+        near = shared * den >= (size[one][:, None] + size[other] - shared) * num
+        if low == high:
+            near = np.triu(near, 1)
+        if pairs:
+            a, b = (sigs[side[k]] for side, k in zip((one, other), np.nonzero(near)))
+            return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        copies, linked = table.column("copies").to_numpy(), np.zeros(len(sigs), np.int64)
+        linked[one] += near @ copies[other]
+        linked[other] += near.T @ copies[one]
+        return pa.table({"sig": pa.array(sigs), "linked": pa.array(linked)})
+
+    return run
+
+
+def _met(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """All nodes with their copies; those of components with their sets, for every two blocks."""
+    nodes = stored(members.where("n > 0").groupBy("sig").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")
+    ))
+    placed = stored(nodes.join(labels.withColumnRenamed("node", "sig"), "sig"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    placed = placed.join(stored(placed.groupBy("label").agg(blocks.alias("blocks"))), "label")
+    placed = placed.join(_sets(placed.select("sig"), texts, n), "sig")
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = placed.select("label", "sig", "copies", "grams", block, other)
+    return nodes, met.select(
+        "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "sig", "copies", "grams",
+    ).groupBy("label", "low", "high")
+
+
+def near_pairs(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets as pairs of nodes (a, b), each once; and a row per document
+    with its id, n_shingles and node, null without n-grams. Documents of one node link as well."""
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    members, labels = _labelled(texts, n, num, den)
+    pairs = _met(members, labels, texts, n)[1].applyInArrow(_meet(num, den, True), "a long, b long")
+    node = F.when(F.col("n") > 0, F.col("sig")).alias("node")
+    return pairs, members.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), node)
+
+
+def near_links(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100
+) -> DataFrame:
+    """The rows of `near_components` with n_links, the number of other documents linked with each."""
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    members, labels = _labelled(texts, n, num, den)
+    nodes, met = _met(members, labels, texts, n)
+    linked = met.applyInArrow(_meet(num, den, False), "sig long, linked long")
+    linked = linked.groupBy("sig").agg(F.sum("linked").alias("linked"))
+    n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0).cast("long"))
+    counts = stored(nodes.join(linked, "sig", "left").select("sig", n_links.alias("n_links")))
+    return _named(members, labels, doc_id, counts)
+
+
 def near_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100
 ) -> DataFrame:
@@ -227,6 +323,11 @@ def near_components(
     Two documents link when den * intersection >= num * union of their sets of n-grams.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return _named(*_labelled(texts, n, num, den), doc_id)
+
+
+def _labelled(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their nodes, and every linked node with its component's label."""
     members = stored(_prefixes(texts, gram_order(texts, n), n, num, den))
     nodes = stored(
         members.where(F.size("prefix") > 0)
@@ -274,15 +375,23 @@ def near_components(
     if not more.isEmpty():
         links = links.unionByName(_verified(more, texts, n, num, den))
         labels = components(links)
+    return members, labels
+
 
+def _named(members: DataFrame, labels: DataFrame, doc_id: str, counts: DataFrame | None = None) -> DataFrame:
+    """Every document with its component's smallest id, and its node's n_links if there are counts."""
     named = members.where("n > 0").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    named = named.select("id", "n", F.coalesce("label", "sig").alias("label"))
+    more = [] if counts is None else ["n_links"]
+    if more:
+        named = named.join(counts, "sig")
+    named = named.select("id", "n", *more, F.coalesce("label", "sig").alias("label"))
     # Stored, so that the join below is one of two plain tables, whose hot keys Spark splits.
     smallest = stored(named.groupBy("label").agg(F.min("id").alias("component_id")))
-    alone = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    none = [F.lit(0).cast("long").alias(name) for name in more]
+    alone = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), *none, F.col("id").alias("component_id"))
     return (
         named.join(smallest, "label")
-        .select("id", F.col("n").alias("n_shingles"), "component_id")
+        .select("id", F.col("n").alias("n_shingles"), *more, "component_id")
         .unionByName(alone)
         .withColumnRenamed("id", doc_id)
     )

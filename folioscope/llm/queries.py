@@ -130,6 +130,20 @@ JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc
 """
 
 
+@_query
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of documents that each links with, inside components too."""
+    return jaccard.near_links(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+ORACLES["op2_ngram_links"] = ORACLES["op2_ngram_jaccard"].rsplit("SELECT d.doc_id,", 1)[0] + r"""
+SELECT d.doc_id, coalesce(k, 0) AS n_shingles, coalesce(n_links, 0) AS n_links, c.component_id
+FROM d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x) USING (doc_id)
+JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fold."""

@@ -109,3 +109,31 @@ def test_a_long_list_of_copies_gives_the_same_documents(spark, monkeypatch):
     want = sorted(tuple(r) for r in jaccard.distinct_documents(docs).collect())
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
     assert sorted(tuple(r) for r in jaccard.distinct_documents(docs).collect()) == want
+
+
+def test_all_links_inside_a_component(spark, monkeypatch):
+    # Near copies of one text: hubs connect them by few links, most true ones are between others.
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+    rows = made(7, 2, 60, 150, 3) + made(8, 30, 3, 12, 1) + made(9, 1, 5, 40, 0)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)] + [(1000, None), (1001, " ")]
+    sets = {i: shingles(text, 3) for i, text in rows}
+    want = set()
+    for i in sets:
+        for j in sets:
+            shared = len(sets[i] & sets[j])
+            if i < j and shared and 100 * shared >= 90 * (len(sets[i]) + len(sets[j]) - shared):
+                want.add((i, j))
+    assert len(want) > 2 * len(rows)  # far more links than a component needs
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, membership = jaccard.near_pairs(docs)
+    pairs = [tuple(p) for p in pairs.collect()]
+    node = {r.doc_id: r.node for r in membership.collect()}
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    near = set(pairs)
+    got = {
+        (i, j) for i in sets for j in sets if i < j and node[i] is not None and node[j] is not None
+        and (node[i] == node[j] or (min(node[i], node[j]), max(node[i], node[j])) in near)
+    }
+    assert got == want
+    counts = {r.doc_id: r.n_links for r in jaccard.near_links(docs).collect()}
+    assert counts == {i: sum(i in p for p in want) for i in sets}
