@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.llm import (
-    attention, collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup,
+    attention, collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, runs,
     styletree, toxicity,
 )
 from folioscope.session import ship_package
@@ -130,20 +130,6 @@ JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc
 """
 
 
-@_query
-def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the number of documents that each links with, inside components too."""
-    return jaccard.near_links(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
-
-
-ORACLES["op2_ngram_links"] = ORACLES["op2_ngram_jaccard"].rsplit("SELECT d.doc_id,", 1)[0] + r"""
-SELECT d.doc_id, coalesce(k, 0) AS n_shingles, coalesce(n_links, 0) AS n_links, c.component_id
-FROM d LEFT JOIN n USING (doc_id)
-LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x) USING (doc_id)
-JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
-"""
-
-
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fold."""
@@ -316,3 +302,15 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc_id.alias("doc_id"), common.held_out(doc_id, attention.HELD_OUT).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score",
     )
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in the words of every document, a tenth of them rearranged."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.collapse(docs, key="doc_id", places=runs.planted, keep=("doc_id",))
+    milli = F.floor(1000 * F.col("length") / F.col("period")).cast("long")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_runs", "start", "length", "period",
+        milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
