@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.llm import (
-    attention, collide, common, decontaminate, jaccard, licenses, pieces, rangejoin, rollup, runs,
-    styletree, toxicity,
+    attention, collide, common, decontaminate, jaccard, licenses, oddsketch, pieces, rangejoin,
+    rollup, runs, styletree, toxicity, whiten,
 )
 from folioscope.session import ship_package
 
@@ -314,3 +314,35 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_runs", "start", "length", "period",
         milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@_query
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 5-word shingles have a Jaccard of 0.85 or more."""
+    return oddsketch.near_duplicates(common.table(spark, sf_dir, "documents"), n=5, num=85, den=100)
+
+
+def _near_oracle() -> str:
+    """The oracle of the n-gram join at other parameters, with the first of each group marked."""
+    text = ORACLES["op2_ngram_jaccard"]
+    for old, new in (("w[i:i + 2]", "w[i:i + 4]"), ("len(w) - 2, 1", "len(w) - 4, 1"), (">= 90 *", ">= 85 *")):
+        assert text.count(old) == 1
+        text = text.replace(old, new)
+    return f"SELECT *, doc_id = component_id AS kept FROM ({text})"
+
+
+ORACLES["op12_odd_sketches"] = _near_oracle()
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 32 whitened components."""
+    table = common.table(spark, sf_dir, "embeddings")
+    rows, fit = whiten.whiten(table, "embedding", components=32, keep=("vec_id",))
+    shares = F.array(*[F.lit(float(e / fit.trace)) for e in fit.values]).cast("array<double>")
+    each = rows.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"), "whitened",
+        shares[F.col("at")].alias("explained"), F.lit(fit.identity_error).alias("identity_error"),
+    )
