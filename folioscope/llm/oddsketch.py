@@ -5,12 +5,13 @@
    so values that two documents share cancel out in the exclusive or of their bitmaps.
 2. Equal sets become one node. Nodes of one bucket are candidates. The bits left in the exclusive
    or estimate the similarity; candidates far under the threshold go no further.
-3. What is left is verified once per pair on the full sets.
+3. What is left is verified on the full sets.
 4. In a group of thousands of near copies nodes share their buckets. A bucket's hub, the node with
-   most neighbours, is tried with all others first. Then buckets whose nodes are still in different
-   components are dealt to blocks of bounded size; every two blocks meet, and only pairs of
-   different components whose bitmaps are close come out of that. A pair inside a component would
-   add nothing to it, so the components are those of all candidates.
+   most neighbours, is tried with all others first. Then nodes of buckets that still hold different
+   components are dealt to blocks of bounded size. Blocks that share a bucket meet; in them pairs of
+   different components whose bitmaps are close are compared on their full sets, and a link comes
+   out if it joins two components. A pair inside a component would add nothing to it, so the
+   components are those of all candidates.
 
 With 32 bands of 5 values a pair at a Jaccard of 0.85 misses all bands with a chance of 7e-9 (0.80:
 3e-6), and the margin of the sketch is 6.5 deviations of the number of common values. Both are far
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope.llm import common
 from folioscope.llm.common import stored
 from folioscope.llm.components import components
-from folioscope.llm.jaccard import _sets as node_sets, set_print, shingle_sets
+from folioscope.llm.jaccard import _sets as node_sets, _shared_grams as shared_grams, set_print, shingle_sets
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
@@ -44,8 +45,8 @@ SAMPLES = BANDS * ROWS
 BITS = 1024
 #: Deviations of the number of common samples that the sketch allows below the threshold.
 DEVIATIONS = 6.5
-#: Nodes of a bucket that a block holds at most, and rows of blocks that a task gets on average.
-BLOCK_NODES, TASK_ROWS = 256, 20_000
+#: Nodes of a home bucket, and n-grams of theirs, that a block holds on average.
+BLOCK_NODES, BLOCK_GRAMS = 512, 500_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = common.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _STEP)
@@ -155,61 +156,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return pairs.where(shared * den >= (F.col("a_n") + F.col("b_n") - shared) * num).select("a", "b")
 
 
+class _Groups:
+    """Which components have been joined by the links found so far."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def find(self, label: int) -> int:
+        while (up := self.above.get(label, label)) != label:
+            self.above[label] = self.above.get(up, up)
+            label = up
+        return label
+
+    def join(self, one: int, other: int) -> bool:
+        one, other = self.find(one), self.find(other)
+        if one != other:
+            self.above[max(one, other)] = min(one, other)
+        return one != other
+
+
 def _met(num: int, den: int):
-    """All pairs of two blocks of a bucket that are in different components and close."""
+    """The links that two blocks add: close nodes of different components, compared on full sets.
+
+    Links that join components already joined by one before add nothing and are left out, so a
+    task gives fewer rows than it has nodes.
+    """
     most = most_differing(num, den)
 
-    def meet(one: dict[str, np.ndarray], other: dict[str, np.ndarray], same: bool) -> np.ndarray:
-        small = np.minimum(one["n"][:, None], other["n"])
-        large = np.maximum(one["n"][:, None], other["n"])
-        apart = one["label"][:, None] != other["label"]
-        apart &= (small * den >= large * num) & (one["sig"][:, None] != other["sig"])
-        if same:
-            apart = np.triu(apart, 1)
-        x, y = np.nonzero(apart)
-        bits = np.bitwise_count(one["sketch"][x] ^ other["sketch"][y]).sum(1)
-        x, y = x[bits <= most], y[bits <= most]
-        a, b = one["sig"][x], other["sig"][y]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)])
+    def close(part: pa.Table, one: np.ndarray, other: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        size, label = part.column("n").to_numpy(), part.column("label").to_numpy()
+        bits = part.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        found = [np.zeros((2, 0), np.int64)]
+        for x in one:  # a row of the comparison at a time
+            y = other[label[other] != label[x]]
+            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            y = y[small * den >= large * num]
+            y = y[y > x] if same else y
+            y = y[np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= most]
+            found.append(np.stack([np.full(len(y), x), y]))
+        return tuple(np.concatenate(found, axis=1))
+
+    def meet(part: pa.Table) -> list[tuple[int, int]]:
+        block = part.column("block").to_numpy()
+        low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
+        x, y = close(part, np.flatnonzero(block == low), np.flatnonzero(block == high), low == high)
+        if not len(x):
+            return []
+        one, other = np.unique(x), np.unique(y)
+        sets = part.column("grams").combine_chunks()
+        shared = shared_grams(sets, one, other)[np.searchsorted(one, x), np.searchsorted(other, y)]
+        size = sets.value_lengths().to_numpy().astype(np.int64)
+        near = shared * den >= (size[x] + size[y] - shared) * num
+        sig, label = part.column("sig").to_numpy(), part.column("label").to_numpy()
+        groups = _Groups()
+        return [
+            (int(sig[i]), int(sig[j])) for i, j in zip(x[near], y[near]) if groups.join(int(label[i]), int(label[j]))
+        ]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
-        held = {name: table.column(name).to_numpy() for name in ("key", "low", "high", "block", "sig", "n", "label")}
-        flat = table.column("sketch").combine_chunks().flatten().to_numpy()
-        held["sketch"] = flat.view(np.uint64).reshape(-1, BITS // 64)
-        change = np.any([held[name][1:] != held[name][:-1] for name in ("key", "low", "high")], axis=0)
-        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
-        pairs = [np.zeros((2, 0), np.int64)]
-        for first, last in zip(cuts[:-1], cuts[1:]):
-            part = {name: column[first:last] for name, column in held.items()}
-            low, high = part["low"][0], part["high"][0]
-            one, other = ({k: v[part["block"] == side] for k, v in part.items()} for side in (low, high))
-            pairs.append(meet(one, other, low == high))
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+        table = table.sort_by([("low", "ascending"), ("high", "ascending")])
+        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
+        cuts = np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        cuts = [0, *cuts.tolist(), table.num_rows]
+        links = [link for a, b in zip(cuts[:-1], cuts[1:]) for link in meet(table.slice(a, b - a))]
+        columns = list(zip(*links)) or [[], []]
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip("ab", columns)})
 
     return run
 
 
-def _between(posts: DataFrame, nodes: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Close pairs of one bucket whose nodes are in different components."""
+def _between(
+    posts: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, n: int, num: int, den: int
+) -> DataFrame | None:
+    """Links between nodes of one bucket that are in different components; None if there are none.
+
+    A node's home is the fullest of its buckets, so near copies are at home in a few. A home's nodes
+    are dealt to blocks of bounded size; two blocks meet if a bucket has nodes of both.
+    """
     labelled = posts.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "sig"))
-    buckets = labelled.groupBy("key").agg(
-        F.count(F.lit(1)).alias("many"), F.min("label").alias("x"), F.max("label").alias("y")
-    )
-    buckets = buckets.where("x <> y").select("key", F.ceil(F.col("many") / BLOCK_NODES).cast("int").alias("blocks"))
-    # A block of one bucket may meet many others; the salt spreads them over tasks.
-    mixed = stored(labelled.join(buckets, "key"))
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = mixed.select("key", "sig", "label", block, other).select(
-        "key", "sig", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
-    rows = mixed.agg(F.sum("blocks").alias("rows")).first().rows or 0
-    task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 + rows // TASK_ROWS)).alias("task")
-    dealt = dealt.join(nodes.select("sig", "n", "sketch"), "sig").select("*", task)
-    return dealt.groupBy("task").applyInArrow(_met(num, den), "a long, b long").distinct()
+    buckets = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    mixed = stored(labelled.join(buckets.select("key"), "key"))
+    if mixed.isEmpty():
+        return None
+    place = F.max(F.struct("many", "key")).alias("place")
+    homes = mixed.groupBy("sig", "label").agg(place).select("sig", "label", F.col("place.key").alias("home"))
+    homes = stored(homes.join(nodes.select("sig", "n", "sketch"), "sig"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    number = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    placed = homes.join(homes.groupBy("home").agg(blocks.alias("blocks")), "home")
+    placed = stored(placed.select("sig", "label", "n", "sketch", F.xxhash64("home", number).alias("block")))
+    # Blocks of a bucket: a few, as a block holds up to BLOCK_NODES of its nodes.
+    held = mixed.select("key", "sig").join(placed.select("sig", "block"), "sig")
+    held = held.groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    low = held.select("blocks", F.posexplode("blocks").alias("at", "low"))
+    pairs = low.select("low", F.explode(F.expr("slice(blocks, at + 1, size(blocks))")).alias("high")).distinct()
+    grams = node_sets(placed.select("sig"), texts, n)
+    weight = placed.groupBy("block").agg((F.sum("n") + F.count(F.lit(1))).alias("weight"))
+    sides = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    sides = stored(sides)
+    total = sides.join(weight, "block").agg(F.sum("weight").alias("total")).first().total
+    task = F.pmod(F.xxhash64("low", "high"), F.lit(1 + total // BLOCK_GRAMS)).alias("task")
+    rows = sides.join(placed, "block").join(grams, "sig").select("*", task)
+    return rows.groupBy("task").applyInArrow(_met(num, den), "a long, b long")
 
 
 def near_duplicates(
@@ -238,14 +287,9 @@ def near_duplicates(
     links = stored(_verified(pairs, texts, n, num, den))
     labels = components(links)
     # In a bucket of two nodes the only pair holds the hub.
-    rest = posts.where("many > 2").select("key", "sig")
-    more = _between(rest, nodes, labels, num, den).join(pairs, ["a", "b"], "left_anti")
-    sizes = nodes.select("sig", "n")
-    for side in "ab":
-        more = more.join(sizes.withColumnsRenamed({"sig": side, "n": f"{side}_n"}), side)
-    more = stored(more)
-    if not more.isEmpty():
-        labels = components(links.unionByName(_verified(more, texts, n, num, den)))
+    more = _between(posts.where("many > 2"), nodes, labels, texts, n, num, den)
+    if more is not None:
+        labels = components(links.unionByName(more))
     return _named(described, labels, doc_id)
 
 
