@@ -9,11 +9,12 @@ third of all pages is no hot group, and no host is ever gathered in one task.
 
 Entropy cannot tell a menu that differs on every page from an article, nor an article that a
 site repeats from a notice. So tags and names decide first: menus, footers, sidebars, notices,
-adverts, forms, comments and the like go, and where a page marks its article (`article`, else
-`main`), only that is read, and the tree removes nothing in it: headings, lists and notes that
-recur there are the article's. The tree decides where the markup names no article. Equal pages
-of a host count once, so copies make nothing look repeated. A page that the tree would leave
-empty keeps its text.
+adverts, forms, comments and the like go. Where a page marks regions (`main`, `article`), only
+regions are read: of all outermost ones the `main` or the articles that hold most text once the tree
+has had its say, a `main` in a tie. Inside an article, or a `main` that holds none, the tree removes
+nothing: headings, lists and notes that recur there are the article's. It decides on what stands in
+a `main` beside an article, and on pages whose markup names no region. Equal pages of a host count
+once, so copies make nothing look repeated. A page that the tree would leave empty keeps its text.
 
 Defined results: null or empty html has an empty text; pages without a host form one site;
 repeated rows each get their text; other columns stay, in struct `row`. Broken markup is read as
@@ -62,6 +63,8 @@ NAMES = set(
     "footer masthead toolbar pagination pager widget widgets".split()
 )
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+#: Names of an article that is a reader's.
+READERS = set("comment comments disqus reply replies respond".split())
 #: Open elements that a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEP_OPEN = set("article main section div table ul ol body html td blockquote".split())
@@ -79,12 +82,16 @@ def _hash(*parts_: object) -> int:
 
 
 class Node:
-    """An open element: its place in the style tree and what it means for the text below."""
+    """An open element: its place in the style tree and what it means for the text below.
 
-    __slots__ = ("tag", "path", "drop", "region", "children")
+    `region` is 1 in a `main`, 2 in an `article`; `outer` the outermost of these around it.
+    """
+
+    __slots__ = ("tag", "path", "drop", "region", "outer", "children")
 
-    def __init__(self, tag: str, path: int, drop: bool, region: int):
+    def __init__(self, tag: str, path: int, drop: bool, region: int, outer: Node | None = None):
         self.tag, self.path, self.drop, self.region = tag, path, drop, region
+        self.outer = outer or (self if region else None)
         self.children: list[str] = []
 
 
@@ -93,8 +100,10 @@ def _unwanted(tag: str, attributes: dict[str, str], region: int) -> bool:
         return True
     if tag == "header" and not region:
         return True
-    if tag in ("html", "body", "article", "main"):
-        return tag == "article" and region == 2 and _named(attributes)
+    if tag == "article":
+        return bool(_words(attributes) & (NAMES if region else READERS))
+    if tag in ("html", "body", "main"):
+        return False
     return _named(attributes) or (not region and "header" in _words(attributes))
 
 
@@ -160,7 +169,8 @@ def walk(page: str) -> Iterator[tuple]:
             yield ("text", " ", stack) if tag in INLINE else ("break",)
             continue
         region = max(top.region, 2 if tag == "article" else 1 if tag == "main" else 0)
-        node = Node(tag, _hash(top.path, style), top.drop or _unwanted(tag, attributes, top.region), region)
+        drop = top.drop or _unwanted(tag, attributes, top.region)
+        node = Node(tag, _hash(top.path, style), drop, region, top.outer)
         if tag in ("td", "th"):
             yield ("text", " ", stack)
         elif tag not in INLINE:
@@ -197,8 +207,9 @@ def features(page: str) -> tuple[dict[int, tuple[int, ...]], set[tuple[int, int,
 
 def main_text(page: str, low: set[int]) -> str:
     """The text of a page's article without the nodes of low importance."""
-    blocks: list[tuple[int, bool, list[str]]] = []
-    fresh, region = True, 0
+    #: Blocks as (outermost region, inside an article, of low importance, pieces).
+    blocks: list[tuple[Node | None, bool, bool, list[str]]] = []
+    fresh = True
     for event in walk(page):
         if event[0] == "break":
             fresh = True
@@ -207,15 +218,39 @@ def main_text(page: str, low: set[int]) -> str:
             top = stack[-1]
             if top.drop:
                 continue
-            region = max(region, top.region)
-            weak = bool(low) and not top.region and any(n.path in low for n in stack)
-            if fresh or blocks[-1][:2] != (top.region, weak):
-                blocks.append((top.region, weak, []))
+            weak = bool(low) and any(n.path in low for n in stack)
+            place = (top.outer, top.region == 2, weak)
+            if fresh or blocks[-1][:3] != place:
+                blocks.append((*place, []))
                 fresh = False
-            blocks[-1][2].append(event[1])
-    texts = [(weak, _squeeze(pieces)) for r, weak, pieces in blocks if r == region]
-    strong = "\n\n".join(t for weak, t in texts if t and not weak)
-    return strong or "\n\n".join(t for _, t in texts if t)
+            blocks[-1][3].append(event[1])
+    texts = [(*place, text) for *place, pieces in blocks if (text := _squeeze(pieces))]
+    # A main without an article is the article itself.
+    holds = {outer for outer, inside, _, _ in texts if inside}
+    texts = [
+        (outer, weak and not inside and (outer is None or outer in holds), text) for outer, inside, weak, text in texts
+    ]
+    chosen = _region({outer for outer, *_ in blocks}, texts)
+    texts = [(weak, text) for outer, weak, text in texts if outer in chosen]
+    strong = "\n\n".join(text for weak, text in texts if not weak)
+    return strong or "\n\n".join(text for _, text in texts)
+
+
+def _region(seen: set[Node | None], texts: list[tuple[Node | None, bool, str]]) -> set[Node | None]:
+    """The outermost regions that are read: the fullest main, or all articles if one holds more."""
+    amount = {outer: 0 for outer in seen if outer is not None}
+    if not amount:
+        return {None}
+    for outer, weak, text in texts:
+        if outer is not None and not weak:
+            amount[outer] += len(text)
+    mains = [node for node in amount if node.tag == "main"]
+    articles = [node for node in amount if node.tag == "article"]
+    fullest = max(mains, key=amount.__getitem__, default=None)
+    longest = max((amount[node] for node in articles), default=0)
+    if fullest is not None and amount[fullest] >= longest:
+        return {fullest}
+    return set(articles)
 
 
 def _distinct(slim: DataFrame) -> DataFrame:

@@ -93,3 +93,34 @@ def test_copies_of_a_page_are_no_repetition(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.row.page_id: r.text for r in styletree.extract(pages).collect()}
     assert got == {i: "Only here\n\nCopied" for i in range(10)} | {10 + i: f"Own {i}" for i in range(20)}
+
+
+def test_the_right_region_is_read():
+    def text(body):
+        return styletree.main_text(f"<body>{body}</body>", set())
+
+    reader = "<article class='comment'><p>reader</p></article>"
+    assert text(f"<main><h1>T</h1><p>Body one.</p>{reader}</main>") == "T\n\nBody one."
+    assert text("<main><h1>T2</h1><article><p>x</p></article><p>after</p></main>") == "T2\n\nx\n\nafter"
+    cards = "".join(f"<article class='card'><h3>Card {k}</h3></article>" for k in range(9))
+    long = "<p>" + "The long body of the page. " * 3 + "</p>"
+    assert text(f"<main><h1>T3</h1>{long}</main>{cards}").startswith("T3\n\nThe long body")
+    assert "Card" not in text(f"{cards}<main>{long}</main>")
+    # A main that holds next to nothing is not the article.
+    assert text(f"<main><p>Search</p></main><article><h1>A</h1>{long}</article>").startswith("A\n\nThe long")
+    assert text(f"<article><h1>A</h1>{long}</article>{reader}{reader}").count("reader") == 0
+    assert text("<article> </article><p>menu like</p>") == ""
+    assert text("<div><p>No region</p></div>") == "No region"
+
+
+def test_the_tree_decides_beside_an_article(spark):
+    page = (
+        "<body><main><div class='crumbs'><p>Home and away</p></div><article><h1>Title {0}</h1><p>Same words</p></article>"
+        "<div class='note'><p>Note of page {0}</p></div></main></body>"
+    )
+    rows = [(i, "http://a.com/", page.format(i)) for i in range(12)] + [(50, "http://b.com/", page.format(50))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.row.page_id: r.text for r in styletree.extract(pages).collect()}
+    # What every page of the host has beside the article goes, not what stands in it.
+    want = {i: f"Title {i}\n\nSame words\n\nNote of page {i}" for i in range(12)}
+    assert got == want | {50: "Home and away\n\nTitle 50\n\nSame words\n\nNote of page 50"}
