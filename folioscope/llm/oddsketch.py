@@ -47,6 +47,8 @@ BITS = 1024
 DEVIATIONS = 6.5
 #: Nodes of a home bucket, and n-grams of theirs, that a block holds on average.
 BLOCK_NODES, BLOCK_GRAMS = 512, 500_000
+#: Nodes of a bucket whose sketches meet at a time, and rows of sketches that a task gets on average.
+BUCKET_NODES, TASK_ROWS = 1024, 20_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = common.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _STEP)
@@ -175,31 +177,59 @@ class _Groups:
         return one != other
 
 
+def _close_places(
+    part: pa.Table, one: np.ndarray, other: np.ndarray, num: int, den: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places x < y of nodes of two blocks in different components whose sizes and sketches fit."""
+    size, label = part.column("n").to_numpy(), part.column("label").to_numpy()
+    bits = part.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+    most, same = most_differing(num, den), len(one) == len(other) and bool((one == other).all())
+    found = [np.zeros((2, 0), np.int64)]
+    for x in one:  # a row of the comparison at a time
+        y = other[label[other] != label[x]]
+        small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        y = y[small * den >= large * num]
+        y = y[y > x] if same else y
+        y = y[np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= most]
+        found.append(np.stack([np.full(len(y), x), y]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _meetings(table: pa.Table, names: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """A task's rows by meeting of two blocks (the columns named), with the places of both blocks."""
+    table = table.sort_by([(name, "ascending") for name in names])
+    keys = [table.column(name).to_numpy() for name in names]
+    cuts = np.flatnonzero(np.any([key[1:] != key[:-1] for key in keys], axis=0)) + 1
+    cuts = [0, *cuts.tolist(), table.num_rows]
+    for first, last in zip(cuts[:-1], cuts[1:]):
+        part = table.slice(first, last - first)
+        block = part.column("block").to_numpy()
+        sides = (np.flatnonzero(block == part.column(name)[0].as_py()) for name in ("low", "high"))
+        yield part, *sides
+
+
+def _near_others(num: int, den: int):
+    """The nodes of a bucket that are close to one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)]
+        for part, one, other in _meetings(table, ("key", "low", "high")):
+            places = np.unique(np.concatenate(_close_places(part, one, other, num, den)))
+            found.append(part.column("sig").to_numpy()[places])
+        return pa.table({"sig": pa.array(np.unique(np.concatenate(found)))})
+
+    return run
+
+
 def _met(num: int, den: int):
     """The links that two blocks add: close nodes of different components, compared on full sets.
 
     Links that join components already joined by one before add nothing and are left out, so a
     task gives fewer rows than it has nodes.
     """
-    most = most_differing(num, den)
-
-    def close(part: pa.Table, one: np.ndarray, other: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        size, label = part.column("n").to_numpy(), part.column("label").to_numpy()
-        bits = part.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
-        found = [np.zeros((2, 0), np.int64)]
-        for x in one:  # a row of the comparison at a time
-            y = other[label[other] != label[x]]
-            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            y = y[small * den >= large * num]
-            y = y[y > x] if same else y
-            y = y[np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= most]
-            found.append(np.stack([np.full(len(y), x), y]))
-        return tuple(np.concatenate(found, axis=1))
-
-    def meet(part: pa.Table) -> list[tuple[int, int]]:
-        block = part.column("block").to_numpy()
-        low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
-        x, y = close(part, np.flatnonzero(block == low), np.flatnonzero(block == high), low == high)
+
+    def meet(part: pa.Table, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+        x, y = _close_places(part, first, second, num, den)
         if not len(x):
             return []
         one, other = np.unique(x), np.unique(y)
@@ -214,33 +244,48 @@ def _met(num: int, den: int):
         ]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("low", "ascending"), ("high", "ascending")])
-        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-        cuts = np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-        cuts = [0, *cuts.tolist(), table.num_rows]
-        links = [link for a, b in zip(cuts[:-1], cuts[1:]) for link in meet(table.slice(a, b - a))]
+        links = [link for meeting in _meetings(table, ("low", "high")) for link in meet(*meeting)]
         columns = list(zip(*links)) or [[], []]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip("ab", columns)})
 
     return run
 
 
+def _active(mixed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Nodes close to one of another component in a bucket, by sketches alone."""
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_NODES).cast("int").alias("blocks"))
+    number = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")
+    met = mixed.join(nodes.select("sig", "n", "sketch"), "sig").join(sizes, "key").select(
+        "key", "sig", "label", "n", "sketch", number, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    rows = mixed.count()
+    task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 + rows // TASK_ROWS)).alias("task")
+    return met.select("*", task).groupBy("task").applyInArrow(_near_others(num, den), "sig long").distinct()
+
+
 def _between(
     posts: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, n: int, num: int, den: int
 ) -> DataFrame | None:
     """Links between nodes of one bucket that are in different components; None if there are none.
 
-    A node's home is the fullest of its buckets, so near copies are at home in a few. A home's nodes
-    are dealt to blocks of bounded size; two blocks meet if a bucket has nodes of both.
+    First the sketches tell which nodes are close to one of another component; only those go on. A
+    home is a full bucket that a node or a neighbour of it is in, so near copies are at home in a
+    few. A home's nodes are dealt to blocks of bounded size; two blocks meet if a bucket has nodes
+    of both.
     """
     labelled = posts.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "sig"))
     buckets = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     mixed = stored(labelled.join(buckets.select("key"), "key"))
+    mixed = stored(mixed.join(_active(mixed, nodes, num, den), "sig", "left_semi"))
     if mixed.isEmpty():
         return None
-    place = F.max(F.struct("many", "key")).alias("place")
-    homes = mixed.groupBy("sig", "label").agg(place).select("sig", "label", F.col("place.key").alias("home"))
+    fullest = F.max(F.struct("many", "key")).alias("place")
+    places = mixed.join(mixed.groupBy("sig").agg(fullest), "sig")
+    places = mixed.join(places.groupBy("key").agg(F.max("place").alias("place")), "key")
+    homes = places.groupBy("sig", "label").agg(F.max("place").alias("place"))
+    homes = homes.select("sig", "label", F.col("place.key").alias("home"))
     homes = stored(homes.join(nodes.select("sig", "n", "sketch"), "sig"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_GRAMS)).cast("int")
     number = F.pmod(F.xxhash64("sig"), F.col("blocks"))

@@ -21,6 +21,8 @@ from test_jaccard import brute, made
 def test_components_match_brute_force(spark, monkeypatch, n, num, den, rows):
     monkeypatch.setattr(oddsketch, "BLOCK_NODES", 8)  # buckets of many blocks
     monkeypatch.setattr(oddsketch, "BLOCK_GRAMS", 2000)
+    monkeypatch.setattr(oddsketch, "BUCKET_NODES", 8)
+    monkeypatch.setattr(oddsketch, "TASK_ROWS", 50)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = oddsketch.near_duplicates(docs, n=n, num=num, den=den).collect()
     assert sorted((tuple(r)[:3] for r in got), key=str) == brute(rows, n, num, den)
