@@ -44,7 +44,10 @@ def word_bucket(word: Column, buckets: int = BUCKETS) -> Column:
 def postings(chunks: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """One row per word and chunk: where it occurs and how long the chunk is."""
     words = text_fn.code_words(F.col("content"))
-    exploded = chunks.select(*key, words.alias("words")).select(
+    # Words are dealt out in their chunk's row; the grouping finds them in place, so no row per
+    # word is shuffled.
+    dealt = chunks.select(*key, words.alias("words")).repartition(*key)
+    exploded = dealt.select(
         *key, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("at", "word")
     )
     # A group is one word of one chunk, whose size the chunker bounds.
@@ -83,7 +86,7 @@ def _earlier(places: Column, step: int) -> Column:
     return F.transform(places, lambda p: p - step)
 
 
-def _count(places: Column, words: Sequence[str]) -> Column:
+def unit_count(places: Column, words: Sequence[str]) -> Column:
     """How often the words follow each other, from their positions in a chunk."""
     first = F.try_element_at(places, F.lit(words[0]))
     for step, word in enumerate(words[1:], 1):
@@ -109,7 +112,7 @@ def score_postings(
     places = F.map_from_entries(F.collect_list(F.struct("word", "positions")))
     held = hits.groupBy(*index.key, "length").agg(places.alias("places"))
     counted = held.select(
-        *index.key, "length", *[_count(F.col("places"), u).alias(f"tf{i}") for i, u in enumerate(units)]
+        *index.key, "length", *[unit_count(F.col("places"), u).alias(f"tf{i}") for i, u in enumerate(units)]
     )
     found = [F.col(f"tf{i}") for i in range(len(units))]
     frequent = counted.agg(
