@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"run-{name}-")
     stamp = spark.range(1).select(F.expr("uuid()")).first()[0]
     return f"{shared.rstrip('/')}/{name}-{stamp}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write rows to a work folder and read them from there, so later steps do not make them again."""
+    place = work_folder(frame.sparkSession, name)
+    frame.write.parquet(place)
+    return frame.sparkSession.read.schema(frame.schema).parquet(place)
