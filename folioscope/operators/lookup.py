@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions import labels, paths
+from folioscope.operators.ranges import within
 
 
 def file_tree(ref_files: DataFrame, repo_ref_id: int, prefix: str | None = None) -> DataFrame:
@@ -60,24 +61,21 @@ def find_symbols(
 def symbol_source(symbols: DataFrame, chunks: DataFrame, key: Sequence[str]) -> DataFrame:
     """Text of each symbol: the chunks inside its line range, in line order.
 
-    Chunks are joined on the content and filtered by range in the join itself. A
+    Ranges meet in cells of lines (`ranges.within`), texts join the pairs that are left. A
     symbol without contained chunks has an empty source.
     """
+    wanted = symbols.select(*dict.fromkeys([*key, "content_id", "start_line", "end_line"])).distinct()
+    pairs = within(wanted, chunks, ["content_id"])
     parts = chunks.select(
         "content_id",
-        F.col("start_line").alias("_start"),
-        F.col("end_line").alias("_end"),
+        F.col("start_line").alias("inner_start"),
+        F.col("end_line").alias("inner_end"),
         F.col("content").alias("_text"),
     )
-    inside = (
-        (symbols["content_id"] == parts["content_id"])
-        & (parts["_start"] >= symbols["start_line"])
-        & (parts["_end"] <= symbols["end_line"])
-    )
-    joined = symbols.join(parts, inside, "left").drop(parts["content_id"])
+    joined = pairs.join(parts, ["content_id", "inner_start", "inner_end"], "left")
     ordered = F.array_sort(
         F.collect_list(
-            F.when(F.col("_start").isNotNull(), F.struct("_start", "_end", "_text"))
+            F.when(F.col("inner_start").isNotNull(), F.struct("inner_start", "inner_end", "_text"))
         )
     )
     return joined.groupBy(*key).agg(

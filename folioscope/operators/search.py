@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as text_fn
 from folioscope.functions import vectors
+from folioscope.operators.ranks import ranked
 from folioscope.operators.shape import computed_once
+from folioscope.sources.work import stored
 
 K1 = 1.2
 B = 0.75
@@ -106,90 +108,58 @@ def top_k(scored: DataFrame, score: str, key: Sequence[str], limit: int) -> Data
     )
 
 
-def rrf_top(
-    scored: DataFrame,
-    key: Sequence[str],
-    legs: Sequence[str],
-    limit: int,
-    k: int = RRF_K,
-    out: str = "score",
-) -> DataFrame:
-    """The best rows by Reciprocal Rank Fusion over the *complete* ranked lists.
+def ranked_legs(scored: DataFrame, key: Sequence[str], legs: Sequence[str]) -> DataFrame:
+    """Every scored row's place in every leg's *complete* list: _key, leg, value and rank.
 
-    A row outside the first ``depth`` places of every leg scores at most
-    ``m / (k + depth + 1)``, while the ``limit`` best rows of the longest leg score
-    at least ``1 / (k + limit)`` each. With the depth below no such row can enter
-    the result, so only the union of the leg heads competes. Their ranks are still
-    exact: one more pass counts, for every competitor, the rows ahead of it. Only
-    counts are shuffled, never the ranked lists.
+    Ties go to the smaller key. Stored, as a search may ask for deeper heads of the lists.
     """
-    m = len(legs)
-    depth = m * (k + limit) - k
     ident = F.struct(*[F.col(c) for c in key])
-    # Scores cost a pass over the text; the passes below only need keys and scores.
-    slim = scored.select(ident.alias("_key"), *legs).persist()
-
-    heads = None
+    # Scores cost a pass over the text; the ranges below only need keys and scores.
+    slim = stored(scored.select(ident.alias("_key"), *legs), "scores")
+    ranks = None
     for leg in legs:
-        head = top_k(slim, leg, ["_key"], depth)
-        heads = head if heads is None else heads.unionByName(head)
-    heads = heads.dropDuplicates(["_key"]).persist()
+        own = slim.where(F.col(leg).isNotNull()).select("_key", F.lit(leg).alias("leg"), F.col(leg).alias("value"))
+        own = ranked(own, [F.desc("value"), F.asc("_key")])
+        ranks = own if ranks is None else ranks.unionByName(own)
+    return stored(ranks, "legs")
 
-    def place(leg: str) -> Column:
-        return F.struct((-F.col(leg)).alias("neg"), F.col("_key").alias("key"))
 
-    counted = slim
-    for leg in legs:
-        cuts = heads.where(F.col(leg).isNotNull()).agg(
-            F.array_sort(F.collect_list(place(leg))).alias("cuts")
-        )
-        counted = counted.withColumn(f"_cuts_{leg}", cuts.select("cuts").scalar())
-    ahead = counted.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(leg).alias("leg"),
-                        F.when(
-                            F.col(leg).isNotNull(),
-                            _cuts_before(F.col(f"_cuts_{leg}"), place(leg)),
-                        ).alias("position"),
-                    )
-                    for leg in legs
-                ]
-            )
-        ).alias("p")
-    ).select("p.leg", "p.position")
-    histogram = ahead.where(F.col("position").isNotNull()).groupBy("leg", "position").count()
-
-    result = heads
-    for leg in legs:
-        order = Window.orderBy("neg", "_key")
-        listed = heads.where(F.col(leg).isNotNull()).select(
-            "_key",
-            (F.row_number().over(Window.orderBy((-F.col(leg)), "_key")) - 1).alias("position"),
-            (-F.col(leg)).alias("neg"),
-        )
-        own = histogram.where(F.col("leg") == leg).select("position", "count")
-        ranks = listed.join(own, "position").select(
-            "_key", F.sum("count").over(order).alias(f"{leg}_rank")
-        )
-        result = result.join(ranks, "_key", "left")
+def fused_top(
+    ranks: DataFrame, legs: Sequence[str], limit: int, k: int = RRF_K, out: str = "score"
+) -> DataFrame:
+    """The best rows by Reciprocal Rank Fusion of complete ranked lists (`ranked_legs`).
+
+    A row outside the first ``depth`` places of every leg scores at most
+    ``m / (k + depth + 1)``, while the ``limit`` best rows of the longest leg score
+    at least ``1 / (k + limit)`` each. With the depth below no such row can enter
+    the result, so only the union of the leg heads competes, with its exact ranks.
+    """
+    depth = len(legs) * (k + limit) - k
+    heads = ranks.where(F.col("rank") <= depth).select("_key").distinct()
+    held = ranks.join(heads, "_key", "left_semi")
+    result = held.groupBy("_key").agg(
+        *[F.max(F.when(F.col("leg") == leg, F.col("value"))).alias(leg) for leg in legs],
+        *[F.max(F.when(F.col("leg") == leg, F.col("rank"))).alias(f"{leg}_rank") for leg in legs],
+    )
     parts = [
         F.coalesce(F.lit(1.0) / (F.lit(float(k)) + F.col(f"{leg}_rank")), F.lit(0.0))
         for leg in legs
     ]
     fused = result.withColumn(out, F.round(sum(parts[1:], parts[0]), 12))
-    return (
-        fused.where(F.col(out) > 0)
-        .select("_key.*", *legs, *[f"{leg}_rank" for leg in legs], out)
-        .orderBy(F.desc(out), *key)
-        .limit(limit)
-    )
+    best = fused.orderBy(F.desc(out), "_key").limit(limit)
+    return best.select("_key.*", *legs, *[f"{leg}_rank" for leg in legs], out)
 
 
-def _cuts_before(cuts: Column, place: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < place))
+def rrf_top(
+    scored: DataFrame,
+    key: Sequence[str],
+    legs: Sequence[str],
+    limit: int,
+    k: int = RRF_K,
+    out: str = "score",
+) -> DataFrame:
+    """The best rows by Reciprocal Rank Fusion over the complete ranked lists of all legs."""
+    return fused_top(ranked_legs(scored, key, legs), legs, limit, k, out).orderBy(F.desc(out), *key)
 
 
 def drop_overlaps(
@@ -283,21 +253,21 @@ def hybrid_search(
     else:
         scored = vector_score(inside.select(*key, "embedding"), query_vector)
         scored = scored.join(words.select(*key, "bm25"), key, "left")
-    slim = scored.select(*key, "bm25", "vector").persist()
-    every = slim.where("bm25 is not null or vector is not null").count()
+    legs = ["bm25", "vector"]
+    ranks = ranked_legs(scored, key, legs)
+    every = ranks.select("_key").distinct().count()
     owners = scope.select("content_id", "repo", "ref", "path")
     place = ["repo", "ref", "path", "start_line"]
     extra = [c for c in ("symbol_name",) if c in chunks.columns]
     texts = chunks.select(*key, "content", *extra)
     pool = 4 * limit
     while True:
-        best = rrf_top(slim, key, ["bm25", "vector"], pool, k).select(*key, "score")
+        best = fused_top(ranks, legs, pool, k).select(*key, "score")
         survivors = drop_overlaps(best, ["content_id"])
         top = survivors.join(owners, "content_id").orderBy(F.desc("score"), *place).limit(limit)
-        top = top.persist()
+        top = stored(top, "hits")
         if top.count() >= limit or pool >= every:
             break
-        top.unpersist()
         pool *= 4
     found = top.join(texts, key).select(
         F.col("path").alias("file_path"), "repo", "ref", "content", "start_line", "end_line",
