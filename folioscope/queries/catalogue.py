@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import labels, versions
 from folioscope.functions import text as text_fn
-from folioscope.operators import context, ingest, jobs, lookup, maintain, refs
+from folioscope.operators import context, ingest, jobs, lookup, maintain, refs, trees
+from folioscope.operators.substrings import SubstringIndex
 from folioscope.queries import ingest as ingest_queries
 from folioscope.queries import sql
 from folioscope.sources import tables
+from folioscope.sources.work import work_folder
 
 # --- scans and lookups -----------------------------------------------------------
 
@@ -37,6 +39,17 @@ def find_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def find_files_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files by an index of all paths, added in two batches."""
+    files = tables.corpus_ref_files(spark, folder)
+    index = SubstringIndex(spark, work_folder(spark, "paths"))
+    paths = files.select(F.col("path").alias("text"), (F.col("repo_ref_id") % 2).alias("part"))
+    for part in (0, 1):
+        index.add(paths.where(F.col("part") == part), part)
+    found = index.matching("N/1_").withColumnRenamed("text", "path")
+    return files.where(F.col("repo_ref_id") == 3).join(found, "path", "left_semi").select("path", "content_id")
+
+
 def find_files_lang(spark: SparkSession, folder: str) -> DataFrame:
     files = tables.corpus_ref_files(spark, folder).drop("language")
     contents = tables.corpus_contents(spark, folder)
@@ -189,6 +202,20 @@ def ref_diff(spark: SparkSession, folder: str) -> DataFrame:
     return _diff(spark, folder)
 
 
+def tree_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files in folders of ten, ten by ten; the diff goes by digests of folders."""
+    number = F.substring_index("path", "/", -1)
+    deep = F.concat_ws(
+        "/", F.substring_index("path", "/", 1), F.expr("cast(substring_index(path, '/', -1) as long) div 100"),
+        F.expr("cast(substring_index(path, '/', -1) as long) div 10"), number,
+    )
+    pair = tables.snapshot_pair(spark, folder).select("repo_ref_id", deep.alias("path"), "content_id")
+    place = work_folder(spark, "trees")
+    for ref in (1, 2):
+        trees.write_tree(pair.where(F.col("repo_ref_id") == ref), place, ref)
+    return trees.ref_diff(spark, place, 1, 2)
+
+
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
     from folioscope.operators import chunking
 
@@ -268,6 +295,13 @@ def update_from_values(spark: SparkSession, folder: str) -> DataFrame:
     return maintain.update_from(chunks, updates, ["doc_id"], ["label", "embedding_error"])
 
 
+def move_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """UPDATE ... FROM of whole vectors: each even one becomes that of its odd neighbour."""
+    rows = tables.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>"))
+    odd = rows.where(F.col("vec_id") % 2 == 1).select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
+    return maintain.update_from(rows, odd, ["vec_id"], ["embedding"])
+
+
 def delete_keys(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.table(spark, folder, "documents").select("doc_id", "lang")
     toxic = tables.table(spark, folder, "labels").where(F.col("toxic") == 1)
@@ -492,6 +526,7 @@ QUERIES = {
     "q_point_lookup": point_lookup,
     "q_file_tree": file_tree,
     "q_find_files": find_files,
+    "q_find_files_indexed": find_files_indexed,
     "q_find_files_lang": find_files_lang,
     "q_find_symbols": find_symbols,
     "q_get_symbol": get_symbol,
@@ -507,6 +542,7 @@ QUERIES = {
     "q_semver_resolve": semver_resolve,
     "q_resolve_ref": resolve_ref,
     "q_ref_diff": ref_diff,
+    "q_tree_diff": tree_diff,
     "q_recent_changes": recent_changes,
     "q_recent_pack": recent_pack,
     "q_union_deleted": union_deleted,
@@ -515,6 +551,7 @@ QUERIES = {
     "q_sweep_orphans": sweep_orphans,
     "q_cascade_delete": cascade_delete,
     "q_update_from_values": update_from_values,
+    "q_move_vectors": move_vectors,
     "q_delete_keys": delete_keys,
     "q_update_delete_where": update_delete_where,
     "q_queue_refs": queue_refs,
@@ -613,6 +650,9 @@ UNION ALL
 (SELECT repo_id, id, ref, commit_sha, 'v01.1.5.x' AS wanted FROM vrefs
  WHERE ref = 'v01.1.5.x' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY id) = 1)""",
     "q_ref_diff": f"WITH {_SNAP} SELECT * FROM diff",
+    "q_tree_diff": f"""WITH {_SNAP} SELECT concat_ws('/', string_split(path, '/')[1],
+  CAST(string_split(path, '/')[2] AS BIGINT) // 100, CAST(string_split(path, '/')[2] AS BIGINT) // 10,
+  string_split(path, '/')[2]) AS path, change_type, content_id FROM diff""",
     "q_recent_changes": f"""WITH {_CHANGES}
 SELECT file_path, start_line, end_line, annotation, sha256(content) AS content_sha FROM changes""",
     "q_recent_pack": f"""WITH {_CHANGES},
@@ -641,6 +681,8 @@ SELECT repo_ref_id, count(*) AS files FROM files WHERE repo_ref_id % 5 <> 2 GROU
   CASE WHEN vec_id IS NULL THEN 0 WHEN vec_id % 3 = 0 THEN NULL ELSE label END AS label,
   CASE WHEN vec_id % 3 = 0 THEN 'provider failed' END AS embedding_error
 FROM documents LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) ON vec_id = doc_id""",
+    "q_move_vectors": """SELECT e.vec_id, CAST(coalesce(o.embedding, e.embedding) AS DOUBLE[]) AS embedding
+FROM embeddings e LEFT JOIN embeddings o ON e.vec_id % 2 = 0 AND o.vec_id = e.vec_id + 1""",
     "q_delete_keys": """SELECT doc_id, lang FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "q_update_delete_where": """SELECT c_custkey, c_acctbal,
@@ -700,3 +742,5 @@ SELECT event_id, CASE WHEN stage = 'processing-files'
   count(*) AS failures, CASE WHEN count(*) < 3 THEN CAST(30 * pow(2, count(*)) AS BIGINT) END
   AS delay FROM events WHERE event_type = 'error' GROUP BY ALL""",
 }
+# The index changes how paths are found, not which.
+ORACLES["q_find_files_indexed"] = ORACLES["q_find_files"]

@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscope.functions import labels, paths
 from folioscope.functions import text as text_fn
 from folioscope.operators import chunking, ingest, maintain
+from folioscope.plans.store import StoredEngine
 from folioscope.queries import sql
+from folioscope.schemas import REPOS
 from folioscope.sources import tables
+from folioscope.sources.embedding import HashingEmbedder
+from folioscope.sources.work import work_folder
 
 # File name endings cycled over the documents to exercise the path rules.
 ENDINGS = (
@@ -425,7 +429,40 @@ imports AS (
          source, n % 3 <> 0 AS named, name, CASE WHEN n % 4 = 1 THEN name END AS default_name,
          CAST(CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS is_namespace FROM imports0)"""
 
+def _synced(spark: SparkSession, folder: str) -> StoredEngine:
+    """Both versions of the documents as refs of one repository, each stored by its own sync."""
+    kinds = {f.name: f.dataType for f in REPOS.fields}
+    values = {"id": F.lit(1), "name": F.lit("corpus"), "glob_patterns": F.array()}
+    repos = spark.range(1).select(*[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in kinds])
+    engine = StoredEngine.create(repos, work_folder(spark, "engine"), HashingEmbedder(8))
+    versions = tables.snapshot_pair(spark, folder).withColumn("language", F.substring_index("path", "/", 1))
+    for number in (1, 2):
+        files = versions.where(F.col("repo_ref_id") == number).select("path", "language", "content")
+        engine = engine.sync_ref("corpus", f"v{number}.0.0", f"c{number}", files)
+    return engine
+
+
+def sync_ref(spark: SparkSession, folder: str) -> DataFrame:
+    """What two syncs leave in the rows of their refs."""
+    return _synced(spark, folder).repo_refs.select(
+        "ref", "commit_sha", "stage", "semver", "files_total", "files_processed", "chunks_total",
+        "chunks_embedded", F.size("language_stats").alias("languages"),
+    )
+
+
+def delete_version(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents and chunks that are left, by language, when the first version goes."""
+    state = _synced(spark, folder).delete_version("corpus", "v1.0.0").state
+    sizes = state.chunks.groupBy("content_id").agg(F.count(F.lit(1)).alias("chunks"))
+    held = state.file_contents.join(sizes, "content_id", "left")
+    return held.groupBy("language").agg(
+        F.count(F.lit(1)).alias("contents"), F.sum("chunks").alias("chunks"),
+    )
+
+
 QUERIES = {
+    "q_sync_ref": sync_ref,
+    "q_delete_version": delete_version,
     "q_sha256": sha256,
     "q_skip_file": skip_file,
     "q_classify_language": classify_language,
@@ -455,7 +492,34 @@ QUERIES = {
     "q_upsert_latest": upsert_latest,
 }
 
+_VERSIONS = f"""WITH versions AS (
+  SELECT 1 AS v, lang, text AS content, sha256(text) AS content_id, doc_id FROM documents
+  WHERE doc_id % 10 <> 0
+  UNION ALL
+  SELECT 2, lang, t, sha256(t), doc_id FROM (
+    SELECT lang, doc_id, CASE WHEN doc_id % 10 = 2 THEN concat(text, chr(10), '// v2') ELSE text END AS t
+    FROM documents WHERE doc_id % 10 <> 1)),
+texts AS (SELECT DISTINCT content_id, content FROM versions),{sql.windows('texts')},
+sizes AS (SELECT content_id, count(*) AS n FROM pieces GROUP BY content_id)"""
+
 ORACLES = {
+    "q_sync_ref": f"""{_VERSIONS},
+held AS (
+  SELECT v, CAST(sum(n) AS INTEGER) AS n FROM (SELECT DISTINCT v, content_id FROM versions)
+  JOIN sizes USING (content_id) GROUP BY v)
+SELECT concat('v', v, '.0.0') AS ref, concat('c', v) AS commit_sha, 'ready' AS stage,
+  concat(v, '.0.0') AS semver, CAST(count(*) AS INTEGER) AS files_total,
+  CAST(count(*) AS INTEGER) AS files_processed, any_value(n) AS chunks_total,
+  any_value(n) AS chunks_embedded, CAST(count(DISTINCT lang) AS INTEGER) AS languages
+FROM versions JOIN held USING (v) GROUP BY v""",
+    "q_delete_version": f"""{_VERSIONS},
+-- A content's language is that of the first path of the version that brought it.
+brought AS (
+  SELECT content_id, arg_min(lang, concat(v, lang, '/', doc_id)) AS language
+  FROM versions GROUP BY content_id)
+SELECT language, count(*) AS contents, CAST(sum(n) AS BIGINT) AS chunks
+FROM brought LEFT JOIN sizes USING (content_id)
+WHERE content_id IN (SELECT content_id FROM versions WHERE v = 2) GROUP BY language""",
     "q_sha256": """SELECT doc_id, sha256(text) AS content_id,
   CAST(ceil(length(text) / 3.0) AS BIGINT) AS tokens FROM documents""",
     "q_skip_file": """SELECT doc_id,

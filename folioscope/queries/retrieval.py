@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.operators import context, postings, search
+from folioscope.operators import chunking, context, postings, search
+from folioscope.operators.segments import SegmentedIndex
+from folioscope.operators.vector_index import VectorIndex
 from folioscope.queries import sql
 from folioscope.sources import tables
 from folioscope.sources.work import work_folder
@@ -48,6 +50,26 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(scored, "vector", ["vec_id"], 30).select("vec_id", "label", "vector")
 
 
+def _vector_index(spark: SparkSession, folder: str) -> VectorIndex:
+    """All vectors in two batches under centres of the first."""
+    rows = tables.table(spark, folder, "embeddings")
+    late = F.col("vec_id") % 4 == 3
+    index = VectorIndex.build(rows.where(~late), ["vec_id", "label"], work_folder(spark, "vectors"))
+    index.add(rows.where(late), 1)
+    return index
+
+
+def ann_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty nearest vectors from the best lists of a persisted index."""
+    return _vector_index(spark, folder).nearest(_query_vector(spark, folder), 30)
+
+
+def ann_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from every list that may hold one of them."""
+    found = _vector_index(spark, folder).exact(_query_vector(spark, folder), 30)
+    return found.withColumnRenamed("score", "vector")
+
+
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     chunks = search.with_words(tables.corpus_chunks(spark, folder))
     scored = search.bm25(chunks, search.query_terms(spark, QUERY))
@@ -78,6 +100,32 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Scope of the narrow search: one ref, two languages and the files of some folders.
+SCOPE_LANGUAGES = ["en", "de"]
+SCOPE_PATHS = [f"{language}/{slot}" for language in ("en", "de", "fr") for slot in range(0, 400, 2)]
+
+
+def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The hybrid search within one ref, some languages and a list of paths."""
+    files, refs = tables.scoped_files(spark, folder)
+    scope = search.in_scope(files, refs, "repo1", "v1.0.0", SCOPE_LANGUAGES, SCOPE_PATHS)
+    chunks = tables.corpus_chunks(spark, folder).drop("symbol_name")
+    terms = search.query_terms(spark, QUERY)
+    return search.hybrid_search(chunks, scope, terms, _query_vector(spark, folder), LIMIT)
+
+
+def search_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """The context pack of a hybrid search, with the text it becomes."""
+    files, refs = tables.scoped_files(spark, folder)
+    hits = search.hybrid_search(
+        tables.corpus_chunks(spark, folder).drop("symbol_name"), search.in_scope(files, refs, repo="repo1"),
+        search.query_terms(spark, QUERY), _query_vector(spark, folder), context.SEARCH_LIMIT,
+    )
+    pack = context.trim_to_budget(hits.select("file_path", "start_line", "end_line", "content"))
+    lines = context.pack_lines(pack).select("position", F.sha2("line", 256).alias("line_sha"))
+    return pack.select("position", "file_path", "start_line", "end_line", "cost", "used").join(lines, "position")
+
+
 def indexed_search(spark: SparkSession, folder: str) -> DataFrame:
     """The hybrid search with word scores from a persisted index, phrase included."""
     files, refs = tables.scoped_files(spark, folder)
@@ -90,6 +138,20 @@ def indexed_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.hybrid_search(chunks, scope, terms, _query_vector(spark, folder), LIMIT, words=words)
 
 
+def index_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The best chunks after three additions, a replacement, a removal and a merge."""
+    texts = tables.corpus_texts(spark, folder).select("ordinal", "content_id", "content")
+    chunks = chunking.chunk_files(texts, keep=["ordinal"]).select("ordinal", *KEY, "content")
+    index = SegmentedIndex(spark, work_folder(spark, "segments"), KEY)
+    for part in range(3):
+        index.add(chunks.where(F.col("ordinal") % 3 == part))
+    edited = F.concat("content", F.lit("\nundUnd de la"))
+    index.replace(chunks.where(F.col("ordinal") % 10 == 1).withColumn("content", edited))
+    index.delete(chunks.where(F.col("ordinal") % 10 == 0))
+    index.merge(fanout=3)
+    return index.top(search.query_terms(spark, QUERY), 50)
+
+
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     rows = _search_rows(spark, folder)
     pack = context.trim_to_budget(rows)
@@ -176,25 +238,37 @@ search_refs AS (
          CASE WHEN r % 7 = 3 THEN 'error' WHEN r % 7 = 5 THEN 'embedding' ELSE 'ready' END AS stage
   FROM (SELECT DISTINCT doc_id % 20 AS r FROM documents))"""
 
-_SCOPED = (
-    _CHUNKS
-    + f""",{_REFS},
+def _scoped(where: str) -> str:
+    """Word scores of the chunks of the files in scope."""
+    return (
+        _CHUNKS
+        + f""",{_REFS},
 scope AS (
   SELECT f.content_id, f.path, s.repo, s.ref
-  FROM files f JOIN search_refs s USING (repo_ref_id) WHERE s.stage = 'ready' AND s.repo = 'repo1'),
+  FROM files f JOIN search_refs s USING (repo_ref_id) WHERE s.stage = 'ready' AND s.repo = 'repo1'{where}),
 in_scope AS (SELECT * FROM pieces WHERE content_id IN (SELECT content_id FROM scope)),"""
-    + sql.words("in_scope", _KEY).lstrip()
-    + ","
-    + sql.bm25(_KEY, PHRASE, WORDS)
+        + sql.words("in_scope", _KEY).lstrip()
+        + ","
+        + sql.bm25(_KEY, PHRASE, WORDS)
+    )
+
+
+_SCOPED = _scoped("")
+_NARROW = _scoped(
+    f""" AND s.ref = 'v1.0.0' AND f.language IN ({', '.join(repr(x) for x in SCOPE_LANGUAGES)})
+    AND f.path IN ({', '.join(repr(x) for x in SCOPE_PATHS)})"""
 )
 
-_PACK_ROWS = f"""
-top30 AS (
-  SELECT * FROM bm25_scores WHERE bm25 IS NOT NULL ORDER BY bm25 DESC, {_KEY} LIMIT 30),
-pack_rows AS (
-  SELECT f.path AS file_path, t.start_line, t.end_line, p.content
-  FROM top30 t JOIN pieces p USING ({_KEY}) JOIN contents c USING (content_id)
-  JOIN files f ON f.ordinal = c.first_ordinal),
+
+def _hits(scoped: str, limit: int) -> str:
+    return f"""{scoped},{_VECTOR},{_fused()},{_greedy('fused')},
+hits AS (
+  SELECT s.path AS file_path, s.repo, s.ref, p.content, v.start_line, v.end_line, v.score
+  FROM survivors v JOIN scope s USING (content_id) JOIN pieces p USING ({_KEY})
+  ORDER BY v.score DESC, s.repo, s.ref, s.path, v.start_line LIMIT {limit})"""
+
+
+_COSTED = """
 costed AS (
   SELECT *, CAST(ceil(length(concat(chr(10), '--- ', file_path, ' L', start_line, '-', end_line,
                                     ' ---', chr(10))) / 3.0) + ceil(length(content) / 3.0)
@@ -205,15 +279,28 @@ summed AS (
   FROM costed WINDOW o AS (ORDER BY file_path, start_line, end_line, content)),
 pack AS (SELECT * FROM summed WHERE used <= 8192)"""
 
+_PACK_ROWS = f"""
+top30 AS (
+  SELECT * FROM bm25_scores WHERE bm25 IS NOT NULL ORDER BY bm25 DESC, {_KEY} LIMIT 30),
+pack_rows AS (
+  SELECT f.path AS file_path, t.start_line, t.end_line, p.content
+  FROM top30 t JOIN pieces p USING ({_KEY}) JOIN contents c USING (content_id)
+  JOIN files f ON f.ordinal = c.first_ordinal),{_COSTED}"""
+
 QUERIES = {
     "q_bm25_topk": bm25_topk,
     "q_bm25_postings": bm25_postings,
     "q_code_words": code_words,
     "q_vector_topk": vector_topk,
+    "q_ann_topk": ann_topk,
+    "q_ann_exact": ann_exact,
     "q_rrf_fusion": rrf_fusion,
     "q_dedup_overlap": dedup_overlap,
     "q_hybrid_search": hybrid_search,
     "q_indexed_search": indexed_search,
+    "q_scoped_search": scoped_search,
+    "q_search_pack": search_pack,
+    "q_index_segments": index_segments,
     "q_context_pack": context_pack,
     "q_format_pack": format_pack,
     "q_pack_summary": pack_summary,
@@ -234,6 +321,22 @@ SELECT {_KEY}, round(
   + ln(1.0 + (n - db + 0.5) / (db + 0.5)) * (b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / (total / n)))),
   9) AS bm25
 FROM counted, totals WHERE a + b > 0""",
+    "q_scoped_search": f"{_hits(_NARROW, LIMIT)} SELECT * FROM hits",
+    "q_search_pack": f"""{_hits(_SCOPED, 30)},
+pack_rows AS (SELECT file_path, start_line, end_line, content FROM hits),{_COSTED},
+headed AS (SELECT *, lag(file_path) OVER (ORDER BY position) AS prev FROM pack)
+SELECT position, file_path, start_line, end_line, cost, used, sha256(
+  concat(chr(10), CASE WHEN prev = file_path THEN '--- L' ELSE concat('--- ', file_path, ' L') END,
+         start_line, '-', end_line, ' ---', chr(10), content)) AS line_sha
+FROM headed""",
+    "q_index_segments": f"""{_CHUNKS},
+edited AS (
+  SELECT {', '.join('p.' + c for c in KEY)}, CASE WHEN c.first_ordinal % 10 = 1
+         THEN concat(p.content, chr(10), 'undUnd de la') ELSE p.content END AS content
+  FROM pieces p JOIN contents c USING (content_id) WHERE c.first_ordinal % 10 <> 0),
+{sql.words('edited', _KEY)},{sql.bm25(_KEY, PHRASE, WORDS)}
+SELECT {_KEY}, bm25 FROM bm25_scores WHERE bm25 IS NOT NULL
+ORDER BY bm25 DESC, {_KEY} LIMIT 50""",
     "q_code_words": f"""WITH page_text AS (
   SELECT page_id, concat(url, ' ', html) AS content FROM pages),
 {sql.words('page_text', 'page_id')}
@@ -264,3 +367,4 @@ SELECT count(*) AS chunks, CAST(coalesce(sum(ceil(length(content) / 3.0)), 0) AS
 }
 # The index changes how words are found, not what is found.
 ORACLES["q_indexed_search"] = ORACLES["q_hybrid_search"]
+ORACLES["q_ann_exact"] = ORACLES["q_vector_topk"]
