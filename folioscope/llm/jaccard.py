@@ -412,16 +412,16 @@ def distinct_documents(
     )
     leave = ~F.col("key").eqNullSafe(F.col("first"))
     marks = stored(
-        marks.where(leave | (F.col("copies") > 1)).select(
-            F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), leave.alias("_leave")
-        )
+        marks.where(leave | (F.col("copies") > 1)).select(F.col("key").alias("mark"), leave.alias("leave"))
     )
     # A short list goes to the documents; a long one meets them in a shuffle.
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.md5(text).eqNullSafe(F.col("_digest"))
-    marked = docs.join(marks, same, "left")
-    kept = marked.where("_leave is null")
-    if not marks.where("not _leave").isEmpty():
-        kept = kept.unionByName(marked.where("not _leave").dropDuplicates(["_id", "_digest"]))
-    return kept.select(*docs.columns)
+    # Rows travel in a struct, so no column of theirs can be taken for one of the marks.
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    same = [F.col(f"key.{part}").eqNullSafe(F.col(f"mark.{part}")) for part in ("id", "digest")]
+    marked = rows.join(marks, same[0] & same[1], "left")
+    kept = marked.where("leave is null")
+    if not marks.where("not leave").isEmpty():
+        kept = kept.unionByName(marked.where("not leave").dropDuplicates(["key"]))
+    return kept.select("row.*")

@@ -95,6 +95,15 @@ def test_one_document_of_each_group_stays(spark):
     )
 
 
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 5, "a", True, "k", 1, 2), (2, text, 6, "b", False, "k", 3, 4), (2, text, 6, "b", False, "k", 3, 4)]
+    names = "doc_id long, text string, _id long, _digest string, _leave boolean, key string, mark int, leave int"
+    kept = jaccard.distinct_documents(spark.createDataFrame(rows, names))
+    assert kept.columns == [n.split()[0] for n in names.split(", ")]
+    assert [tuple(r) for r in kept.collect()] == rows[:1]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (7, 3), (3, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
