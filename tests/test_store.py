@@ -12,20 +12,19 @@ FILES = "path string, language string, content string"
 ONE = "def one():\n    pass\n"
 
 
-class CountingEmbedder(HashingEmbedder):
-    """Notes every text it is asked for, in a folder all tasks see."""
+def counting_embedder(folder):
+    """An embedder that notes every text it is asked for, in a folder all tasks see."""
 
-    def __init__(self, folder, dimensions=8):
-        super().__init__(dimensions)
-        self.folder = str(folder)
+    class Counting(HashingEmbedder):  # defined here, so tasks get the class by value
+        def embed(self, texts):
+            import uuid
 
-    def embed(self, texts):
-        import uuid
+            for text in texts:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w", encoding="utf-8") as out:
+                    out.write(text)
+            return HashingEmbedder.embed(self, texts)
 
-        for text in texts:
-            with open(f"{self.folder}/{uuid.uuid4().hex}", "w", encoding="utf-8") as out:
-                out.write(text)
-        return super().embed(texts)
+    return Counting(8)
 
 
 @pytest.fixture
@@ -36,7 +35,7 @@ def engine(spark, tmp_path):
         *[(F.col(c) if c in ("id", "name") else F.array() if c == "glob_patterns" else F.lit(None)).cast(kinds[c]).alias(c)
           for c in kinds]
     )
-    return StoredEngine.create(repos, str(tmp_path / "index"), CountingEmbedder(tmp_path / "asked"))
+    return StoredEngine.create(repos, str(tmp_path / "index"), counting_embedder(tmp_path / "asked"))
 
 
 def files(spark, **texts):
