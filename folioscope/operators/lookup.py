@@ -61,6 +61,34 @@ def find_symbols(
 def symbol_source(symbols: DataFrame, chunks: DataFrame, key: Sequence[str]) -> DataFrame:
     """Text of each symbol: the chunks inside its line range, in line order.
 
+    Chunks are joined on the content and filtered by range in the join itself. A
+    symbol without contained chunks has an empty source.
+    """
+    parts = chunks.select(
+        "content_id",
+        F.col("start_line").alias("_start"),
+        F.col("end_line").alias("_end"),
+        F.col("content").alias("_text"),
+    )
+    inside = (
+        (symbols["content_id"] == parts["content_id"])
+        & (parts["_start"] >= symbols["start_line"])
+        & (parts["_end"] <= symbols["end_line"])
+    )
+    joined = symbols.join(parts, inside, "left").drop(parts["content_id"])
+    ordered = F.array_sort(
+        F.collect_list(
+            F.when(F.col("_start").isNotNull(), F.struct("_start", "_end", "_text"))
+        )
+    )
+    return joined.groupBy(*key).agg(
+        F.array_join(F.transform(ordered, lambda x: x["_text"]), "\n").alias("source")
+    )
+
+
+def symbol_source_by_cells(symbols: DataFrame, chunks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`symbol_source` for tables in which one file may hold very many chunks and symbols.
+
     Ranges meet in cells of lines (`ranges.within`), texts join the pairs that are left. A
     symbol without contained chunks has an empty source.
     """

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioscope.sources.work import stored
+
 _BITS = 3
 #: Levels that cover every line number of an int.
 _LEVELS = 11
@@ -58,6 +60,7 @@ def within(
     """
     cut = outer.select("*", F.explode_outer(cover(F.col(start), F.col(end))).alias("_cell"))
     cut = cut.select(*outer.columns, F.col("_cell.level").alias("_level"), F.col("_cell.cell").alias("_at"))
+    cut = stored(cut, "ranges")  # the levels are asked for before the join reads it
     levels = sorted(row[0] for row in cut.select("_level").distinct().collect() if row[0] is not None)
     level = F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("_level")
     lines = inner.select(*key, F.col(start).alias("inner_start"), F.col(end).alias("inner_end")).distinct()

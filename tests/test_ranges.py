@@ -49,7 +49,7 @@ def test_one_huge_file_is_dealt_out(spark):
         (F.col("id") * 100 + 1).cast("int").alias("start_line"), (F.col("id") * 100 + 100).cast("int").alias("end_line"),
     )
     key = ["content_id", "name"]
-    sources = lookup.symbol_source(symbols, chunks, key)
+    sources = lookup.symbol_source_by_cells(symbols, chunks, key)
     plan = plan_of(sources)
     assert "hashpartitioning(content_id" in plan and "_at" in plan
     rows = sources.select(F.size(F.split("source", "\n")).alias("n")).groupBy("n").count().collect()
@@ -69,7 +69,7 @@ def test_symbols_without_chunks_and_equal_chunks(spark):
         [("f", "all", 1, 4), ("f", "all", 1, 4), ("f", "none", 2, 3), ("g", "other", 1, 9), (None, "null", 1, 1)],
         "content_id string, name string, start_line int, end_line int",
     )
-    got = lookup.symbol_source(symbols, chunks, ["content_id", "name"]).collect()
+    got = lookup.symbol_source_by_cells(symbols, chunks, ["content_id", "name"]).collect()
     assert {r.name: r.source for r in got} == {"all": "a\nb\nc", "none": "", "other": "", "null": ""}
 
 
