@@ -13,8 +13,11 @@
    two of the n-gram's largest component. A link is left out only if its ends are already
    connected, so the components are exact.
 5. `near_pairs` and `near_links` give all links, those inside a component too. Both ends of a
-   link are in one component, so the nodes of each component are dealt to blocks of bounded size
-   by a hash, every two blocks meet once, and all pairs in them are compared on the full sets.
+   link are in one component, so the nodes of a large component are dealt to blocks of bounded
+   size by a hash. A node goes only to meetings with blocks that hold one of its prefix n-grams.
+   Where two blocks meet, the pairs that share a prefix n-gram and pass the length and positional
+   filters are verified on the full sets. Each pair meets once; pairs are not made as rows unless
+   they are asked for, and no set is read from the texts again.
 
 Sets are kept as 64-bit fingerprints of n-grams; equal sets are recognised by a 64-bit
 fingerprint of the set with its size.
@@ -27,6 +30,8 @@ component; other columns of the input are not read.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,7 +46,9 @@ PARTS = 32
 MAP_BITS = 24
 
 #: Nodes of a component, and n-grams of theirs, that a block holds on average.
-BLOCK_NODES, BLOCK_GRAMS = 128, 1_000_000
+BLOCK_NODES, BLOCK_GRAMS = 3072, 1_000_000
+#: N-grams in as many sets of a meeting are multiplied as columns, the others paired set by set.
+HEAVY, WIDTH = 64, 4096
 
 #: Rows of the list of documents that leave, about 80 bytes each, that may go to every task.
 BROADCAST_ROWS = 200_000
@@ -204,13 +211,16 @@ def _sets(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return stored(found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets really are near, each compared once on the full sets."""
+def _verified(
+    pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose sets really are near, each compared once on the full sets; and the sets."""
     found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), texts, n)
     both = pairs.join(found.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a")
     both = both.join(found.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.where(shared * den >= (F.col("a_n") + F.col("b_n") - shared) * num).select("a", "b")
+    near = both.where(shared * den >= (F.col("a_n") + F.col("b_n") - shared) * num)
+    return near.select("a", "b"), found
 
 
 def _node_map(wanted: DataFrame) -> np.ndarray:
@@ -229,63 +239,145 @@ def _node_map(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _shared_grams(column: pa.ListArray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Numbers of common n-grams of the sets at some places with those at others."""
-    grams, sizes = column.flatten().to_numpy(), column.value_lengths().to_numpy()
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    cells, often = np.unique(grams, return_inverse=True, return_counts=True)[1:]
-    kept = often[cells] > 1
-    rows, cells = rows[kept], np.unique(cells[kept], return_inverse=True)[1]
-    order = np.argsort(cells, kind="stable")
-    rows, cells = rows[order], cells[order]
-    shared, width = np.zeros((len(one), len(other)), np.int64), 4096
-    for at in range(0, int(cells[-1]) + 1 if len(cells) else 0, width):
-        first, end = np.searchsorted(cells, [at, at + width])
-        holds = np.zeros((len(sizes), width), np.float32)
-        holds[rows[first:end], cells[first:end] - at] = 1
-        shared += (holds[one] @ holds[other].T).astype(np.int64)
-    return shared
+class _Lists:
+    """The lists of n-grams of a meeting's nodes, turned round: which nodes hold an n-gram."""
+
+    def __init__(self, column: pa.ListArray):
+        grams, sizes = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+        nodes = np.repeat(np.arange(len(sizes)), sizes)
+        places = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((nodes, grams))
+        grams, nodes, places = grams[order], nodes[order], places[order]
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+        often = np.diff(np.append(first, len(grams)))
+        cell, count = np.repeat(np.arange(len(often)), often), np.repeat(often, often)
+        rare = (count > 1) & (count < HEAVY)
+        self.cell, self.node, self.place = cell[rare], nodes[rare], places[rare]
+        heavy = count >= HEAVY
+        self.heavy_node, self.heavy_place = nodes[heavy], places[heavy]
+        self.heavy_cell = np.unique(cell[heavy], return_inverse=True)[1]
+
+    def rare_pairs(self):
+        """Places of two entries of one rare n-gram, the smaller node first; each pair once."""
+        for step in range(1, HEAVY):
+            left = np.flatnonzero(self.cell[step:] == self.cell[:-step])
+            if not len(left):
+                return
+            yield left, left + step
+
+    def heavy(self):
+        """Nodes, and places in their lists, of every heavy n-gram."""
+        ends = np.searchsorted(self.heavy_cell, np.arange(1 + int(self.heavy_cell.max(initial=-1))), "right")
+        return zip(np.split(self.heavy_node, ends[:-1]), np.split(self.heavy_place, ends[:-1])) if len(ends) else ()
+
+
+def _possible(a_n, a_pos, b_n, b_pos, num: int, den: int) -> np.ndarray:
+    """`_near` for arrays: sizes, and positions of a common n-gram, that allow the threshold."""
+    swap = a_n > b_n
+    small, large = np.minimum(a_n, b_n), np.maximum(a_n, b_n)
+    small_pos, large_pos = np.where(swap, b_pos, a_pos), np.where(swap, a_pos, b_pos)
+    index = small - _at_least(2 * num, num + den, small) + 1
+    return (
+        (small * den >= large * num)
+        & ((small_pos < index) | ((small == large) & (large_pos < index)))
+        & (np.minimum(small - small_pos, large - large_pos) >= _at_least(num, num + den, small + large))
+    )
+
+
+def _candidates(prefixes: pa.ListArray, size: np.ndarray, split: int, num: int, den: int) -> np.ndarray:
+    """Which of the nodes before `split` (rows) can be near which behind it (columns)."""
+    total, lists = len(size), _Lists(prefixes)
+    able = np.zeros((split, total - split), bool)
+    for left, right in lists.rare_pairs():
+        a, b = lists.node[left], lists.node[right]
+        across = (a < split) & (b >= split)
+        left, right, a, b = left[across], right[across], a[across], b[across]
+        fits = _possible(size[a], lists.place[left], size[b], lists.place[right], num, den)
+        able[a[fits], b[fits] - split] = True
+    for nodes, places in lists.heavy():
+        middle = np.searchsorted(nodes, split)
+        a, b = nodes[:middle], nodes[middle:]
+        block = np.ix_(a, b - split)
+        if len(a) and len(b) and not able[block].all():
+            able[block] |= _possible(
+                size[a][:, None], places[:middle][:, None], size[b], places[middle:], num, den
+            )
+    return able
+
+
+def _common(sets: pa.ListArray, split: int, able: np.ndarray) -> np.ndarray:
+    """Numbers of common n-grams of the nodes before `split` with those behind it, where able."""
+    lists = _Lists(sets)
+    shared = np.zeros(able.shape, np.float32)
+    for left, right in lists.rare_pairs():
+        a, b = lists.node[left], lists.node[right]
+        across = (a < split) & (b >= split)
+        a, b = a[across], b[across] - split
+        here = able[a, b]
+        np.add.at(shared, (a[here], b[here]), 1)
+    for at in range(0, int(lists.heavy_cell.max(initial=-1)) + 1, WIDTH):
+        first, end = np.searchsorted(lists.heavy_cell, [at, at + WIDTH])
+        holds = np.zeros((len(sets), min(WIDTH, int(lists.heavy_cell[end - 1]) + 1 - at)), np.float32)
+        holds[lists.heavy_node[first:end], lists.heavy_cell[first:end] - at] = 1
+        shared += holds[:split] @ holds[split:].T
+    return shared.astype(np.int64)  # sums of ones: exact
 
 
 def _meet(num: int, den: int, pairs: bool):
     """All links of two blocks of a component: as pairs, or added up for each node by copies."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block").to_numpy()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        block = table.column("block").to_numpy()
+        # A block that meets itself is taken twice; a pair counts where its first node is earlier.
         one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        sets = table.column("grams").combine_chunks()
-        sigs, size = table.column("sig").to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
-        shared = _shared_grams(sets, one, other)
-        near = shared * den >= (size[one][:, None] + size[other] - shared) * num
+        table, split = table.take(np.append(one, other)), len(one)
+        sigs, copies = table.column("sig").to_numpy(), table.column("copies").to_numpy()
+        sets, prefixes = (table.column(c).combine_chunks() for c in ("grams", "prefix"))
+        size = sets.value_lengths().to_numpy().astype(np.int64)
+        able = _candidates(prefixes, size, split, num, den)
         if low == high:
-            near = np.triu(near, 1)
+            able = np.triu(able, 1)
+        shared = _common(sets, split, able)
+        near = able & (shared * den >= (size[:split, None] + size[split:] - shared) * num)
         if pairs:
-            a, b = (sigs[side[k]] for side, k in zip((one, other), np.nonzero(near)))
+            a, b = np.nonzero(near)
+            a, b = sigs[a], sigs[split:][b]
             return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-        copies, linked = table.column("copies").to_numpy(), np.zeros(len(sigs), np.int64)
-        linked[one] += near @ copies[other]
-        linked[other] += near.T @ copies[one]
+        linked = np.append(near @ copies[split:], near.T @ copies[:split])
         return pa.table({"sig": pa.array(sigs), "linked": pa.array(linked)})
 
     return run
 
 
-def _met(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """All nodes with their copies; those of components with their sets, for every two blocks."""
-    nodes = stored(members.where("n > 0").groupBy("sig").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")
-    ))
-    placed = stored(nodes.join(labels.withColumnRenamed("node", "sig"), "sig"))
+def _met(found: "_Found") -> DataFrame:
+    """Nodes of components with their sets, grouped by component and two blocks that meet.
+
+    A component of one block, as nearly all are, meets once. In others a node goes to the blocks
+    where a prefix n-gram of its own occurs, so a long chain of nodes is not compared with itself
+    throughout.
+    """
+    placed = stored(found.nodes.join(found.labels.withColumnRenamed("node", "sig"), "sig"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_GRAMS)).cast("int")
-    placed = placed.join(stored(placed.groupBy("label").agg(blocks.alias("blocks"))), "label")
-    placed = placed.join(_sets(placed.select("sig"), texts, n), "sig")
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = placed.select("label", "sig", "copies", "grams", block, other)
-    return nodes, met.select(
+    # A row for each component of several blocks only: fewer than nodes by the size of a block.
+    large = stored(placed.groupBy("label").agg(blocks.alias("blocks")).where("blocks > 1"))
+    dealt = placed.join(large, "label", "left").withColumn(
+        "block", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int")
+    )
+    dealt = stored(dealt.select("label", "sig", "copies", "prefix", "block", F.col("blocks").isNotNull().alias("several")))
+    posts = dealt.where("several").select("label", "sig", "block", F.explode("prefix").alias("gram"))
+    where = posts.groupBy("label", "gram").agg(F.array_sort(F.collect_set("block")).alias("places"))
+    where = stored(where.where(F.size("places") > 1))
+    routes = posts.join(where, ["label", "gram"]).groupBy("sig").agg(
+        F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")
+    )
+    own = F.array("block")
+    others = F.explode(F.array_union(own, F.coalesce("places", own))).alias("other")
+    routed = dealt.join(stored(routes), "sig", "left").join(found.sets.dropDuplicates(["sig"]), "sig")
+    met = routed.select("label", "sig", "copies", "prefix", "grams", "block", others)
+    return met.select(
         "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "sig", "copies", "grams",
+        "block", "sig", "copies", "prefix", "grams",
     ).groupBy("label", "low", "high")
 
 
@@ -295,10 +387,10 @@ def near_pairs(
     """All links between different sets as pairs of nodes (a, b), each once; and a row per document
     with its id, n_shingles and node, null without n-grams. Documents of one node link as well."""
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    members, labels = _labelled(texts, n, num, den)
-    pairs = _met(members, labels, texts, n)[1].applyInArrow(_meet(num, den, True), "a long, b long")
+    found = _labelled(texts, n, num, den)
+    pairs = _met(found).applyInArrow(_meet(num, den, True), "a long, b long")
     node = F.when(F.col("n") > 0, F.col("sig")).alias("node")
-    return pairs, members.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), node)
+    return pairs, found.members.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), node)
 
 
 def near_links(
@@ -306,13 +398,14 @@ def near_links(
 ) -> DataFrame:
     """The rows of `near_components` with n_links, the number of other documents linked with each."""
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    members, labels = _labelled(texts, n, num, den)
-    nodes, met = _met(members, labels, texts, n)
-    linked = met.applyInArrow(_meet(num, den, False), "sig long, linked long")
+    found = _labelled(texts, n, num, den)
+    linked = _met(found).applyInArrow(_meet(num, den, False), "sig long, linked long")
     linked = linked.groupBy("sig").agg(F.sum("linked").alias("linked"))
+    # Sets too small to be near another one are no nodes, but have copies.
+    copies = found.members.where("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
     n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0).cast("long"))
-    counts = stored(nodes.join(linked, "sig", "left").select("sig", n_links.alias("n_links")))
-    return _named(members, labels, doc_id, counts)
+    counts = stored(copies.join(linked, "sig", "left").select("sig", n_links.alias("n_links")))
+    return _named(found, doc_id, counts)
 
 
 def near_components(
@@ -323,15 +416,26 @@ def near_components(
     Two documents link when den * intersection >= num * union of their sets of n-grams.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return _named(*_labelled(texts, n, num, den), doc_id)
+    return _named(_labelled(texts, n, num, den), doc_id)
 
 
-def _labelled(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their nodes, and every linked node with its component's label."""
+class _Found(NamedTuple):
+    """What the join gives; all tables are stored."""
+
+    members: DataFrame  # the documents with their nodes
+    nodes: DataFrame  # the sets that can be near others, with their copies and prefixes
+    labels: DataFrame  # every linked node with its component's label
+    sets: DataFrame  # the full sets of all linked nodes and more; a node may come twice
+
+
+def _labelled(texts: DataFrame, n: int, num: int, den: int) -> _Found:
+    """Documents, nodes, and the components of the nodes."""
     members = stored(_prefixes(texts, gram_order(texts, n), n, num, den))
     nodes = stored(
         members.where(F.size("prefix") > 0)
-        .select("sig", "n", "worth", "parts", "prefix").dropDuplicates(["sig"])
+        .groupBy("sig").agg(
+            *(F.first(c).alias(c) for c in ("n", "worth", "parts", "prefix")), F.count(F.lit(1)).alias("copies")
+        )
     )
     # A post is a node's prefix n-gram; size and position travel in one number.
     posts = nodes.select("worth", "sig", "n", F.posexplode("prefix").alias("pos", "gram"))
@@ -352,7 +456,8 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
 
     tried = _pair(shared.where(near("at", "hub_at")), "sig", "hub")
     pairs = stored(_bounded(tried, nodes, num, den))
-    links = stored(_verified(pairs, texts, n, num, den))
+    links, sets = _verified(pairs, texts, n, num, den)
+    links = stored(links)
     labels = components(links)
 
     # N-grams of two nodes are settled: their only pair holds the hub.
@@ -373,14 +478,16 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     more = _bounded(_pair(apart, "node", "other").join(pairs, ["a", "b"], "left_anti"), nodes, num, den)
     more = stored(more)
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, n, num, den))
+        late, found = _verified(more, texts, n, num, den)
+        links, sets = links.unionByName(late), sets.unionByName(found)
         labels = components(links)
-    return members, labels
+    return _Found(members, nodes, labels, sets)
 
 
-def _named(members: DataFrame, labels: DataFrame, doc_id: str, counts: DataFrame | None = None) -> DataFrame:
+def _named(found: _Found, doc_id: str, counts: DataFrame | None = None) -> DataFrame:
     """Every document with its component's smallest id, and its node's n_links if there are counts."""
-    named = members.where("n > 0").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    members = found.members
+    named = members.where("n > 0").join(found.labels.withColumnRenamed("node", "sig"), "sig", "left")
     more = [] if counts is None else ["n_links"]
     if more:
         named = named.join(counts, "sig")
@@ -388,10 +495,10 @@ def _named(members: DataFrame, labels: DataFrame, doc_id: str, counts: DataFrame
     # Stored, so that the join below is one of two plain tables, whose hot keys Spark splits.
     smallest = stored(named.groupBy("label").agg(F.min("id").alias("component_id")))
     none = [F.lit(0).cast("long").alias(name) for name in more]
-    alone = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), *none, F.col("id").alias("component_id"))
+    alone = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), *none)
     return (
         named.join(smallest, "label")
-        .select("id", F.col("n").alias("n_shingles"), *more, "component_id")
+        .select("id", F.col("n").alias("n_shingles"), "component_id", *more)
         .unionByName(alone)
         .withColumnRenamed("id", doc_id)
     )

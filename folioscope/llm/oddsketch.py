@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope.llm import common
 from folioscope.llm.common import stored
 from folioscope.llm.components import components
-from folioscope.llm.jaccard import _sets as node_sets, _shared_grams as shared_grams, set_print, shingle_sets
+from folioscope.llm.jaccard import _sets as node_sets, set_print, shingle_sets
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
@@ -221,6 +221,24 @@ def _near_others(num: int, den: int):
     return run
 
 
+def shared_grams(column: pa.ListArray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers of common n-grams of the sets at some places with those at others."""
+    grams, sizes = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    cells, often = np.unique(grams, return_inverse=True, return_counts=True)[1:]
+    kept = often[cells] > 1
+    rows, cells = rows[kept], np.unique(cells[kept], return_inverse=True)[1]
+    order = np.argsort(cells, kind="stable")
+    rows, cells = rows[order], cells[order]
+    shared, width = np.zeros((len(one), len(other)), np.int64), 4096
+    for at in range(0, int(cells[-1]) + 1 if len(cells) else 0, width):
+        first, end = np.searchsorted(cells, [at, at + width])
+        holds = np.zeros((len(sizes), width), np.float32)
+        holds[rows[first:end], cells[first:end] - at] = 1
+        shared += (holds[one] @ holds[other].T).astype(np.int64)
+    return shared
+
+
 def _met(num: int, den: int):
     """The links that two blocks add: close nodes of different components, compared on full sets.
 

@@ -98,11 +98,12 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose sets of 3-word shingles have a Jaccard of 0.9 or more."""
-    return jaccard.near_components(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    """Links and components of documents whose sets of 3-word shingles have a Jaccard of 0.9 or more."""
+    return jaccard.near_links(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
-ORACLES["op2_ngram_jaccard"] = r"""
+#: Components by all pairs; further columns of a document come in front of FROM and at the end.
+_COMPONENTS_SQL = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
@@ -129,6 +130,10 @@ FROM d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+ORACLES["op2_ngram_jaccard"] = _COMPONENTS_SQL.replace(
+    "c.component_id\nFROM", "c.component_id, coalesce(o.n_links, 0) AS n_links\nFROM"
+) + "LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x) o USING (doc_id)"
+
 
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +329,7 @@ def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near_oracle() -> str:
     """The oracle of the n-gram join at other parameters, with the first of each group marked."""
-    text = ORACLES["op2_ngram_jaccard"]
+    text = _COMPONENTS_SQL
     for old, new in (("w[i:i + 2]", "w[i:i + 4]"), ("len(w) - 2, 1", "len(w) - 4, 1"), (">= 90 *", ">= 85 *")):
         assert text.count(old) == 1
         text = text.replace(old, new)

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import jaccard
@@ -146,3 +147,40 @@ def test_all_links_inside_a_component(spark, monkeypatch):
     assert got == want
     counts = {r.doc_id: r.n_links for r in jaccard.near_links(docs).collect()}
     assert counts == {i: sum(i in p for p in want) for i in sets}
+
+
+@pytest.mark.parametrize("heavy", [2, 8, 64])
+@pytest.mark.parametrize("same", [True, False])
+def test_meetings_of_blocks_match_brute_force(monkeypatch, heavy, same):
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "WIDTH", 64)
+    random.seed(heavy)
+    sets = []
+    for base in ([random.getrandbits(40) for _ in range(80)] for _ in range(4)):
+        for _ in range(15):
+            grams = set(base)
+            for _ in range(random.randint(0, 6)):
+                grams.discard(random.choice(base))
+                grams.add(random.randrange(12))
+            sets.append(sorted(grams))
+    random.shuffle(sets)
+    # Any order of n-grams serves; here large ones are rare.
+    keep = [len(s) - -(-9 * len(s) // 10) + 1 for s in sets]
+    table = pa.table({
+        "low": [0] * len(sets), "high": [0 if same else 1] * len(sets),
+        "block": [0 if same else i % 2 for i in range(len(sets))],
+        "sig": list(range(len(sets))), "copies": [1 + i % 3 for i in range(len(sets))],
+        "prefix": [sorted(s, reverse=True)[:k] for s, k in zip(sets, keep)], "grams": sets,
+    })
+    want = {
+        (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+        if (same or (i + j) % 2) and 10 * len(set(sets[i]) & set(sets[j])) >= 9 * len(set(sets[i]) | set(sets[j]))
+    }
+    assert len(want) > 20
+    pairs = jaccard._meet(9, 10, True)(table).to_pylist()
+    assert sorted((p["a"], p["b"]) for p in pairs) == sorted(want)
+    counts = defaultdict(int)
+    for row in jaccard._meet(9, 10, False)(table).to_pylist():
+        counts[row["sig"]] += row["linked"]
+    for i in range(len(sets)):
+        assert counts[i] == sum(1 + (b if a == i else a) % 3 for a, b in want if i in (a, b))
