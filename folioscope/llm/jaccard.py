@@ -404,8 +404,10 @@ def near_links(
     # Sets too small to be near another one are no nodes, but have copies.
     copies = found.members.where("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
     n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0).cast("long"))
-    counts = stored(copies.join(linked, "sig", "left").select("sig", n_links.alias("n_links")))
-    return _named(found, doc_id, counts)
+    counts = copies.join(linked, "sig", "left").select("sig", n_links.alias("n_links"))
+    labels = found.labels.withColumnRenamed("node", "sig")
+    # One stored row for each set, so that documents meet it in one join of two plain tables.
+    return _named(found.members, stored(counts.join(labels, "sig", "left")), doc_id)
 
 
 def near_components(
@@ -416,7 +418,8 @@ def near_components(
     Two documents link when den * intersection >= num * union of their sets of n-grams.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return _named(_labelled(texts, n, num, den), doc_id)
+    found = _labelled(texts, n, num, den)
+    return _named(found.members, found.labels.withColumnRenamed("node", "sig"), doc_id)
 
 
 class _Found(NamedTuple):
@@ -484,13 +487,10 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int) -> _Found:
     return _Found(members, nodes, labels, sets)
 
 
-def _named(found: _Found, doc_id: str, counts: DataFrame | None = None) -> DataFrame:
-    """Every document with its component's smallest id, and its node's n_links if there are counts."""
-    members = found.members
-    named = members.where("n > 0").join(found.labels.withColumnRenamed("node", "sig"), "sig", "left")
-    more = [] if counts is None else ["n_links"]
-    if more:
-        named = named.join(counts, "sig")
+def _named(members: DataFrame, marks: DataFrame, doc_id: str) -> DataFrame:
+    """Every document with its component's smallest id, and n_links if the marks of sets have it."""
+    more = ["n_links"] if "n_links" in marks.columns else []
+    named = members.where("n > 0").join(marks, "sig", "left")
     named = named.select("id", "n", *more, F.coalesce("label", "sig").alias("label"))
     # Stored, so that the join below is one of two plain tables, whose hot keys Spark splits.
     smallest = stored(named.groupBy("label").agg(F.min("id").alias("component_id")))
