@@ -1,26 +1,38 @@
 """A persisted inverted index for repeated word searches.
 
-Postings carry positions and the chunk's length, so words and phrases are scored from the
-buckets of the query's words alone. A slim table of chunk lengths gives the totals of any
-scope. Texts are read when the index is written and never by a search.
+Chunks are stored with their words and a number. A block is one word in some chunks that were
+read together: their numbers, lengths and the word's positions in them. Tasks write the blocks of
+their own chunks in runs sorted by bucket and word, so postings are neither shuffled nor sorted as
+rows, and a search reads the pages that may hold the words of the query. Keys and lengths of the
+chunks, without their words, give names and totals of any scope.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as text_fn
 from folioscope.operators import search
+from folioscope.session import ship_package
+from folioscope.sources.work import stored
 
 BUCKETS = 64
 
 
 @dataclass
 class WordIndex:
-    """The tables of an index, its chunk key and the bucket count it was written with."""
+    """The tables of an index, its chunk key and the bucket count it was written with.
+
+    `lengths` has the chunks that a search may find, `postings` maybe those of more.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -30,46 +42,105 @@ class WordIndex:
     def within(self, contents: DataFrame) -> WordIndex:
         """The index of the chunks of some contents."""
         kept = contents.select("content_id").distinct()
-        return WordIndex(
-            self.postings.join(kept, "content_id", "left_semi"),
-            self.lengths.join(kept, "content_id", "left_semi"),
-            self.key, self.buckets,
-        )
+        lengths = self.lengths.join(kept, "content_id", "left_semi")
+        return WordIndex(self.postings, lengths, self.key, self.buckets)
 
 
 def word_bucket(word: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.crc32(F.encode(word, "UTF-8")), F.lit(buckets)).cast("int")
 
 
-def postings(chunks: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """One row per word and chunk: where it occurs and how long the chunk is."""
-    words = text_fn.code_words(F.col("content"))
-    # Words are dealt out in their chunk's row; the grouping finds them in place, so no row per
-    # word is shuffled.
-    dealt = chunks.select(*key, words.alias("words")).repartition(*key)
-    exploded = dealt.select(
-        *key, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("at", "word")
-    )
-    # A group is one word of one chunk, whose size the chunker bounds.
-    return (
-        exploded.groupBy(*key, "length", "word")
-        .agg(F.array_sort(F.collect_list("at")).alias("positions"))
-        .withColumn("bucket", word_bucket(F.col("word"), buckets))
+#: Words that are grouped at a time, which bounds the memory of a task.
+GROUPED = 2_000_000
+BLOCKS = (
+    "word string, at long, n long, most int, shortest long, "
+    "entries array<struct<ordinal:long,length:long,positions:array<int>>>, bucket int"
+)
+
+
+def _grouped(part: pa.RecordBatch, window: int | None, buckets: int) -> pa.RecordBatch:
+    """The blocks of some chunks, ordered by bucket, word and window."""
+    held = part.column("words")
+    starts = held.offsets.to_numpy()
+    coded = held.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    hashed = np.array([zlib.crc32(name.encode()) % buckets for name in names], np.int32)
+    # Numbers of words in the order of the run.
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=lambda i: (hashed[i], names[i]))] = np.arange(len(names))
+    word = place[coded.indices.to_numpy()]
+    row = np.repeat(np.arange(part.num_rows), np.diff(starts))
+    position = np.arange(len(row)) + starts[0] - starts[row]
+    order = np.argsort(word, kind="stable")
+    word, row, position = word[order], row[order], position[order].astype(np.int32)
+    ordinal = part.column("ordinal").to_numpy()
+    at = ordinal // window if window else np.zeros(len(ordinal), np.int64)
+    length = part.column("length").to_numpy()
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return np.flatnonzero(new)
+
+    entry = changes(word, row)  # one word in one chunk
+    size = np.diff(np.append(entry, len(word)))
+    owner, said = row[entry], word[entry]
+    block = changes(said, at[owner])
+    ends = np.append(block, len(entry)).astype(np.int32)
+    positions = pa.ListArray.from_arrays(np.append(entry, len(word)).astype(np.int32), position)
+    entries = pa.StructArray.from_arrays(
+        [pa.array(ordinal[owner]), pa.array(length[owner]), positions], ["ordinal", "length", "positions"]
     )
+    back = np.argsort(place)[said[block]]
+    columns = {
+        "word": pa.array(names, pa.string()).take(pa.array(back)),
+        "at": pa.array(at[owner[block]]),
+        "n": pa.array(np.diff(ends).astype(np.int64)),
+        "most": pa.array(np.maximum.reduceat(size, block).astype(np.int32)),
+        "shortest": pa.array(np.minimum.reduceat(length[owner], block)),
+        "entries": pa.ListArray.from_arrays(ends, entries),
+        "bucket": pa.array(hashed[back]),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def word_blocks(docs: DataFrame, buckets: int = BUCKETS, window: int | None = None) -> DataFrame:
+    """A row per word and group of chunks (ordinal, length, words) that a task reads together, or
+    per word and window of ordinals in such a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words").offsets.to_numpy()
+            first = 0
+            while first < batch.num_rows:
+                last = int(np.searchsorted(words, words[first] + GROUPED, "right")) - 1
+                part = batch.slice(first, max(1, last - first))
+                first += part.num_rows
+                if len(part.column("words").flatten()):
+                    yield _grouped(part, window, buckets)
+
+    ship_package(docs.sparkSession)
+    return docs.select("ordinal", "length", "words").mapInArrow(run, BLOCKS)
+
+
+def numbered(chunks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Chunks with their words and a number; texts are dealt out, which takes less than their words."""
+    dealt = chunks.select(*key, "content").repartition(*key)
+    words = dealt.select(*key, text_fn.code_words(F.col("content")).alias("words"))
+    length = F.size("words").cast("long")
+    return words.select(*key, length.alias("length"), "words", F.monotonically_increasing_id().alias("ordinal"))
 
 
-def write_index(chunks: DataFrame, key: Sequence[str], folder: str, buckets: int = BUCKETS) -> None:
-    """Write postings by word bucket, sorted by word, and the lengths of all chunks.
+def postings(chunks: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Where every word of the chunks occurs."""
+    return word_blocks(numbered(chunks, key), buckets)
 
-    A frequent word would make its bucket one huge partition; the rebalance hint lets AQE
-    split such buckets over several files. Sorted rows let row groups without a word go unread.
-    """
-    rows = postings(chunks, key, buckets).hint("rebalance", "bucket")
-    rows.sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{folder}/postings"
-    )
-    length = F.size(text_fn.code_words(F.col("content"))).cast("long")
-    chunks.select(*key, length.alias("length")).write.mode("overwrite").parquet(f"{folder}/lengths")
+
+def write_index(chunks: DataFrame, key: Sequence[str], folder: str, buckets: int = BUCKETS) -> None:
+    """Write the chunks with their words, then the postings in runs by word bucket and word."""
+    numbered(chunks, key).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/docs")
+    docs = chunks.sparkSession.read.parquet(f"{folder}/docs")
+    word_blocks(docs, buckets).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
     made = chunks.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(",".join(key)).alias("key"))
     made.write.mode("overwrite").parquet(f"{folder}/about")
 
@@ -77,7 +148,8 @@ def write_index(chunks: DataFrame, key: Sequence[str], folder: str, buckets: int
 def read_index(spark: SparkSession, folder: str) -> WordIndex:
     about = spark.read.parquet(f"{folder}/about").first()
     return WordIndex(
-        spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"),
+        spark.read.schema(BLOCKS).parquet(f"{folder}/postings"),
+        spark.read.parquet(f"{folder}/docs").select(*about["key"].split(","), "length", "ordinal"),
         about["key"].split(","), about["buckets"],
     )
 
@@ -108,11 +180,16 @@ def score_postings(
         F.array(*[word_bucket(F.lit(w), index.buckets) for w in words]).alias("b")
     ).first()["b"]
     hits = index.postings.where(F.col("bucket").isin(sorted(set(numbers))) & F.col("word").isin(words))
+    each = hits.select("word", F.explode("entries").alias("e"))
     # A group has at most one row for each word of the query.
-    places = F.map_from_entries(F.collect_list(F.struct("word", "positions")))
-    held = hits.groupBy(*index.key, "length").agg(places.alias("places"))
-    counted = held.select(
-        *index.key, "length", *[unit_count(F.col("places"), u).alias(f"tf{i}") for i, u in enumerate(units)]
+    places = F.map_from_entries(F.collect_list(F.struct("word", "e.positions")))
+    held = each.groupBy(F.col("e.ordinal").alias("ordinal")).agg(places.alias("places"))
+    counts = held.select("ordinal", *[unit_count(F.col("places"), u).alias(f"tf{i}") for i, u in enumerate(units)])
+    some = [F.col(f"tf{i}") > 0 for i in range(len(units))]
+    # Statistics and scores read the same counts.
+    counted = stored(
+        counts.where(reduce(or_, some)).join(index.lengths, "ordinal").select(*index.key, "length", *counts.columns[1:]),
+        "counts",
     )
     found = [F.col(f"tf{i}") for i in range(len(units))]
     frequent = counted.agg(
@@ -121,7 +198,7 @@ def score_postings(
     totals = index.lengths.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).alias("s")
     ).select("s").scalar()
-    scored = counted.where(sum(found[1:], found[0]) > 0).withColumn("_d", frequent).withColumn("_s", totals)
+    scored = counted.withColumn("_d", frequent).withColumn("_s", totals)
     average = F.col("_s.total") / F.col("_s.n")
     parts = [
         search.idf(F.col("_s.n"), F.col(f"_d.df{i}")) * search.term_weight(tf, F.col("length"), average, k1, b)
