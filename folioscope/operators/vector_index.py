@@ -36,6 +36,8 @@ PARTS, CODE_WORDS = 16, 64
 SAMPLE, MOST_LISTS = 200_000, 4096
 #: Candidates for each row asked for, lists that an exact search tries first.
 RERANK, FIRST_LISTS = 20, 16
+#: Distances that a task holds at a time.
+CELLS = 1 << 20
 #: Rows and queries of the sample that says how many lists to read, and the share of neighbours wanted.
 TRIED_ROWS, TRIED, NEIGHBOURS, SHARE = 4000, 200, 10, 0.97
 
@@ -87,7 +89,15 @@ def _lists_for(rows: np.ndarray, centres: np.ndarray) -> int:
 
 
 def _nearest_row(rows: np.ndarray, among: np.ndarray) -> np.ndarray:
-    return np.argmin((among * among).sum(1) - 2 * rows @ among.T, axis=1)
+    """The nearest of some points for each row; at most CELLS distances are held at a time."""
+    own, step = (among * among).sum(1), max(1, CELLS // len(among))
+    parts = [np.argmin(own - 2 * rows[a : a + step] @ among.T, axis=1) for a in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _arrays(rows: np.ndarray) -> pa.ListArray:
+    """Rows as an Arrow column of lists."""
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
 
 
 class VectorIndex:
@@ -146,7 +156,7 @@ class VectorIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = _unit(_matrix(batch.column("v"))) if batch.num_rows else np.zeros((0, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.float64()))], ["v"])
+                yield pa.RecordBatch.from_arrays([_arrays(rows)], ["v"])
 
         ship_package(frame.sparkSession)
         return frame.mapInArrow(run, "v array<double>")
@@ -160,7 +170,7 @@ class VectorIndex:
                 rows = _matrix(batch.column("v"))
                 left = rows - centres[_nearest_row(rows, centres)]
                 cut = _parts(left, parts).reshape(-1, -(-rows.shape[1] // parts))
-                yield pa.RecordBatch.from_arrays([pa.array(cut.tolist(), pa.list_(pa.float64()))], ["v"])
+                yield pa.RecordBatch.from_arrays([_arrays(cut)], ["v"])
 
         return units.mapInArrow(run, "v array<double>")
 
@@ -181,7 +191,7 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(name) for name in held), pa.array(lists.astype(np.int32)),
-                        pa.array(np.linalg.norm(left, axis=1)), pa.array(codes.tolist(), pa.list_(pa.int32())),
+                        pa.array(np.linalg.norm(left, axis=1)), _arrays(codes.astype(np.int32)),
                     ],
                     names,
                 )

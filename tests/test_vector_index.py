@@ -93,3 +93,21 @@ def test_query_finds_most_of_the_nearest(spark, sf_dir):
     best = search.top_k(search.vector_score(vectors, retrieval._query_vector(spark, sf_dir)), "vector", ["vec_id"], 30)
     assert len(found & {r.vec_id for r in best.collect()}) >= 27
     assert vectors.where(F.col("vec_id").isin(sorted(found))).count() == 30
+
+
+def test_distances_are_held_in_bounded_parts(monkeypatch):
+    from folioscope.operators import vector_index
+
+    class Rows(np.ndarray):
+        def __matmul__(self, other):
+            held.append(self.shape[0] * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    held = []
+    monkeypatch.setattr(vector_index, "CELLS", 64, raising=False)
+    rng = np.random.default_rng(5)
+    rows, among = rng.normal(size=(100, 6)), rng.normal(size=(16, 6))
+    got = vector_index._nearest_row(rows.view(Rows), among)
+    assert got.tolist() == ((rows[:, None] - among) ** 2).sum(2).argmin(1).tolist()
+    assert max(held) <= 64
+    assert vector_index._nearest_row(rows[:0], among).tolist() == []
