@@ -7,9 +7,9 @@ chunks of the window for any corpus average, so a search first adds up the bound
 (slim columns only), scores the most promising windows, and then reads just the windows whose bound
 reaches the k-th best score found. The result is exact.
 
-A replaced or deleted chunk stays in its segment and gets a tombstone; the counts that it takes
-from the chunk frequencies of its words are written beside it, so statistics are those of live
-chunks. `merge` rewrites segments of one size class as one, without the dead chunks.
+A replaced or deleted chunk stays in its segment and gets a tombstone, which holds no words; a
+search takes the tombstones off the chunk frequencies of its own words, so statistics are those of
+live chunks. `merge` rewrites segments of one size class as one, without the dead chunks.
 
 A manifest per generation, written last, names the live segments. A write that fails before it
 leaves nothing that a reader sees, and the next one overwrites its folders. One writer at a time;
@@ -35,10 +35,7 @@ FANOUT = 8
 NAMED_WINDOWS = 1000
 
 _MANIFEST = "segment int, docs long, total long, removals array<int>"
-_BLOCKS = (
-    "word string, at long, n long, most int, shortest long, "
-    "entries array<struct<ordinal:long,length:long,positions:array<int>>>, segment int, bucket int"
-)
+_BLOCKS = f"{postings.BLOCKS}, segment int"
 
 
 def _terms(units: Sequence[Sequence[str]]) -> list[str]:
@@ -107,22 +104,22 @@ class SegmentedIndex:
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(f"{self.folder}/{name}").where(F.col("segment").isin(sorted(self.segments)))
 
-    def _dead(self, name: str, schema: str) -> DataFrame:
-        """Tombstones or lost word counts of the live segments."""
+    def _tombstones(self) -> DataFrame:
+        schema = "segment int, ordinal long, length long"
         if not self.removals or not self.segments:
             return self.spark.createDataFrame([], schema)
-        return self._of_segments(name).where(F.col("gen").isin(self.removals))
-
-    def _tombstones(self) -> DataFrame:
-        return self._dead("removed", "segment int, ordinal long, length long")
+        return self._of_segments("removed", f"{schema}, gen int").where(F.col("gen").isin(self.removals)).drop("gen")
 
     def live(self) -> DataFrame:
         """Chunks of the index: segment, ordinal, key, length and words."""
         if not self.segments:
             keys = self.spark.createDataFrame([], "segment int, ordinal long, length long, words array<string>")
             return keys.select("*", *[F.lit(None).alias(name) for name in self.key])
+        return self._alive(self._of_segments("docs"))
+
+    def _alive(self, docs: DataFrame) -> DataFrame:
         dead = self._tombstones().select("segment", "ordinal")
-        return self._of_segments("docs").join(dead, ["segment", "ordinal"], "left_anti")
+        return docs.join(dead, ["segment", "ordinal"], "left_anti")
 
     # --- writes -----------------------------------------------------------------------------
 
@@ -146,49 +143,37 @@ class SegmentedIndex:
             removals.append(generation)
         if chunks is not None:
             words = text_fn.code_words(F.col("content"))
-            segments |= self._segment(chunks.select(*self.key, words.alias("words")), generation)
+            docs = chunks.select(*self.key, words.alias("words")).select(*self.key, *self._packed())
+            segments |= self._segment(docs, generation)
         self._commit(generation, segments, removals)
 
+    @staticmethod
+    def _packed() -> list[Column]:
+        """Length and words in one line, which travels in less room than a list."""
+        return [F.size("words").cast("long").alias("length"), F.array_join("words", " ").alias("line")]
+
     def _segment(self, docs: DataFrame, number: int) -> dict[int, tuple[int, int]]:
-        """Write the chunks and their blocks; nothing but two totals comes back."""
-        length = F.size("words").cast("long")
-        ordered = docs.select(*self.key, length.alias("length"), "words").repartitionByRange("length", *self.key)
+        """Write the chunks (packed) and their blocks; nothing but two totals comes back."""
+        ordered = docs.select(*self.key, "length", "line").repartitionByRange("length", *self.key)
         ordered = ordered.sortWithinPartitions("length", *self.key)
+        words = F.filter(F.split("line", " "), lambda w: w != "").alias("words")
         place = f"{self.folder}/docs/segment={number}"
-        ordered.withColumn("ordinal", F.monotonically_increasing_id()).write.mode("overwrite").parquet(place)
+        numbered = ordered.select(*self.key, "length", words, F.monotonically_increasing_id().alias("ordinal"))
+        numbered.write.mode("overwrite").option("compression", "zstd").parquet(place)
         stored = self.spark.read.parquet(place)
-        blocks = self._blocks(stored).hint("rebalance", "bucket")
-        blocks.sortWithinPartitions("bucket", "word", "at").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.folder}/blocks/segment={number}"
-        )
+        # Chunks are stored in the order of their windows, so blocks are made where a chunk is read;
+        # a window that two tasks read has two blocks a word.
+        postings.word_blocks(stored, self.buckets, self.window).write.mode("overwrite").option(
+            "compression", "zstd"
+        ).parquet(f"{self.folder}/blocks/segment={number}")
         row = stored.agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("total")).first()
         return {number: (row.docs, row.total)} if row.docs else {}
 
-    def _blocks(self, docs: DataFrame) -> DataFrame:
-        """A row per word and window. Words travel in their chunk's row, not one by one: the
-        groupings below find their rows dealt by window already."""
-        window = F.floor(F.col("ordinal") / self.window).alias("at")
-        dealt = docs.select(window, "ordinal", "length", "words").repartition("at")
-        each = dealt.select("at", "ordinal", "length", F.posexplode("words").alias("position", "word"))
-        entries = each.groupBy("at", "ordinal", "length", "word").agg(
-            F.array_sort(F.collect_list("position")).alias("positions")
-        )
-        # At most `window` entries.
-        return entries.groupBy("at", "word").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.min("length").alias("shortest"),
-            F.collect_list(F.struct("ordinal", "length", "positions")).alias("entries"),
-        ).withColumn("bucket", postings.word_bucket(F.col("word"), self.buckets))
-
     def _remove(self, keys: DataFrame, generation: int) -> None:
-        found = self.live().join(keys.select(*self.key).distinct(), self.key, "left_semi")
+        live = self._alive(self._of_segments("docs").select("segment", "ordinal", "length", *self.key))
+        found = live.join(keys.select(*self.key).distinct(), self.key, "left_semi")
         place = f"{self.folder}/removed/gen={generation}"
-        found.select("segment", "ordinal", "length", F.array_distinct("words").alias("words")).write.mode(
-            "overwrite"
-        ).parquet(place)
-        gone = self.spark.read.parquet(place).select("segment", F.explode("words").alias("word"))
-        gone.groupBy("segment", "word").agg(F.count(F.lit(1)).alias("n")).sort("word").write.mode(
-            "overwrite"
-        ).parquet(f"{self.folder}/lost/gen={generation}")
+        found.select("segment", "ordinal", "length").write.mode("overwrite").parquet(place)
 
     def merge(self, fanout: int = FANOUT) -> list[int]:
         """Rewrite the segments of each size class that has `fanout` of them; their numbers."""
@@ -200,7 +185,8 @@ class SegmentedIndex:
         merged = sorted(n for numbers in classes.values() if len(numbers) >= fanout for n in numbers)
         if merged:
             generation = self.generation + 1
-            docs = self.live().where(F.col("segment").isin(merged)).select(*self.key, "words")
+            docs = self._of_segments("docs").where(F.col("segment").isin(merged))
+            docs = self._alive(docs.select("segment", "ordinal", *self.key, *self._packed()))
             kept = {n: size for n, size in self.segments.items() if n not in merged}
             self._commit(generation, kept | self._segment(docs, generation), self.removals)
         return merged
@@ -208,7 +194,7 @@ class SegmentedIndex:
     # --- search -----------------------------------------------------------------------------
 
     def _hits(self, words: Sequence[str]) -> DataFrame:
-        """Blocks of some words: only their buckets are listed, only their row groups read."""
+        """Blocks of some words: runs are sorted, so only pages that may hold them are read."""
         numbers = self.spark.range(1).select(
             F.array(*[postings.word_bucket(F.lit(w), self.buckets) for w in words]).alias("b")
         ).first()["b"]
@@ -229,8 +215,11 @@ class SegmentedIndex:
         dead = self._tombstones().agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).first()
         words = _terms(units)
         held = {w: 0 for w in words}
-        lost = self._dead("lost", "segment int, word string, n long").where(F.col("word").isin(words))
-        counted = self._hits(words).select("word", "n").unionByName(lost.select("word", (-F.col("n")).alias("n")))
+        counted = self._hits(words).select("word", "n")
+        if dead.n:
+            each = self._hits(words).select("segment", "word", F.explode("entries.ordinal").alias("ordinal"))
+            lost = each.join(self._tombstones().select("segment", "ordinal"), ["segment", "ordinal"], "left_semi")
+            counted = counted.unionByName(lost.select("word", F.lit(-1).cast("long").alias("n")))
         held |= {row.word: row.n for row in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
         phrases = [i for i, unit in enumerate(units) if len(unit) > 1]
         counts = [held[unit[0]] for unit in units]
@@ -253,7 +242,7 @@ class SegmentedIndex:
         is_word = {word: F.col("word") == word for word in words}
         windows = self._hits(words).groupBy("segment", "at").agg(
             *[F.max(F.when(is_word[w], F.col("most"))).alias(f"most{i}") for w, i in name.items()],
-            *[F.max(F.when(is_word[w], F.col("shortest"))).alias(f"shortest{i}") for w, i in name.items()],
+            *[F.min(F.when(is_word[w], F.col("shortest"))).alias(f"shortest{i}") for w, i in name.items()],
         )
         parts = []
         for i, unit in enumerate(units):

@@ -140,3 +140,33 @@ def test_empty_tables_and_texts(spark, index):
 def test_postings_group_words_without_a_second_shuffle(spark):
     plan = postings.postings(frame(spark, made(1, 5)), KEY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_blocks_are_written_without_shuffling_postings(spark):
+    docs = spark.createDataFrame([(k, 3, ["a", "b", "a"]) for k in range(5)], "ordinal long, length long, words array<string>")
+    blocks = postings.word_blocks(docs, 4, 2)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for row in blocks.collect():
+        assert row.n == len(row.entries) and row.shortest == 3 and row.most == (2 if row.word == "a" else 1)
+        for e in row.entries:
+            assert e.ordinal // 2 == row["at"]
+            found[row.word, e.ordinal] = e.positions
+    assert found == {(w, k): p for k in range(5) for w, p in (("a", [0, 2]), ("b", [1]))}
+
+
+def test_words_are_grouped_in_bounded_parts(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(0, 0, []), (1, 4, list("abca")), (2, 0, []), (3, 1, ["a"]), (4, 2, ["c", "é"])],
+        "ordinal long, length long, words array<string>",
+    ).coalesce(1)
+    monkeypatch.setattr(postings, "GROUPED", 2)
+    found = sorted((r.word, e.ordinal, tuple(e.positions)) for r in postings.word_blocks(docs).collect() for e in r.entries)
+    assert found == [("a", 1, (0, 3)), ("a", 3, (0,)), ("b", 1, (1,)), ("c", 1, (2,)), ("c", 4, (0,)), ("é", 4, (1,))]
+
+
+def test_a_tombstone_holds_no_words(spark, index, tmp_path):
+    index.add(frame(spark, made(1, 20)))
+    index.delete(frame(spark, made(1, 5)))
+    assert spark.read.parquet(str(tmp_path / "words" / "removed")).columns == ["segment", "ordinal", "length", "gen"]
+    check(spark, index, made(1, 20)[5:])
