@@ -75,13 +75,43 @@ def bm25(
     """
     if not terms:
         return chunks.withColumn(out, F.lit(None).cast("double"))
-    stats = corpus_stats(chunks, terms)
+    words = F.col("words")
+    counts = [text_fn.padded_term_count(words, t) for t in terms]
+    return _scored(chunks, corpus_stats(chunks, terms), text_fn.padded_count(words), counts, k1, b, out)
+
+
+def word_scores(
+    chunks: DataFrame, terms: Sequence[str], keep: Sequence[str], k1: float = K1, b: float = B, out: str = "bm25"
+) -> DataFrame:
+    """The columns to keep and the BM25 score of every chunk (with `content`).
+
+    Cutting and reading texts costs more than all else and would run for the statistics and again
+    for the scores, so lengths and counts are stored in between.
+    """
+    if not terms:
+        return chunks.select(*keep, F.lit(None).cast("double").alias(out))
+    words = F.col("words")
+    named = [f"_tf{i}" for i in range(len(terms))]
+    counted = stored(
+        with_words(chunks).select(
+            *keep, text_fn.padded_count(words).alias("_length"),
+            *[text_fn.padded_term_count(words, t).alias(name) for t, name in zip(terms, named)],
+        ),
+        "counts",
+    )
+    held = [F.count_if(F.col(name) > 0).alias(f"df{i}") for i, name in enumerate(named)]
+    stats = counted.agg(F.count("*").alias("n"), F.sum("_length").alias("total"), *held)
+    counts = [F.col(name) for name in named]
+    return _scored(counted, stats, F.col("_length"), counts, k1, b, out).select(*keep, out)
+
+
+def _scored(
+    chunks: DataFrame, stats: DataFrame, length: Column, counts: Sequence[Column], k1: float, b: float, out: str
+) -> DataFrame:
     fields = [F.col(c) for c in stats.columns]
     scored = chunks.withColumn("_stats", stats.select(F.struct(*fields)).scalar())
-    words, s = F.col("words"), F.col("_stats")
-    length = text_fn.padded_count(words)
+    s = F.col("_stats")
     average = s["total"] / s["n"]
-    counts = [text_fn.padded_term_count(words, t) for t in terms]
     parts = [
         idf(s["n"], s[f"df{i}"]) * term_weight(tf, length, average, k1, b)
         for i, tf in enumerate(counts)
@@ -249,7 +279,8 @@ def hybrid_search(
     inside = chunks.join(wanted, "content_id", "left_semi")
     key = ["content_id", "start_line", "end_line"]
     if words is None:
-        scored = vector_score(bm25(with_words(inside), terms), query_vector)
+        compared = vector_score(inside.select(*key, "content", "embedding"), query_vector)
+        scored = word_scores(compared, terms, [*key, "vector"])
     else:
         scored = vector_score(inside.select(*key, "embedding"), query_vector)
         scored = scored.join(words.select(*key, "bm25"), key, "left")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.operators import chunking, context, postings, search
+from folioscope.operators import chunking, context, ingest, postings, search
 from folioscope.operators.segments import SegmentedIndex
 from folioscope.operators.vector_index import VectorIndex
 from folioscope.queries import sql
 from folioscope.sources import tables
-from folioscope.sources.work import work_folder
+from folioscope.sources.work import stored, work_folder
 
 QUERY = '"de la" theUnd'
 PHRASE, WORDS = ("de", "la"), ["the", "und"]
@@ -23,9 +23,9 @@ def _query_vector(spark: SparkSession, folder: str) -> list[float]:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = search.with_words(tables.corpus_chunks(spark, folder).select(*KEY, "content"))
-    scored = search.bm25(chunks, search.query_terms(spark, QUERY))
-    return search.top_k(scored.select(*KEY, "bm25"), "bm25", KEY, 50)
+    chunks = tables.corpus_chunks(spark, folder).select(*KEY, "content")
+    scored = search.word_scores(chunks, search.query_terms(spark, QUERY), KEY)
+    return search.top_k(scored, "bm25", KEY, 50)
 
 
 def bm25_postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,9 +71,9 @@ def ann_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = search.with_words(tables.corpus_chunks(spark, folder))
-    scored = search.bm25(chunks, search.query_terms(spark, QUERY))
-    return search.vector_score(scored, _query_vector(spark, folder))
+    chunks = tables.corpus_chunks(spark, folder).select(*KEY, "content", "embedding")
+    compared = search.vector_score(chunks, _query_vector(spark, folder))
+    return search.word_scores(compared, search.query_terms(spark, QUERY), [*KEY, "vector"])
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,8 +82,8 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 def dedup_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Best disjoint chunks of every file for a word search, over all matching chunks."""
-    chunks = search.with_words(tables.corpus_chunks(spark, folder).select(*KEY, "content"))
-    scored = search.bm25(chunks, search.query_terms(spark, QUERY), out="score")
+    chunks = tables.corpus_chunks(spark, folder).select(*KEY, "content")
+    scored = search.word_scores(chunks, search.query_terms(spark, QUERY), KEY, out="score")
     rows = scored.where(F.col("score").isNotNull()).select(*KEY, "score")
     return search.drop_overlaps(rows, ["content_id"])
 
@@ -160,12 +160,13 @@ def context_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def _search_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The thirty best word matches under the path of their first file."""
-    best = bm25_topk(spark, folder).orderBy(F.desc("bm25"), *KEY).limit(context.SEARCH_LIMIT)
-    texts = tables.corpus_chunks(spark, folder).select(*KEY, "content")
-    owners = tables.corpus_texts(spark, folder).select("content_id", "path")
+    best = stored(bm25_topk(spark, folder).orderBy(F.desc("bm25"), *KEY).limit(context.SEARCH_LIMIT), "best")
+    # Only the files of the matches are cut again.
+    files = tables.corpus_files(spark, folder).join(best.select("content_id").distinct(), "content_id", "left_semi")
+    texts = stored(ingest.first_copies(files, ingest.distinct_contents(files)), "texts")
     return (
-        best.join(texts, KEY)
-        .join(owners, "content_id")
+        best.join(chunking.chunk_files(texts).select(*KEY, "content"), KEY)
+        .join(texts.select("content_id", "path"), "content_id")
         .select(F.col("path").alias("file_path"), "start_line", "end_line", "content")
     )
 

@@ -163,3 +163,12 @@ def test_a_hot_key_is_split_into_ranges(spark):
     for k, t, v in rows:
         assert got[k, t] == before.get(k)
         before[k] = v
+
+
+def test_word_scores_read_texts_once(spark):
+    rows = [(1, "alpha beta alpha"), (2, "beta"), (3, "gamma"), (4, "")]
+    chunks = spark.createDataFrame(rows, "id long, content string")
+    got = search.word_scores(chunks, ["alpha", "beta"], ["id"])
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = search.bm25(search.with_words(chunks), ["alpha", "beta"]).select("id", "bm25")
+    assert sorted(got.collect()) == sorted(want.collect())
