@@ -1,10 +1,11 @@
 """A persisted inverted index for repeated word searches.
 
-Chunks are stored with their words and a number. A block is one word in some chunks that were
-read together: their numbers, lengths and the word's positions in them. Tasks write the blocks of
-their own chunks in runs sorted by bucket and word, so postings are neither shuffled nor sorted as
-rows, and a search reads the pages that may hold the words of the query. Keys and lengths of the
-chunks, without their words, give names and totals of any scope.
+A block is one word in some chunks that were read together: their numbers, lengths and the word's
+positions in them. Tasks write the blocks of their own chunks in runs sorted by bucket and word, so
+postings are neither shuffled nor sorted as rows, and a search reads the pages that may hold the
+words of the query. Keys, lengths and numbers of the chunks are rows of the same files (`chunk`,
+null in a block), made in the same pass, so words are written nowhere but in blocks; they give names
+and totals of any scope.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from folioscope.functions import text as text_fn
 from folioscope.operators import search
@@ -57,6 +58,10 @@ BLOCKS = (
     "entries array<struct<ordinal:long,length:long,positions:array<int>>>, bucket int"
 )
 
+_POSITIONS = pa.list_(pa.int32())
+_ENTRY = pa.struct([("ordinal", pa.int64()), ("length", pa.int64()), ("positions", _POSITIONS)])
+_BLOCK_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(_ENTRY), pa.int32())
+
 
 def _grouped(part: pa.RecordBatch, window: int | None, buckets: int) -> pa.RecordBatch:
     """The blocks of some chunks, ordered by bucket, word and window."""
@@ -104,9 +109,14 @@ def _grouped(part: pa.RecordBatch, window: int | None, buckets: int) -> pa.Recor
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def word_blocks(docs: DataFrame, buckets: int = BUCKETS, window: int | None = None) -> DataFrame:
+def word_blocks(
+    docs: DataFrame, buckets: int = BUCKETS, window: int | None = None, name: str | None = None
+) -> DataFrame:
     """A row per word and group of chunks (ordinal, length, words) that a task reads together, or
-    per word and window of ordinals in such a group."""
+    per word and window of ordinals in such a group. A struct column to ``name`` the chunks gives a
+    row per chunk beside them."""
+    blocks = T.StructType.fromDDL(BLOCKS)
+    shape = blocks if name is None else T.StructType([*blocks.fields, T.StructField(name, docs.schema[name].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,16 +126,25 @@ def word_blocks(docs: DataFrame, buckets: int = BUCKETS, window: int | None = No
                 last = int(np.searchsorted(words, words[first] + GROUPED, "right")) - 1
                 part = batch.slice(first, max(1, last - first))
                 first += part.num_rows
+                if name is not None:
+                    named = part.column(name)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.nulls(part.num_rows, kind) for kind in _BLOCK_TYPES], named], shape.names
+                    )
                 if len(part.column("words").flatten()):
-                    yield _grouped(part, window, buckets)
+                    found = _grouped(part, window, buckets)
+                    if name is not None:
+                        found = found.append_column(name, pa.nulls(found.num_rows, named.type))
+                    yield found
 
     ship_package(docs.sparkSession)
-    return docs.select("ordinal", "length", "words").mapInArrow(run, BLOCKS)
+    read = ["ordinal", "length", "words", *([] if name is None else [name])]
+    return docs.select(*read).mapInArrow(run, shape)
 
 
-def numbered(chunks: DataFrame, key: Sequence[str]) -> DataFrame:
+def numbered(chunks: DataFrame, key: Sequence[str], dealt: bool = True) -> DataFrame:
     """Chunks with their words and a number; texts are dealt out, which takes less than their words."""
-    dealt = chunks.select(*key, "content").repartition(*key)
+    dealt = chunks.select(*key, "content").repartition(*key) if dealt else chunks.select(*key, "content")
     words = dealt.select(*key, text_fn.code_words(F.col("content")).alias("words"))
     length = F.size("words").cast("long")
     return words.select(*key, length.alias("length"), "words", F.monotonically_increasing_id().alias("ordinal"))
@@ -137,20 +156,20 @@ def postings(chunks: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> D
 
 
 def write_index(chunks: DataFrame, key: Sequence[str], folder: str, buckets: int = BUCKETS) -> None:
-    """Write the chunks with their words, then the postings in runs by word bucket and word."""
-    numbered(chunks, key).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/docs")
-    docs = chunks.sparkSession.read.parquet(f"{folder}/docs")
-    word_blocks(docs, buckets).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
+    """Write the postings of the chunks, as they are dealt out, in runs by word bucket and word."""
+    named = numbered(chunks, key, dealt=False).withColumn("chunk", F.struct(*key, "length", "ordinal"))
+    blocks = word_blocks(named, buckets, name="chunk")
+    blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
     made = chunks.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(",".join(key)).alias("key"))
     made.write.mode("overwrite").parquet(f"{folder}/about")
 
 
 def read_index(spark: SparkSession, folder: str) -> WordIndex:
     about = spark.read.parquet(f"{folder}/about").first()
+    chunks = spark.read.parquet(f"{folder}/postings").where("chunk is not null")
     return WordIndex(
-        spark.read.schema(BLOCKS).parquet(f"{folder}/postings"),
-        spark.read.parquet(f"{folder}/docs").select(*about["key"].split(","), "length", "ordinal"),
-        about["key"].split(","), about["buckets"],
+        spark.read.schema(BLOCKS).parquet(f"{folder}/postings").where("bucket is not null"),
+        chunks.select("chunk.*"), about["key"].split(","), about["buckets"],
     )
 
 

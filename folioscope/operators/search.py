@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -261,6 +261,7 @@ def hybrid_search(
     limit: int = DEFAULT_LIMIT,
     k: int = RRF_K,
     words: DataFrame | None = None,
+    texts: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Hybrid search over the chunks of the files in scope.
 
@@ -273,7 +274,8 @@ def hybrid_search(
     or once the pool holds every scored chunk. Until then the pool grows.
 
     ``words`` may bring the word scores of the chunks in scope from a persisted index
-    (``postings.score_postings``); then no text is read but that of the result.
+    (``postings.score_postings``); then no text is read but that of the result. ``texts`` may
+    cut the chunks of the result's contents (content_id); ``chunks`` then needs no content.
     """
     wanted = scope.select("content_id").distinct()
     inside = chunks.join(wanted, "content_id", "left_semi")
@@ -290,7 +292,6 @@ def hybrid_search(
     owners = scope.select("content_id", "repo", "ref", "path")
     place = ["repo", "ref", "path", "start_line"]
     extra = [c for c in ("symbol_name",) if c in chunks.columns]
-    texts = chunks.select(*key, "content", *extra)
     pool = 4 * limit
     while True:
         best = fused_top(ranks, legs, pool, k).select(*key, "score")
@@ -300,7 +301,8 @@ def hybrid_search(
         if top.count() >= limit or pool >= every:
             break
         pool *= 4
-    found = top.join(texts, key).select(
+    held = chunks if texts is None else texts(top.select("content_id").distinct())
+    found = top.join(held.select(*key, "content", *extra), key).select(
         F.col("path").alias("file_path"), "repo", "ref", "content", "start_line", "end_line",
         "score", *extra,
     )

@@ -127,15 +127,31 @@ def search_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def indexed_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The hybrid search with word scores from a persisted index, phrase included."""
-    files, refs = tables.scoped_files(spark, folder)
+    """The hybrid search with word scores from a persisted index, phrase included.
+
+    Texts are shuffled once, for the index; files are hashed once, and the index names the chunks.
+    """
+    listed = stored(tables.corpus_files(spark, folder).drop("content"), "files")
+    files, refs = tables.scoped_files(spark, folder, listed)
     scope = search.in_scope(files, refs, repo="repo1")
-    chunks = tables.corpus_chunks(spark, folder).drop("symbol_name")
+    contents = ingest.distinct_contents(listed)
     place = work_folder(spark, "words")
-    postings.write_index(chunks.select(*KEY, "content"), KEY, place)
+
+    def cut(some: DataFrame) -> DataFrame:
+        texts = ingest.first_copies(tables.corpus_files(spark, folder), some)
+        return chunking.chunk_files(texts).select(*KEY, "content")
+
+    postings.write_index(cut(contents), KEY, place)
+    index = postings.read_index(spark, place).within(scope)
+    vectors = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("first_ordinal"), "embedding")
+    vectors = contents.join(vectors, "first_ordinal").select("content_id", "embedding")
+    chunks = index.lengths.select(*KEY).join(vectors, "content_id", "left")
     terms = search.query_terms(spark, QUERY)
-    words = postings.score_postings(postings.read_index(spark, place).within(scope), terms)
-    return search.hybrid_search(chunks, scope, terms, _query_vector(spark, folder), LIMIT, words=words)
+    return search.hybrid_search(
+        chunks, scope, terms, _query_vector(spark, folder), LIMIT,
+        words=postings.score_postings(index, terms),
+        texts=lambda found: cut(stored(contents.join(found, "content_id", "left_semi"), "found")),
+    )
 
 
 def index_segments(spark: SparkSession, folder: str) -> DataFrame:

@@ -172,3 +172,31 @@ def test_word_scores_read_texts_once(spark):
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = search.bm25(search.with_words(chunks), ["alpha", "beta"]).select("id", "bm25")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_an_index_holds_words_in_its_blocks_only(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 1, "x y x"), ("a", 2, "..."), ("b", 1, "y")], "word string, line int, content string")
+    postings.write_index(chunks, ["word", "line"], str(tmp_path), buckets=4)
+    assert {p.name for p in tmp_path.iterdir()} == {"about", "postings"}
+    index = postings.read_index(spark, str(tmp_path))
+    assert sorted((r.word, r.line, r.length) for r in index.lengths.collect()) == [("a", 1, 3), ("a", 2, 0), ("b", 1, 1)]
+    assert sorted((r.word, r.n) for r in index.postings.groupBy("word").agg(F.sum("n").alias("n")).collect()) == [("x", 1), ("y", 2)]
+    plan = postings.word_blocks(postings.numbered(chunks, ["word"], dealt=False))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_search_cuts_only_the_contents_it_found(spark):
+    asked = []
+
+    def texts(found):
+        asked.extend(r.content_id for r in found.collect())
+        return spark.createDataFrame([("a", 1, 3, "json text")], "content_id string, start_line int, end_line int, content string")
+
+    keys = spark.createDataFrame(
+        [("a", 1, 3, [1.0, 0.0]), ("b", 1, 3, None)],
+        "content_id string, start_line int, end_line int, embedding array<float>",
+    )
+    scope = spark.createDataFrame([("a", "p", "r", "v"), ("b", "q", "r", "v")], "content_id string, path string, repo string, ref string")
+    words = spark.createDataFrame([("a", 1, 3, 2.0)], "content_id string, start_line int, end_line int, bm25 double")
+    got = search.hybrid_search(keys, scope, ["json"], [1.0, 0.0], 5, words=words, texts=texts).collect()
+    assert asked == ["a"] and [(r.file_path, r.content) for r in got] == [("p", "json text")]
