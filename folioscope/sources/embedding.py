@@ -10,6 +10,8 @@ import urllib.request
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions import text as text_fn
@@ -25,6 +27,32 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+_WORD = re.compile(r"\w+")
+
+
+class _Places(dict):
+    """Twice the dimension of each word, plus one where it adds; remembers a bounded number of words."""
+
+    MEMORY, LONGEST = 200_000, 64
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        digest = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+        place = (digest >> 1) % self.dimensions * 2 + (digest & 1)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MEMORY:
+                self.clear()
+            self[word] = place
+        return place
+
+
+#: One table of this process for each number of dimensions.
+_places: dict[int, _Places] = {}
+
+
 class HashingEmbedder:
     """Offline default: signed word hashes, scaled to length one."""
 
@@ -37,12 +65,12 @@ class HashingEmbedder:
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> list[float]:
-        vector = [0.0] * self.dimensions
-        for word in re.findall(r"\w+", text.lower()):
-            digest = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-            vector[(digest >> 1) % self.dimensions] += 1.0 if digest & 1 else -1.0
-        length = math.sqrt(sum(v * v for v in vector))
-        return [v / length for v in vector] if length else vector
+        places = _places.setdefault(self.dimensions, _Places(self.dimensions))
+        found = [places[word] for word in _WORD.findall(text.lower())]
+        sums = np.bincount(np.array(found, np.int64), minlength=2 * self.dimensions).astype(float)
+        vector = sums[1::2] - sums[::2]
+        length = math.sqrt(vector @ vector)
+        return (vector / length if length else vector).tolist()
 
 
 class HttpEmbedder:
@@ -170,24 +198,20 @@ def embed_chunks(
     if requests:
         texts = texts.repartition(requests)
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                vectors, errors = embed_whole(embedder, part["text"].tolist(), batch)
-                yield pd.DataFrame(
-                    {
-                        "content_sha256": part["content_sha256"].tolist(),
-                        "_vector": vectors,
-                        "_error": errors,
-                    }
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                vectors, errors = embed_whole(embedder, part.column("text").to_pylist(), batch)
+                columns = [
+                    part.column("content_sha256"), pa.array(vectors, pa.list_(pa.float32())),
+                    pa.array(errors, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["content_sha256", "_vector", "_error"])
 
     ship_package(chunks.sparkSession)
     schema = "content_sha256 string, _vector array<float>, _error string"
-    done = texts.mapInPandas(run, schema)
+    done = texts.mapInArrow(run, schema)
     joined = chunks.join(done, "content_sha256", "left")
     return joined.select(
         *[c for c in chunks.columns if c not in ("embedding", "embedding_error")],

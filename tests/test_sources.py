@@ -111,3 +111,26 @@ def test_long_texts_go_in_windows_and_are_pooled(spark):
     sums = (float(len(text)), float(len(parts)))
     length = (sums[0] ** 2 + sums[1] ** 2) ** 0.5
     assert all(abs(v - s / length) < 1e-6 for v, s in zip(vector, sums))
+
+
+def test_hashes_of_words_are_remembered_within_bounds(monkeypatch):
+    import hashlib
+    import math
+
+    monkeypatch.setattr(embedding._Places, "MEMORY", 3)
+    monkeypatch.setattr(embedding, "_places", {})
+    text = "Aa bb_1 aa é " + "x" * 100 + " cc dd aa"
+    sums = [0.0] * 4
+    for word in text.lower().split():
+        digest = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        sums[(digest >> 1) % 4] += 1.0 if digest & 1 else -1.0
+    length = math.sqrt(sum(v * v for v in sums))
+    embedder = embedding.HashingEmbedder(4)
+    assert embedder.embed([text, " .."]) == [[v / length for v in sums], [0.0] * 4]
+    assert len(embedding._places[4]) <= 3 and "x" * 100 not in embedding._places[4]
+
+
+def test_the_embedder_takes_arrow_batches(spark):
+    rows = spark.createDataFrame([("h", "a b", None)], "content_sha256 string, content string, embedding array<float>")
+    plan = embedding.embed_chunks(rows, embedding.HashingEmbedder(4))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
