@@ -54,30 +54,33 @@ def index_ref(
     chunks whose text was embedded before take that vector. Several tables share
     the new texts and symbols; ``hold`` may persist or checkpoint those.
     """
-    named = ingest.with_content_id(files).withColumn("repo_ref_id", F.lit(repo_ref_id).cast("long"))
+    named = hold(ingest.with_content_id(files))
     order = "ordinal" if "ordinal" in files.columns else "content_id"
-    once = ingest.last_write_per_path(named, order).withColumn("ordinal", F.col("path"))
-    marked = ingest.split_skipped(
-        once.drop("repo_ref_id"), max_bytes=max_bytes, max_average_line=max_average_line
-    )
-    stats = ingest.language_stats(
-        marked.withColumn("repo_ref_id", F.lit(repo_ref_id).cast("long")), ["repo_ref_id"]
-    )
+    # Texts are hashed and measured once; what decides about paths travels without them.
+    measured = ingest.split_skipped(named, max_bytes=max_bytes, max_average_line=max_average_line)
+    slim = measured.select("path", "language", "content_id", "skip_reason", F.col(order).alias("_order"))
+    once = ingest.last_write_per_path(slim.withColumn("repo_ref_id", F.lit(repo_ref_id).cast("long")), "_order")
+    marked = hold(once.drop("_order").withColumn("ordinal", F.col("path")))
+    stats = ingest.language_stats(marked, ["repo_ref_id"])
     skipped = marked.where(F.col("skip_reason").isNotNull()).select("path", "skip_reason")
-    kept = marked.where(F.col("skip_reason").isNull()).drop("skip_reason")
+    kept = marked.where(F.col("skip_reason").isNull()).drop("skip_reason", "repo_ref_id")
 
     contents = ingest.new_contents(kept, state.file_contents)
+    texts = named.select(F.col("path").alias("ordinal"), "language", "content_id", "content")
+    # A path may bring the same text twice; the join has sorted the rows by its key.
     fresh = hold(
-        ingest.first_copies(kept, contents).select("content_id", "language", "content")
+        ingest.first_copies(texts, contents).dropDuplicates(["ordinal", "content_id"])
+        .select("content_id", "language", "content")
     )
     found, used = (hold(df) for df in parsing.parse_files(fresh))
     pieces = chunking.chunk_files(
         fresh, found, chunking.import_prefix(used), max_tokens, overlap
     ).withColumn("content_sha256", text_fn.content_hash(F.col("content")))
-    cached = ingest.reuse_vectors(
+    # The embedder reads the texts, and its vectors join them.
+    cached = hold(ingest.reuse_vectors(
         pieces.withColumn("embedding", F.lit(None).cast("array<float>")),
         state.chunks.withColumn("chunk_id", F.struct("content_id", "start_line", "end_line")),
-    ).withColumn("embedding_error", F.lit(None).cast("string"))
+    ).withColumn("embedding_error", F.lit(None).cast("string")))
 
     columns = state.chunks.columns
     chunks = maintain.delete_keys(state.chunks, contents, ["content_id"]).unionByName(

@@ -149,7 +149,7 @@ class StoredEngine(Engine):
             return held[-1]
 
         try:
-            result = index_ref(hold(files), number, self.state, hold=hold, **limits)
+            result = index_ref(files, number, self.state, hold=hold, **limits)
             added = vars(result.added)
             # Only chunks of new contents go to the embedder, and only in this write.
             added["chunks"] = providers.embed_chunks(added["chunks"], self.embedder).select(*CHUNKS.names)

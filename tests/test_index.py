@@ -236,3 +236,18 @@ def test_writes_of_the_engine(spark, engine):
     assert renamed.remote_url == "x"
     for missing in (base.refresh("no", "x"), base.delete_repo("no"), base.delete_version("no", "x"), base.update_repo("no")):
         assert missing == 'Repository "no" not found.'
+
+
+def test_paths_are_decided_without_texts(spark):
+    import re
+
+    from folioscope.plans.indexing import index_ref
+    from folioscope.queries.streams import empty_state
+
+    rows = [("a", "en", "one"), ("a", "en", "one"), ("b", "en", "one"), ("c", "de", "two"), ("c", "de", "two")]
+    files = spark.createDataFrame(rows, "path string, language string, content string")
+    added = index_ref(files, 1, empty_state(spark)).added
+    plan = added.ref_files._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"max_by\(struct\([^)]*\bcontent\b", plan)
+    assert sorted(r.path for r in added.ref_files.collect()) == ["a", "b", "c"]
+    assert sorted((r.content, r.start_line) for r in added.chunks.collect()) == [("one", 1), ("two", 1)]
