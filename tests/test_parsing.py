@@ -163,3 +163,19 @@ def test_underlined_titles_keep_all_lines(spark):
     files = spark.createDataFrame([("f", "markdown", text)], "content_id string, language string, content string")
     got = [(r.name, r.depth, r.start_line) for r in markdown.headings(files).orderBy("start_line").collect()]
     assert got == [("first\nsecond\nthird", 1, 1), ("next one\nand more", 2, 6)]
+
+
+def test_ranges_of_symbols_need_no_text_of_the_file(spark):
+    from folioscope.operators.parsing import symbols
+
+    files = spark.createDataFrame(
+        [("a", "python", "def f(x):\n    return x\n"), ("b", "go", "package p\nfunc g() {\n}\n"), ("c", "en", "x")],
+        "content_id string, language string, content string",
+    )
+    columns = ["content_id", "language", "name", "kind", "start_line", "end_line"]
+    found = symbols.ranges(files)
+    whole, _ = symbols.parse_files(files)
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, whole.select(*columns).collect())) and len(rows) >= 2
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Join")
+    assert count(found) == 0 < count(whole)
