@@ -141,3 +141,19 @@ def test_small_memory_changes_nothing(path, monkeypatch):
     monkeypatch.setattr(attention.Pieces, "MEMORY", 2)
     tight = attention.Pieces(raw)
     assert [attention.Block(pa.array([t]), tight).ids.tolist() for t in texts] == want
+
+
+def test_texts_outside_the_start_are_learned_from(spark, path, monkeypatch):
+    """The start of the weights sees no text at all; pieces, classes and weights must still come from all."""
+    monkeypatch.setattr(attention, "SAMPLE_CHARS", 0)
+    docs = spark.createDataFrame([(i, f"zebra quilt marmalade {i} " * 60) for i in range(40)], "doc_id long, text string")
+
+    def mean(rate):
+        monkeypatch.setattr(attention, "RATE", rate)
+        got = attention.score(docs, path).collect()
+        return sum(r.score for r in got) / sum(r.n_tokens for r in got)
+
+    without, learned = mean(0.0), mean(0.01)
+    # Three words are six pieces or so; unknown ones alone cost 4.5 each.
+    assert learned > without + 0.1
+    assert without > -10
