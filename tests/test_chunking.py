@@ -82,6 +82,21 @@ def test_chunks_equal_a_loop(spark, budget, ratio):
         assert sorted(found.get(key, []), key=repr) == rows
 
 
+def test_symbols_are_worked_out_once(spark, capsys):
+    """Gaps come out of the symbols' own rows; a second branch would parse all files again."""
+    files = spark.createDataFrame([("1", "a\nb\nc")], "content_id string, content string")
+    symbols = spark.range(2, 3).selectExpr(
+        "'1' AS content_id", "id AS start_line", "id AS end_line", "'f' AS name", "'function' AS kind",
+        "'f' AS signature", "CAST(NULL AS string) AS documentation",
+    )
+    chunks = chunking.chunk_files(files, symbols)
+    spans = sorted((r.start_line, r.end_line, r.symbol_name) for r in chunks.collect())
+    assert spans == [(1, 1, None), (2, 2, "f"), (3, 3, None)]
+    chunks.explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("Range (") == 1
+
+
 def test_overlap_must_leave_progress(spark):
     files = spark.createDataFrame([("a", "x")], "content_id string, content string")
     with pytest.raises(ValueError):
