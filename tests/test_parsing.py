@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
-from folioscope.operators.parsing import markdown, symbols
+from folioscope.operators.parsing import lexer, markdown, symbols
 
 EXPECTED = {
     "typescript": [
@@ -179,3 +179,14 @@ def test_ranges_of_symbols_need_no_text_of_the_file(spark):
     assert rows == sorted(map(tuple, whole.select(*columns).collect())) and len(rows) >= 2
     count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Join")
     assert count(found) == 0 < count(whole)
+
+
+def test_comments_of_one_line_are_blanked_whole(spark, capsys):
+    """One blank for each character, without a pattern's replacement for each of them."""
+    text = 'a(); // é 𝄞 {\u2028} "x"\n/* {\n𝄞\r} */ b(); /* 𝄞 */\nc();//'
+    want = 'a(); ' + " " * len('// é 𝄞 {\u2028} "x"') + "\n    \n" + " " * len("𝄞\r} */") + " b(); " + " " * 7 + "\nc();  "
+    files = spark.createDataFrame([(text, "java")], "content string, language string")
+    masked = files.select(lexer.masked(F.col("content"), F.col("language"), ("java",)).alias("code"))
+    assert masked.first().code == want
+    masked.explain("extended")
+    assert "repeat( , length" in capsys.readouterr().out
