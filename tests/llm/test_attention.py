@@ -157,3 +157,73 @@ def test_texts_outside_the_start_are_learned_from(spark, path, monkeypatch):
     # Three words are six pieces or so; unknown ones alone cost 4.5 each.
     assert learned > without + 0.1
     assert without > -10
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_learning_needs_no_texts_once_they_are_cut(path, monkeypatch):
+    """The stored pieces, in blocks of any size, give the texts' pieces, words and pairs again."""
+    with open(path, "rb") as file:
+        raw = file.read()
+    texts = ["some words and Other words again " * 30, None, "", "one", "zebra quilt " * 50]
+    block = attention.Block(pa.array(texts), attention.Pieces(raw))
+    monkeypatch.setattr(attention, "MERGED", 3)
+    monkeypatch.setattr(attention.common, "BLOCK_BYTES", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    rows = pa.Table.from_batches(list(attention._cut(Sent(raw))([batch])))
+    words, often = Counter(), Counter()
+    for r in rows.to_pylist():
+        if r["piece"] is not None:
+            (often if r["piece"] else words)[r["word"]] += r["n"]
+    assert sorted(words.values()) == sorted(Counter(w for t in texts for w in [*map(str, (t or "").lower().split()), None]).values())
+    assert often == Counter(block.ids.tolist())
+    ids = rows.filter(pa.compute.is_null(rows.column("piece"))).select(["ids"]).combine_chunks()
+    index = attention.find_known(np.bincount(block.ids, minlength=32_000))
+    end, kind = attention.Pieces(raw).end, attention.Pieces(raw).kind
+    target, before = block.known(index, end)
+    size = attention.KNOWN + 1
+    want = np.bincount(before * size + target, minlength=size * size)
+    for pieces in (1, 70, 1 << 20):
+        monkeypatch.setattr(attention, "BLOCK_PIECES", pieces)
+        parts = list(attention._cut_texts(ids.slice(1).to_batches(), kind))
+        assert np.concatenate([p.ids for p in parts]).tolist() == block.ids[block.last[0] :].tolist()
+        assert all(p.first[0] == 0 and p.last[-1] == len(p.ids) for p in parts)
+        monkeypatch.setattr(attention.common, "sketch_rows", lambda total: [total])
+        (got,) = attention._count_pairs(Sent((index, end, kind)))(ids.to_batches())
+        assert (got[: size * size] == want).all()
+
+
+@pytest.mark.parametrize("steep, high", [(1, 1), (40, 1), (1, 30), (40, 30)])
+def test_weights_of_any_size_give_the_softmax(path, steep, high):
+    model, pieces = trained(path, ["some words and other words again " * 20] * 3)
+    model.w |= {"q": model.w["q"] * steep + 1, "k": model.w["k"] * steep + 1, "o": model.w["o"] * high + 1}
+    block = attention.Block(pa.array(["some words again and other words", "", "words"]), pieces)
+    net = attention.Net(model.w)
+    assert (net.steep, net.high) == (steep > 1, high > 1)
+    w = {k: v.astype(np.float64) for k, v in model.w.items() if k != "end"}
+    target, before = block.known(model.index, pieces.end)
+    want = np.zeros(3)
+    for text, (a, b) in enumerate(zip(block.first, block.last)):
+        assert b - a <= attention.HALF
+        for i in range(a, b):
+            x = w["e"][before[a : i + 1]]
+            p = x[-1] @ w["q"] / np.sqrt(attention.DIM) @ (x @ w["k"]).T + w["d"][i - a - np.arange(i - a + 1)]
+            p = np.exp(p - p.max())
+            hidden = np.tanh(x[-1] @ w["x"] + (p / p.sum()) @ (x @ w["v"]) @ w["m"] + w["bx"])
+            logit = hidden @ w["o"] + w["bo"]
+            value = logit[model.classes[target[i]]] - logit.max() - np.log(np.exp(logit - logit.max()).sum())
+            want[text] += value / np.log(10) + model.inside[before[i], target[i]] + (target[i] == attention.KNOWN) * model.rest
+    assert np.allclose(model.score(block), want, rtol=1e-4)
+
+
+@pytest.mark.parametrize("hot", [0, 1, 3, 4, 9, 50])
+def test_frequent_words_fit_the_bound(spark, monkeypatch, hot):
+    monkeypatch.setattr(attention, "HOT_WORDS", hot)
+    counts = [1, 1, 2, 2, 7, 4095, 4096, 5000, 10**6, 10**6 + 1, 3 * 10**9]
+    words = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "word long, n long")
+    rare = attention._rare(words, len(counts))
+    assert sum(n > rare for n in counts) <= hot
+    assert sum(n > rare for n in counts) >= min(hot, len(counts)) - 1
