@@ -227,3 +227,83 @@ def test_frequent_words_fit_the_bound(spark, monkeypatch, hot):
     rare = attention._rare(words, len(counts))
     assert sum(n > rare for n in counts) <= hot
     assert sum(n > rare for n in counts) >= min(hot, len(counts)) - 1
+
+
+def within(model, pairs):
+    """log10 of a piece in its class behind a piece, from the counts of all pairs in plain Python."""
+    # Indexes without a count weigh a half, as those of pieces never seen do together.
+    weight, same, behind, count = [0.5] * len(model.classes), Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        a, b = model.index[a], model.index[b]
+        weight[b] += n
+        behind[a, model.classes[b]] += n
+        count[a, b] += n
+    for i, kind in enumerate(model.classes):
+        same[kind] += weight[i]
+
+    def value(before, target):
+        a, b = model.index[before], model.index[target]
+        kind = model.classes[b]
+        share = weight[b] / same[kind]
+        return math.log10((count[a, b] + attention.BACKOFF * share) / (behind[a, kind] + attention.BACKOFF))
+
+    return value
+
+
+def pairs_of(block, end):
+    before = np.concatenate([[end], block.ids[:-1]])
+    before[block.first] = end
+    return Counter(zip(before.tolist(), block.ids.tolist()))
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 30])
+def test_every_piece_of_the_texts_is_told_apart(spark, path, monkeypatch, hot):
+    """Scores are those of counts of all pairs in plain Python, whether these fit the table, a task or neither."""
+    with open(path, "rb") as file:
+        pieces = attention.Pieces(file.read())
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()}
+    text |= {900 + i: f"zebra quilt {'marmalade ' * i}" for i in range(12)} | {990: None, 991: "☃ never"}
+    monkeypatch.setattr(attention, "KNOWN", 99)
+    monkeypatch.setattr(attention, "HOT_WORDS", hot)
+    models = []
+    parts = attention.Model.parts
+    score_rows = attention._score_rows
+    monkeypatch.setattr(attention, "_score_rows", lambda sent, name: models.append(sent.value[1]) or score_rows(sent, name))
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {r.row.doc_id: r.score for r in attention.score(docs, path).collect()}
+    (model,) = models
+    block = attention.Block(pa.array([t for i, t in text.items() if not held(i)]), pieces)
+    assert (model.index == attention.find_known(np.bincount(block.ids, minlength=pieces.size))).all()
+    assert len(set(model.index[block.ids])) == len(set(block.ids)) > 200
+    pairs = pairs_of(block, pieces.end)
+    others = sum(max(model.index[list(p)]) > 99 for p in pairs)
+    assert len(model.pairs[0]) <= min(others, hot) and (hot < others or len(model.pairs[0]) == others)
+    whole = attention.Block(pa.array(list(text.values())), pieces)
+    # The network's part is the score less the counts' part.
+    plain = attention.Model(model.index, model.classes, model.w, np.zeros((100, 100), np.float32))
+    plain.weight, plain.behind = np.ones(len(model.classes)), np.zeros((len(model.classes), attention.CLASSES))
+    want, _, _ = parts(plain, whole)
+    value = within(model, pairs)
+    for k, (a, b) in enumerate(zip(whole.first, whole.last)):
+        for before, target in zip([pieces.end, *whole.ids[a : b - 1].tolist()], whole.ids[a:b].tolist()):
+            want[k] += value(before, target) + (model.index[target] == len(model.classes) - 1) * model.rest
+    assert list(got.values()) == pytest.approx([want[list(text).index(i)] for i in got], rel=1e-4)
+
+
+def test_pieces_beyond_the_table_follow_their_counts(spark, path):
+    """Two rare words are as frequent, but only one stands behind the third: that tells the texts apart."""
+    with open(path, "rb") as file:
+        pieces = attention.Pieces(file.read())
+    # Words of one piece, more than the table holds.
+    every = [pieces.lib.id_to_piece(i)[1:] for i in range(pieces.size) if pieces.lib.id_to_piece(i)[:1] == "▁"]
+    single = [w for w in every if w.isascii() and w.isalpha() and w == w.lower() and len(pieces.lib.encode(w)) == 1]
+    common, (a, b, c) = single[: attention.KNOWN + 200], single[-3:]
+    assert len(common) == attention.KNOWN + 200
+    rows = [(i, " ".join(common)) for i in range(9) if not held(i)]
+    rows += [(100 + i, f"{a} {b}") for i in range(4) if not held(100 + i)]
+    rows += [(200 + i, f"{common[0]} {c}") for i in range(4) if not held(200 + i)]
+    fold = [i for i in range(300, 400) if held(i)]
+    rows += [(fold[0], f"{a} {b}"), (fold[1], f"{a} {c}")]
+    got = attention.score(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    score = {r.row.doc_id: r.score for r in got}
+    assert score[fold[0]] > score[fold[1]] + 0.5
