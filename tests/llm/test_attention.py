@@ -263,14 +263,18 @@ def test_every_piece_of_the_texts_is_told_apart(spark, path, monkeypatch, hot):
         pieces = attention.Pieces(file.read())
     text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()}
     text |= {900 + i: f"zebra quilt {'marmalade ' * i}" for i in range(12)} | {990: None, 991: "☃ never"}
+    text |= {2000 + i: text[i] for i in list(text)[:9]} | {3000: "zebra quilt " * 900}
     monkeypatch.setattr(attention, "KNOWN", 99)
     monkeypatch.setattr(attention, "HOT_WORDS", hot)
     models = []
-    parts = attention.Model.parts
     score_rows = attention._score_rows
     monkeypatch.setattr(attention, "_score_rows", lambda sent, name: models.append(sent.value[1]) or score_rows(sent, name))
     docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
-    got = {r.row.doc_id: r.score for r in attention.score(docs, path).collect()}
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 5)  # a task gets several blocks
+    got = {r.row.doc_id: r.score for r in attention.score(docs.coalesce(2), path).collect()}
+    spark.conf.unset(batch)
+    got = {i: got[i] for i in text}
     (model,) = models
     block = attention.Block(pa.array([t for i, t in text.items() if not held(i)]), pieces)
     assert (model.index == attention.find_known(np.bincount(block.ids, minlength=pieces.size))).all()
@@ -279,15 +283,62 @@ def test_every_piece_of_the_texts_is_told_apart(spark, path, monkeypatch, hot):
     others = sum(max(model.index[list(p)]) > 99 for p in pairs)
     assert len(model.pairs[0]) <= min(others, hot) and (hot < others or len(model.pairs[0]) == others)
     whole = attention.Block(pa.array(list(text.values())), pieces)
-    # The network's part is the score less the counts' part.
+    # The network's part is the logs less the counts' part.
     plain = attention.Model(model.index, model.classes, model.w, np.zeros((100, 100), np.float32))
     plain.weight, plain.behind = np.ones(len(model.classes)), np.zeros((len(model.classes), attention.CLASSES))
-    want, _, _ = parts(plain, whole)
+    logs, _, _ = plain.logs(whole)
     value = within(model, pairs)
-    for k, (a, b) in enumerate(zip(whole.first, whole.last)):
-        for before, target in zip([pieces.end, *whole.ids[a : b - 1].tolist()], whole.ids[a:b].tolist()):
-            want[k] += value(before, target) + (model.index[target] == len(model.classes) - 1) * model.rest
-    assert list(got.values()) == pytest.approx([want[list(text).index(i)] for i in got], rel=1e-4)
+    for a, b in zip(whole.first, whole.last):
+        for k, before in zip(range(a, b), [pieces.end, *whole.ids[a : b - 1].tolist()]):
+            logs[k] += value(before, whole.ids[k]) + (model.index[whole.ids[k]] == len(model.classes) - 1) * model.rest
+    # Passages of a text, and what those of all other texts add to them.
+    found = [[] for _ in text]
+    start, owner, _ = attention.passages(whole.ids, whole.first, whole.last)
+    for a, b, t in zip(start, [*start[1:], len(whole.ids)], owner):
+        found[t].append((tuple(whole.ids[a:b]), logs[a:b].sum()))
+    every = Counter(p for i, f in zip(text, found) if not held(i) for p, _ in f)
+    total = sum(every.values())
+    share = (sum(n for n in every.values() if n > 1) + 0.5) / (total + 1)
+    want = {}
+    for i, f in zip(text, found):
+        own = Counter(p for p, _ in f if not held(i))
+        rest = total - sum(own.values())
+        again = [math.log(share * (every[p] - own[p]) / rest) if every[p] > own[p] else -math.inf for p, _ in f]
+        want[i] = sum(np.logaddexp(math.log(1 - share) + x * math.log(10), y) for (_, x), y in zip(f, again)) / math.log(10)
+    assert list(got.values()) == pytest.approx([want[i] for i in got], rel=1e-4)
+
+
+def test_equal_stretches_are_cut_alike(path):
+    with open(path, "rb") as file:
+        pieces = attention.Pieces(file.read())
+    text = " ".join(f"w{i * i % 1009}" for i in range(900))
+    block = attention.Block(pa.array(["", text, "one", "other words " + text, None, "x " * 3000]), pieces)
+    start, owner, prints = attention.passages(block.ids, block.first, block.last)
+    assert set(block.first) <= set(start) and (np.diff(start) > 0).all()
+    assert (owner == np.searchsorted(block.first, start, "right") - 1).all()
+    one, other = ({int(p) for p in prints[owner == k]} for k in (1, 3))
+    assert 10 < len(one) and len(one - other) <= 1 and prints[0] == prints[owner == 4][0]
+    size = np.diff(np.append(start, len(block.ids)))[owner == 1]
+    assert 20 < size.mean() < 200
+    lone = attention.Block(pa.array([text]), pieces)
+    assert attention.passages(lone.ids, lone.first, lone.last)[2].tolist() == prints[owner == 1].tolist()
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 8])
+def test_texts_that_occur_twice_are_scored_apart(spark, path, monkeypatch, hot):
+    """A text's copy anywhere in the training texts tells it from texts of the same kind that occur once."""
+    monkeypatch.setattr(attention, "HOT_WORDS", hot)
+    rng = np.random.default_rng(4)
+    words = ["tion", "re", "an", "the", "er", "in", "on", "nd", "ha", "ing"]
+    rows = [(i, " ".join("".join(rng.choice(words, 3)) for _ in range(150))) for i in range(60)]
+    fold = next(i for i in range(1000, 1100) if held(i))
+    *learned, seen = [i for i in range(60) if not held(i)][:7]
+    rows += [(next(k for k in range(1000 * (i + 2), 10**6) if not held(k)), rows[i][1]) for i in learned] + [(fold, rows[seen][1])]
+    twice = Counter(t for _, t in rows)
+    got = attention.score(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    often = [r.score / r.n_tokens for r in got if twice[r.row.text] == 2 and r.row.doc_id != seen]
+    once = [r.score / r.n_tokens for r in got if twice[r.row.text] == 1]
+    assert len(often) == 13 and min(often) > max(once) + 0.5
 
 
 def test_pieces_beyond_the_table_follow_their_counts(spark, path):
